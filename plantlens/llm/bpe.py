@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from plantlens.llm.common import by_bytes
 #: Characters of text handled at a time inside a task.
 SLICE_CHARS = 2 << 20
 #: Pieces kept in a worker's memo, and the longest piece that is kept.
-MEMO_PIECES, MEMO_CHARS = 300_000, 48
+MEMO_PIECES, MEMO_CHARS = 700_000, 48
 
 _SPACES = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -90,7 +91,7 @@ def cut_at_spaces(text: str) -> list[str]:
 
 
 class PieceCoder:
-    """Encodes texts through their pieces. `make` turns a piece's ids into what is kept and joined."""
+    """Encodes texts through their pieces. `make` turns a piece's encoding into what is kept and joined."""
 
     def __init__(self, tokenizer, make: Callable, spaced: bool):
         self.tokenizer, self.make, self.spaced = tokenizer, make, spaced
@@ -98,36 +99,41 @@ class PieceCoder:
         self.first: dict = {}
         self.later: dict = {}
 
-    def _learn(self, memo: dict, pieces: set[str], prefix: str) -> dict:
-        """Add what is missing; returns the dictionary to look up in, which also holds pieces too long to keep."""
-        missing = [p for p in pieces if p not in memo]
-        if not missing:
-            return memo
+    def _learn(self, memo: dict, missing: list[str], prefix: str) -> dict:
+        """Encode what is missing, keep its short pieces in the memo, and return all of it."""
         if len(memo) + len(missing) > MEMO_PIECES:
             memo.clear()
-            missing = list(pieces)
-        long = {}
-        for start, stop in by_bytes(missing, SLICE_CHARS // 4):
+        found = {}
+        for start, stop in by_bytes(missing, SLICE_CHARS):
             some = missing[start:stop]
-            for piece, got in zip(some, self.tokenizer.encode_batch([prefix + p for p in some] if prefix else some, add_special_tokens=False), strict=True):
-                (memo if len(piece) <= MEMO_CHARS else long)[piece] = self.make(got.ids)
-        return memo | long if long else memo
+            for piece, got in zip(some, self.tokenizer.encode_batch_fast([prefix + p for p in some] if prefix else some, add_special_tokens=False), strict=True):
+                found[piece] = self.make(got)
+        memo.update((p, v) for p, v in found.items() if len(p) <= MEMO_CHARS)
+        return found
+
+    def _look_up(self, memo: dict, lists: list[list[str]], prefix: str) -> list[list]:
+        values = [list(map(memo.get, pieces)) for pieces in lists]
+        holes = [k for k, got in enumerate(values) if None in got]
+        missing = list({p for k in holes for p, v in zip(lists[k], values[k], strict=True) if v is None})
+        if missing:
+            found = self._learn(memo, missing, prefix)
+            for k in holes:
+                values[k] = [found[p] if v is None else v for p, v in zip(lists[k], values[k], strict=True)]
+        return values
 
     def __call__(self, texts: list[str], join: Callable) -> list:
         """join(values of a text's pieces) for each text."""
         cut = [self.cut(t) for t in texts]
         if not self.spaced:
-            known = self._learn(self.later, set().union(*cut), "").__getitem__
-            return [join(map(known, pieces)) for pieces in cut]
-        heads = [pieces.pop(0) for pieces in cut]
-        head = self._learn(self.first, set(heads), "").__getitem__
-        known = self._learn(self.later, set().union(*cut), " ").__getitem__
-        return [join((head(h), *map(known, pieces))) for h, pieces in zip(heads, cut, strict=True)]
+            return [join(v) for v in self._look_up(self.later, cut, "")]
+        heads = self._look_up(self.first, [[pieces.pop(0)] for pieces in cut], "")
+        return [join(h + v) for h, v in zip(heads, self._look_up(self.later, cut, " "), strict=True)]
 
 
-def packed(ids: list[int]) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers."""
-    return np.asarray(ids, "<u4").tobytes()
+def packed(encoding) -> bytes:
+    """An encoding's ids as little-endian unsigned 32-bit integers."""
+    ids = encoding.ids
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _coders: dict[tuple, PieceCoder] = {}
