@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import bpe
-from plantlens.llm.common import table
+from plantlens.llm import bpe, ngram_join, packing, quality
+from plantlens.llm.common import settle, table
 
 #: Documents of more tokens than this are marked by op8.
 TOKEN_LIMIT = 1024
@@ -21,11 +21,28 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(coded, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the 5-word Jaccard join of all documents."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     counts = bpe.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op8_token_counts)}
-ORACLES: dict[str, str] = {}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all documents by base rules and risk-controlled cutoffs."""
+    measured = settle(quality.measure(table(spark, sf_dir, "documents")))
+    verdicts = quality.judge(measured, quality.calibrate(measured, table(spark, sf_dir, "labels")))
+    return verdicts.select("doc_id", *quality.MEASURES, "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_best_fit_packing, op7_ngram_jaccard, op8_token_counts, op9_quality_rules)}
+ORACLES: dict[str, str] = {"op9_quality_rules": quality.ORACLE}
