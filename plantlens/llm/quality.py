@@ -161,10 +161,10 @@ with d as (
          list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ln
   from documents),
-u as (select doc_id, w, unnest(range(1, len(w) - 1)) as at from d where len(w) >= 3),
-g as (select doc_id, at, count(*) over (partition by doc_id, w[at], w[at + 1], w[at + 2]) as n from u),
-s as (select doc_id, at, lag(at) over (partition by doc_id order by at) as prev from g where n > 1),
-r as (select doc_id, sum(least(3, coalesce(at - prev, 3))) as n from s group by 1),
+u as (select doc_id, w, unnest(range(1, len(w) - 1)) as pos from d where len(w) >= 3),
+g as (select doc_id, pos, count(*) over (partition by doc_id, w[pos], w[pos + 1], w[pos + 2]) as n from u),
+s as (select doc_id, pos, lag(pos) over (partition by doc_id order by pos) as prev from g where n > 1),
+r as (select doc_id, sum(least(3, coalesce(pos - prev, 3))) as n from s group by 1),
 m as (
   select d.doc_id, lang, len(w) as n_words,
          length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) as word_chars,
