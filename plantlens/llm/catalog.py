@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import bpe, ngram_join, packing, quality
+from plantlens.llm import bpe, ngram_join, packing, pii, quality, toxicity
 from plantlens.llm.common import settle, table
 
 #: Documents of more tokens than this are marked by op8.
@@ -26,6 +26,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the 5-word Jaccard join of all documents."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
@@ -44,5 +49,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_best_fit_packing, op7_ngram_jaccard, op8_token_counts, op9_quality_rules)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; labels of held-out rows are never read by the fit."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(documents, labels, ~toxicity.held_out())
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.CUTOFF).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_best_fit_packing, op6_pii, op7_ngram_jaccard, op8_token_counts, op9_quality_rules, op10_toxicity)}
 ORACLES: dict[str, str] = {"op9_quality_rules": quality.ORACLE}
