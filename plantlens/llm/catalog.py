@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import bpe, ngram_join, packing, pii, quality, toxicity
+from plantlens.llm import bpe, html_text, license_scan, ngram_join, packing, pii, quality, toxicity, vector_dedup
 from plantlens.llm.common import settle, table
 
 #: Documents of more tokens than this are marked by op8.
@@ -21,11 +21,28 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(coded, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = html_text.extract(table(spark, sf_dir, "pages"), keep=("url",))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors among all embeddings."""
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in all documents."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
@@ -57,5 +74,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.CUTOFF).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_best_fit_packing, op6_pii, op7_ngram_jaccard, op8_token_counts, op9_quality_rules, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_extraction, op3_embedding_near_dedup, op4_best_fit_packing, op5_license_scan, op6_pii, op7_ngram_jaccard, op8_token_counts, op9_quality_rules, op10_toxicity)}
 ORACLES: dict[str, str] = {"op9_quality_rules": quality.ORACLE}
