@@ -9,8 +9,9 @@ Two documents link if 100 * |intersection| >= percent * |union| of their sets of
 2. The sets that are left have their columns counted; pairs can only come from the rarest columns of each set,
    as many as the size bound leaves. Per column each set is paired with the column's least and greatest set,
    overlaps are accumulated exactly, and links joined to components.
-3. Sets of one column that are in different components after that are paired with each other, so no link
-   between components is missed; pairs inside a component need no test.
+3. Sets that columns join into one family, but links so far don't into one component, are multiplied with each
+   other in tiles of at most TILE sets a side, so no link between components is missed; pairs inside a component
+   need no test, and no pair leaves a tile but those that join components.
 
 A column of any number of documents costs one entry for each document and column block, and at most one for
 each map task where several sets of the task share it. Texts are whole. Null or empty texts and texts without
@@ -37,6 +38,8 @@ WORDS, PERCENT = 5, 75
 EXTRA = 0.10
 #: Column blocks for each shuffle partition; characters hashed at a time; prefix entries gathered before they are dealt.
 BLOCKS, SLICE_CHARS, FLUSH = 2, 1 << 20, 4_000_000
+#: Sets in a tile, and columns multiplied at a time.
+TILE, COLUMNS = 512, 4096
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -260,7 +263,7 @@ def _fits(na: str, nb: str, percent: int):
 
 
 def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) among distinct sets (id, n, grams) that join all that belong together."""
+    """Links (a, b) among distinct sets (id, n, grams) that join all that belong together, not all that there are."""
     entries = sets.select("id", "n", F.explode("grams").alias("gram"))
     counted = entries.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
     shared = entries.join(counted, "gram")
@@ -272,19 +275,52 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     me = F.struct("id", "n")
     ends = kept.groupBy("gram").agg(F.min(me).alias("lo"), F.max(me).alias("hi")).filter("lo <> hi")
-    first = kept.join(ends, "gram").select("id", "n", F.explode(F.array("lo", "hi")).alias("p")).select("id", "n", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"))
-    first = first.filter(F.col("id") != F.col("pid")).filter(_fits("n", "pn", percent)).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
-    first = settle(first)
+    near = kept.join(ends, "gram").select("id", "n", F.explode(F.array("lo", "hi")).alias("p")).select("id", "n", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"))
+    near = settle(near.filter("id <> pid").distinct())
+    first = near.filter(_fits("n", "pn", percent)).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
     found = settle(_verified(first, sets, percent))
 
-    parts = components(found)
-    named = kept.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "gram", F.coalesce("component", "id").alias("part"))
-    mixed = named.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("gram")
-    rest = settle(named.join(mixed, "gram"))
-    other = rest.select("gram", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "part")))
-    more = rest.join(other, "gram").filter("id < id_2 and part <> part_2").filter(_fits("n", "n_2", percent))
-    more = more.select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return found.union(settle(_verified(more, sets, percent)))
+    # Sets joined by columns form families; those of one component are settled.
+    family = components(near.select("id", "pid"), "id", "pid").select(F.col("node").alias("id"), F.col("component").alias("family"))
+    family = family.join(components(found).withColumnRenamed("node", "id"), "id", "left").select("id", "family", F.coalesce("component", "id").alias("part"))
+    family = settle(family)
+    mixed = family.groupBy("family").agg(F.count("*").alias("members"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi")
+    tiles = F.ceil(F.col("members") / TILE).cast("int")
+    members = family.join(mixed, "family").select("id", "family", "part", tiles.alias("tiles"), F.pmod(F.xxhash64("id"), tiles).cast("int").alias("own"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("id", "family", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    across = dealt.join(sets.select("id", "grams"), "id").groupBy("family", "i", "j").applyInArrow(_tile_product(percent), "a long, b long")
+    return found.union(settle(across.distinct()))
+
+
+def _tile_product(percent: int):
+    """Links between components among the sets of two tiles, by products of their incidence matrices, a block of columns at a time."""
+
+    def run(group: pa.Table) -> pa.Table:
+        part = group["part"].to_numpy()
+        grams = group["grams"].combine_chunks()
+        size = np.diff(grams.offsets.to_numpy())
+        row = np.repeat(np.arange(len(part)), size)
+        _, column, count = np.unique(grams.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        dense = np.cumsum(count > 1) - 1
+        keep = count[column] > 1
+        row, column = row[keep], dense[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        overlap = np.zeros((len(part), len(part)), np.float32)
+        width = int(column[-1]) + 1 if len(column) else 0
+        for start in range(0, width, COLUMNS):
+            a, b = np.searchsorted(column, (start, start + COLUMNS))
+            block = np.zeros((len(part), min(COLUMNS, width - start)), np.float32)
+            block[row[a:b], column[a:b] - start] = 1
+            overlap += block @ block.T
+        x, y = np.nonzero(np.triu(overlap, 1))
+        o = overlap[x, y].astype(np.int64)
+        ok = (100 * o >= percent * (size[x] + size[y] - o)) & (part[x] != part[y])
+        pairs = np.unique(np.sort(np.stack([part[x[ok]], part[y[ok]]], 1), 1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
