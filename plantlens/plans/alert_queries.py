@@ -19,7 +19,7 @@ _DATE = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 _IDN = "case when {n} < 10000 then lpad({n}::varchar, 4, '0') else {n}::varchar end"
 _FLAG = f"f as (select stream_id, seq, ts, value, case when value > {THR} then 1 else 0 end hit from ev), g as (select *, sum(case when hit = 1 and coalesce(lh, 0) = 0 then 1 else 0 end) over (partition by stream_id order by seq) open_seq, lead(ts) over (partition by stream_id order by seq) nx from (select *, lag(hit) over (partition by stream_id order by seq) lh from f))"
 INCIDENTS = (
-    "select stream_id, 'alert-' || " + _IDN.format(n="open_seq") + " || '-' || " + _DATE.format("min(ts)") + " alert_id, open_seq::bigint open_seq, 'ML_ANOMALY' category, case when arg_max(nx, seq) is null and max(last) = max(seq) then 'OPEN' else 'CLOSED' end status, "
+    "select stream_id, 'alert-' || " + _IDN.format(n="open_seq") + " || '-' || " + _DATE.format("min(ts)") + " alert_id, open_seq::bigint open_seq, 'ML_ANOMALY' category, case when max(last) = max(seq) then 'OPEN' else 'CLOSED' end status, "
     f"case when max(value) / {THR} >= 10 then 'HIGH' when max(value) / {THR} >= 2 then 'MEDIUM' else 'LOW' end severity, max(value) anomaly_score, count(*) anomaly_count, min(seq) start_seq, max(seq) end_seq, min(ts) opened_at, max(ts) window_end, "
     "case when max(last) = max(seq) then null else arg_max(nx, seq) end closed_at from (select *, max(seq) over (partition by stream_id) last from g) where hit = 1 group by stream_id, open_seq"
 )

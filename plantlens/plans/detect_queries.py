@@ -95,7 +95,7 @@ def feature_errors(spark, d):
     return reconstructed(spark, d).select("vec_id", F.posexplode(scores.feature_errors("x1", "x2", "x")).alias("pos", "error")).withColumn("error", r6("error"))
 
 
-@query(f"with {_MEANS} select vec_id, (row_number() over w)::int as place, round(err, 6) error from e qualify row_number() over w <= 5 window w as (partition by vec_id order by err desc, pos)")
+@query(f"with {_MEANS} select vec_id, (row_number() over w)::int as place, round(err, 6) error from e window w as (partition by vec_id order by err desc, pos) qualify row_number() over w <= 5")
 def top_features(spark, d):
     made = reconstructed(spark, d).select("vec_id", scores.feature_errors("x1", "x2", "x").alias("errors"))
     top = made.select("vec_id", F.posexplode(scores.top_features("errors", None, 5)).alias("place", "f"))
