@@ -41,7 +41,8 @@ def over_threshold(score: str | Column, threshold: Column | float) -> Column:
 
 def severity(score: str | Column, threshold: str | Column | float) -> Column:
     s, t = col(score), F.lit(threshold) if isinstance(threshold, int | float) else col(threshold)
-    return F.when((t <= 0) | (s / t >= HIGH_RATIO), "HIGH").when(s / t >= MEDIUM_RATIO, "MEDIUM").otherwise("LOW")
+    times = F.try_divide(s, t)
+    return F.when((t <= 0) | (times >= HIGH_RATIO), "HIGH").when(times >= MEDIUM_RATIO, "MEDIUM").otherwise("LOW")
 
 
 def classify_channel(c: str | Column) -> Column:
@@ -52,4 +53,4 @@ def classify_channel(c: str | Column) -> Column:
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, or 0 where b is 0."""
-    return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
+    return F.when(b == 0, F.lit(0.0)).otherwise(F.try_divide(a, b))

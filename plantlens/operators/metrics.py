@@ -59,19 +59,19 @@ def curve(df: DataFrame, score: str = "score", truth: str = "label", buckets: in
 
 
 def roc_curve(df: DataFrame, score: str = "score", truth: str = "label") -> DataFrame:
-    return curve(df, score, truth).select(F.col("score").alias("threshold"), (F.col("fp") / F.col("all_neg")).alias("fpr"), (F.col("tp") / F.col("all_pos")).alias("tpr"))
+    return curve(df, score, truth).select(F.col("score").alias("threshold"), F.try_divide("fp", "all_neg").alias("fpr"), F.try_divide("tp", "all_pos").alias("tpr"))
 
 
 def pr_curve(df: DataFrame, score: str = "score", truth: str = "label") -> DataFrame:
-    return curve(df, score, truth).select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("all_pos")).alias("recall"))
+    return curve(df, score, truth).select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "all_pos").alias("recall"))
 
 
 def auc(df: DataFrame, score: str = "score", truth: str = "label") -> DataFrame:
     """roc_auc (ties count half) and average_precision (step-wise); null if a class is missing."""
     c = curve(df, score, truth)
     both = (F.max("all_pos") > 0) & (F.max("all_neg") > 0)
-    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + 0.5 * F.col("pos") * F.col("neg")) / (F.max("all_pos").cast("double") * F.max("all_neg"))
-    steps = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("all_pos")
+    area = F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + 0.5 * F.col("pos") * F.col("neg")), F.max("all_pos").cast("double") * F.max("all_neg"))
+    steps = F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.max("all_pos"))
     return c.agg(F.when(both, area).alias("roc_auc"), F.when(both, steps).alias("average_precision"))
 
 

@@ -63,7 +63,7 @@ def duplicate_profile(df: DataFrame, features: list[str], ts: str = "ts") -> Dat
     rows = df.groupBy(*features).agg(F.count("*").alias("c"), F.count_if(F.col("label") == 0).alias("normal"))
     rows = rows.agg(F.sum(F.col("c") - 1).alias("dup_rows"), F.sum(F.when(F.col("c") > 1, F.col("normal")).otherwise(0)).alias("dup_normal"), F.sum("normal").alias("normal"))
     times = df.groupBy(ts).agg(F.count("*").alias("c")).agg(F.sum(F.col("c") - 1).alias("dup_times"))
-    return rows.crossJoin(times).select("dup_rows", "dup_times", (F.col("dup_normal") / F.col("normal")).alias("dup_normal_share"))
+    return rows.crossJoin(times).select("dup_rows", "dup_times", F.try_divide("dup_normal", "normal").alias("dup_normal_share"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

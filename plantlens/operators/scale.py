@@ -45,7 +45,7 @@ def fit_minmax_windows(df: DataFrame, features: list[str], size: int, stream: li
     rows = placed.select(*features, step).groupBy("t").agg(*(g(f).alias(f"{n_}_{f}") for f in features for n_, g in (("low", F.min), ("high", F.max))))
     cells = F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(k).alias("pos"), F.col(f"low_{f}").alias("low"), F.col(f"high_{f}").alias("high")) for k, f in enumerate(features))))
     made = rows.select("t", cells)
-    return made.withColumn("scale", F.when(F.col("high") == F.col("low"), 1.0).otherwise(1 / (F.col("high") - F.col("low"))))
+    return made.withColumn("scale", F.when(F.col("high") == F.col("low"), 1.0).otherwise(F.try_divide(F.lit(1.0), F.col("high") - F.col("low"))))
 
 
 def apply_minmax(windows: DataFrame, params: DataFrame, values: str = "flat", clip: bool = False) -> DataFrame:
