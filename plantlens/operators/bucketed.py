@@ -1,6 +1,6 @@
 """Bucketed forms for few, very long streams: nothing is partitioned by the stream alone.
 
-A global sequence number comes from range partitions and their counts; windows run inside buckets of it that
+A global sequence number comes from parts of time and their counts; windows run inside buckets of it that
 carry a halo of the rows before them; runs are found inside buckets and stitched through one small row for each.
 All results equal those of the keyed forms.
 """
@@ -13,16 +13,21 @@ from pyspark.sql import functions as F
 from plantlens.operators.order import STREAM
 
 
-def with_global_seq(df: DataFrame, order: list[str], stream: list[str] = STREAM, partitions: int | None = None) -> DataFrame:
-    """seq as in with_seq; only counts per stream and range partition meet in a window."""
-    cols = [*stream, *order]
-    parts = df.repartitionByRange(*([partitions] if partitions else []), *cols).withColumn("_part", F.spark_partition_id())
+def with_global_seq(df: DataFrame, order: list[str], stream: list[str] = STREAM, part: Column | None = None) -> DataFrame:
+    """seq as in with_seq; a window gets the rows of one part (by default a day of the first order column) of a stream.
+
+    `part` must be a function of the row that grows with the order. Only counts per stream and part meet otherwise.
+    """
+    parts = df.withColumn("_part", F.date_trunc("day", F.col(order[0])) if part is None else part)
     counts = parts.groupBy(*stream, "_part").agg(F.count("*").alias("_n"))
     ahead = Window.partitionBy(*stream).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*stream, "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    counts = counts.select(*(F.col(c).alias(f"_k_{c}") for c in stream), F.col("_part").alias("_k_part"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
     own = F.row_number().over(Window.partitionBy(*stream, "_part").orderBy(*order)) - 1
-    numbered = parts.withColumn("_own", own).join(counts, [*stream, "_part"])
-    return numbered.withColumn("seq", (F.col("_ahead") + F.col("_own")).cast("long")).drop("_part", "_own", "_ahead")
+    same = F.col("_part").eqNullSafe(F.col("_k_part"))
+    for c in stream:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    numbered = parts.withColumn("_own", own).join(counts, same)
+    return numbered.withColumn("seq", (F.col("_ahead") + F.col("_own")).cast("long")).select(*(c for c in df.columns if c != "seq"), "seq")
 
 
 def with_halo(df: DataFrame, bucket: int, halo: int) -> DataFrame:

@@ -42,14 +42,17 @@ def score_metrics(df: DataFrame, score: str, threshold: float, truth: str = "lab
     return prf(df.withColumn("pred", over_threshold(score, threshold).cast("int")), truth, "pred", point_adjusted)
 
 
-def curve(df: DataFrame, score: str = "score", truth: str = "label", buckets: int | None = None) -> DataFrame:
+def curve(df: DataFrame, score: str = "score", truth: str = "label", buckets: int = 64) -> DataFrame:
     """Per distinct score, from the highest: tp and fp at "score or higher", with totals.
 
-    Scores are aggregated first; prefix sums then run over range partitions with the sums of the partitions
-    before, so distinct scores of any number never meet in one task.
+    Scores are aggregated first; prefix sums then run inside ranges between approximate quantiles (literals, so
+    every evaluation cuts alike) with the sums of the ranges before, so distinct scores of any number never
+    meet in one task.
     """
     by_score = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
-    parts = by_score.repartitionByRange(*([buckets] if buckets else []), F.desc("score")).withColumn("_part", F.spark_partition_id())
+    found = df.agg(F.percentile_approx(score, [k / buckets for k in range(1, buckets)], 1000)).first()[0] or []
+    cuts = F.array(*(F.lit(float(c)) for c in sorted(set(found)))).cast("array<double>")
+    parts = by_score.withColumn("_part", F.size(F.filter(cuts, lambda c: c >= F.col("score"))))
     sums = parts.groupBy("_part").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     sums = sums.select("_part", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before") for c in ("_pos", "_neg")), *(F.sum(c).over(Window.partitionBy()).alias(f"all{c}") for c in ("_pos", "_neg")))

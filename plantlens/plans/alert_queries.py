@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantlens import views
-from plantlens.functions.cells import classify_channel, over_threshold, severity
+from plantlens.functions.cells import classify_channel, over_threshold, severity as severity_of
 from plantlens.operators import alerts as al, fusion, health as hl, incidents as inc, metrics, profile, scale, thresholds
 from plantlens.plans.detect_queries import LONG_RUNS, THR, channel_runs, predicted, threshold
 from plantlens.plans.registry import query, r6
@@ -106,8 +106,8 @@ def incident_peak(spark, d):
 
 
 @query(f"select event_id, case when value / ({THR} / 4) >= 10 then 'HIGH' when value / ({THR} / 4) >= 2 then 'MEDIUM' else 'LOW' end severity from ev", "ev")
-def severity_bands(spark, d):
-    return views.ev(spark, d).select("event_id", severity("value", threshold(spark, d) / 4).alias("severity"))
+def severity(spark, d):
+    return views.ev(spark, d).select("event_id", severity_of("value", threshold(spark, d) / 4).alias("severity"))
 
 
 @query(f"with {_FLAG} select stream_id, alert_id from ({INCIDENTS})", "ev")

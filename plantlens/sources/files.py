@@ -53,14 +53,14 @@ def read_telemetry_csv(spark: SparkSession, pattern: str, exclude: str | None =
         raw = raw.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), "_bad", F.lit(name).alias("source"), F.lit(rank).alias("source_rank"))
         t, y = time or _pick(names, TIME_NAMES), label or _pick(names, LABEL_NAMES)
         features = [n for n in names if n not in (t, y)]
+        # Filters, so that no projection can prune the check; they also need a field besides the raw row.
+        some = F.length(F.concat(F.coalesce("_bad", F.lit("")), F.coalesce(F.col(f"`{names[0]}`"), F.lit("")))) >= 0
         if mode == "reject":
-            # A filter, so that no projection can prune the check; it also needs a field besides the raw row.
             fail = F.raise_error(F.concat(F.lit(f"{name}: a row has not {len(names)} fields: "), F.col("_bad"))).cast("boolean")
-            whole = F.length(F.concat(F.coalesce("_bad", F.lit("")), F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))))
-            raw = raw.filter(F.when(F.col("_bad").isNotNull() & (whole >= 0), fail).otherwise(whole >= 0))
+            raw = raw.filter(F.when(F.col("_bad").isNotNull() & some, fail).otherwise(some))
         else:
-            bad.append(raw.filter("_bad is not null").select("source", F.col("_bad").alias("row")))
-            raw = raw.filter("_bad is null")
+            bad.append(raw.filter(F.col("_bad").isNotNull() & some).select("source", F.col("_bad").alias("row")))
+            raw = raw.filter(F.col("_bad").isNull() & some)
         columns = [(parse_ts(f"`{t}`", ts_format) if ts_format else F.col(f"`{t}`").try_cast("timestamp")).alias("ts")] if t else []
         columns += [F.expr(f"try_cast(trim(`{f}`) as double)").alias(f) for f in features]
         columns += [normalise_label(F.col(f"`{y}`"), needle, numeric=True).alias("label")] if y else []

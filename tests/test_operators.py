@@ -218,7 +218,7 @@ def test_params_round_trip(spark, tmp_path):
 def test_bucketed_equals_keyed(spark, sf):
     li = views.li(spark, sf).withColumn("LIT101", F.when(F.col("seq") % 11 != 0, F.col("LIT101")))
     li = li.withColumns({"plant": F.col("stream_id"), "old": F.col("seq"), "stream_id": F.lit(1)}).drop("seq")
-    one = bucketed.with_global_seq(li, ["ts", "plant", "old"], partitions=5)
+    one = bucketed.with_global_seq(li, ["ts", "plant", "old"])
     assert one.agg(F.min("seq"), F.max("seq"), F.countDistinct("seq"), F.count("*")).first()[:] == (0, one.count() - 1, one.count(), one.count())
     keyed = one.withColumn("m", F.max("label").over(windows.frame(30)))
     fast = bucketed.over_windows(one, 30, {"m": lambda w: F.max("label").over(w)}, 100)
