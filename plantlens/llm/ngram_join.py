@@ -80,9 +80,10 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _power(_BASE, len(data)))])
         hashed = mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
-        grams = np.zeros(max(0, len(hashed) - words + 1), np.uint64)
+        n = max(0, len(hashed) - words + 1)
+        grams = np.zeros(n, np.uint64)
         for k in range(words):
-            grams = mix(grams * np.uint64(0x2545F4914F6CDD1D) + hashed[k : len(hashed) - words + 1 + k])
+            grams = mix(grams * np.uint64(0x2545F4914F6CDD1D) + hashed[k : k + n])
         first = np.searchsorted(starts, np.concatenate([[0], ends_at]))
         out = []
         for a, b in zip(first[:-1], first[1:], strict=True):
