@@ -47,16 +47,24 @@ def map_to_vector(readings: str, features: list[str]) -> Column:
     return F.when(ok, values).otherwise(F.raise_error(F.concat(F.lit("keys differ from the contract: "), F.array_join(keys, ","))).cast("array<double>"))
 
 
-def label_by_ranges(df: DataFrame, ranges: list[tuple[str, str]] | DataFrame, ts: str = "ts") -> DataFrame:
-    """label 1 where ts lies in an inclusive range. A list becomes a predicate, a frame a broadcast-free semi join marked by rows."""
+def label_by_ranges(df: DataFrame, ranges: list[tuple[str, str]] | DataFrame, ts: str = "ts", most: int = 1000) -> DataFrame:
+    """label 1 where ts lies in an inclusive range (range_start, range_end).
+
+    Up to `most` ranges become a predicate. More are joined: a range meets the days that it touches, so rows and
+    ranges are matched by an equi-join on the day, over distinct times only.
+    """
     if isinstance(ranges, DataFrame):
-        keyed = df.withColumn("_row", F.struct(*df.columns))
-        hit = keyed.join(ranges, (F.col(ts) >= F.col("range_start")) & (F.col(ts) <= F.col("range_end")), "left_semi").select("_row", F.lit(1).alias("label")).distinct()
-        return keyed.join(hit, "_row", "left").drop("_row").fillna(0, ["label"])
+        few = ranges.select("range_start", "range_end").limit(most + 1).collect()
+        if len(few) > most:
+            spans = ranges.select("range_start", "range_end", F.explode(F.sequence(F.to_date("range_start"), F.to_date("range_end"))).alias("_day"))
+            times = df.select(ts).distinct().withColumn("_day", F.to_date(ts))
+            hits = times.join(spans, "_day").filter(F.col(ts).between(F.col("range_start"), F.col("range_end"))).select(ts, F.lit(1).alias("label")).distinct()
+            return df.drop("label").join(hits, ts, "left").fillna(0, ["label"])
+        ranges = [(str(r["range_start"]), str(r["range_end"])) for r in few]
     inside = F.lit(False)
     for start, end in ranges:
         inside = inside | F.col(ts).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
-    return df.withColumn("label", inside.cast("int"))
+    return df.withColumn("label", F.coalesce(inside, F.lit(False)).cast("int"))
 
 
 def assert_count(df: DataFrame, n: int) -> DataFrame:

@@ -268,3 +268,13 @@ def test_scores(spark):
     assert [(f.feature, f.error) for f in top] == [("b", 3.0), ("c", 3.0)]
     with pytest.raises(ValueError):
         scores.ensemble(df, ["t"])
+
+
+def test_label_ranges_as_a_frame(spark, sf):
+    ev = views.table(spark, sf, "events").select("event_id", "ts")
+    ranges = [("2024-01-03 00:00:00", "2024-01-05 12:00:00"), ("2024-01-10 00:00:00", "2024-01-10 23:59:59")]
+    frame = spark.createDataFrame(ranges, "a string, b string").selectExpr("cast(a as timestamp_ntz) range_start", "cast(b as timestamp_ntz) range_end")
+    want = clean.label_by_ranges(ev, ranges).select("event_id", "label")
+    for most in (1000, 1):
+        got = clean.label_by_ranges(ev, frame, most=most).select("event_id", "label")
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count()
