@@ -12,15 +12,18 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
+    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a local folder is made and set.
+    Only where the session names none (tests on one machine) a local folder is made, once for each application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="plantlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _local_folders.get(app) or _local_folders.setdefault(app, "file://" + tempfile.mkdtemp(prefix="plantlens-"))
     return folder
 
 
