@@ -15,8 +15,8 @@ Repeated labels of a document count once, as toxic if any says so. Only the id a
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -221,13 +221,15 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
     if not len(y) or y.min() == y.max():
         return None
     rng = np.random.default_rng(seed)
-    words = [words_of(t) for t in texts]
     share = float(np.clip(y.mean(), 0.02, 0.98))
-    kinds = sorted({k for w in words for k in w})
-    number = {k: n for n, k in enumerate(kinds)}
-    own = [np.array(sorted({number[k] for k in w}), np.int64) for w in words]
+    number: dict[str, int] = {}
+    words = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+    kinds = list(number)
+    del number
+    own = [np.unique(w) for w in words]
     keys, begin = grams_of(kinds)
-    gram, which = np.unique(keys, return_inverse=True)
+    gram = np.unique(keys)
+    which = np.searchsorted(gram, keys).astype(np.int32)
     ends = np.append(begin[1:], len(keys))
     in_docs = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(k for k, label in zip(own, y, strict=True) if label == c)]), minlength=len(kinds)) for c in (1, 0)]
     gram_docs = [np.zeros(len(gram), np.int64) for _ in range(2)]
@@ -249,14 +251,15 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
         evidence.append(np.column_stack([_odds(in_docs[0] - less[0], in_docs[1] - less[1], share), gram_evidence(keys, begin, gram, less_odds)]).astype(np.float32))
     doc, window = [], []
     for d, w in enumerate(words):
-        if not w:
+        if not len(w):
             continue
         at = starts(len(w))
         for s in at if len(at) <= SAMPLE_WINDOWS else [at[int(k)] for k in np.linspace(0, len(at) - 1, SAMPLE_WINDOWS)]:
-            part = [number[k] for k in w[s : s + WINDOW]]
+            part = np.full(WINDOW, -1, np.int32)
+            part[: len(w) - s] = w[s : s + WINDOW]
             doc.append(d)
-            window.append(part + [-1] * (WINDOW - len(part)))
-    doc, window = np.array(doc), np.array(window, np.int64)
+            window.append(part)
+    doc, window = np.array(doc), np.array(window)
 
     def table() -> tuple[np.ndarray, np.ndarray]:
         mean = np.add.reduceat(weights["gram_rows"][gram_row], first) / size[:, None]
@@ -323,9 +326,15 @@ def train(df: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_
     order = [F.crc32(F.concat(F.lit("sample"), F.col("id").cast("string"))), "id"]
     chosen = known.filter("toxic = 1").orderBy(*order).limit(sample).union(known.filter("toxic = 0").orderBy(*order).limit(3 * sample))
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").filter("text is not null").collect()  # bounded by the parameter
-    rows.sort(key=lambda r: (r["id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    rows = texts.join(F.broadcast(chosen), "id").filter("text is not null")  # at most 4 * sample labels, and documents
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((r["id"], r["text"], r["toxic"]) for batch in batches for r in batch.to_pylist())
+        model = fit([t for _, t, _ in held], [t for _, _, t in held])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # One task fits, on the bounded sample; the driver gets the weights only.
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
 
 class Scorer:
