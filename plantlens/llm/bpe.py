@@ -11,6 +11,7 @@ tables need no care; only the id and text columns are read, so further columns m
 from __future__ import annotations
 
 import base64
+import gc
 import os
 import re
 import struct
@@ -26,7 +27,7 @@ from plantlens.llm.common import by_bytes
 #: Characters of text handled at a time inside a task.
 SLICE_CHARS = 2 << 20
 #: Pieces kept in a worker's memo, and the longest piece that is kept.
-MEMO_PIECES, MEMO_CHARS = 700_000, 48
+MEMO_PIECES, MEMO_CHARS = 1_600_000, 48
 
 _SPACES = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -65,7 +66,10 @@ def load_tokenizer(path: str):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
     if path.endswith(".json"):
-        return Tokenizer.from_file(path)
+        made = Tokenizer.from_file(path)
+        if hasattr(made.model, "_resize_cache"):
+            made.model._resize_cache(0)  # the memo below does its work
+        return made
     ranks, letters = read_ranks(path), byte_alphabet()
     shown = lambda raw: "".join(letters[b] for b in raw)
     merges = [tuple(map(shown, _last_merge(t, ranks))) for t, _ in sorted(ranks.items(), key=lambda x: x[1]) if len(t) > 1]
@@ -74,20 +78,22 @@ def load_tokenizer(path: str):
     return made
 
 
-def cut_before_spaces(text: str) -> list[str]:
-    """Pieces of a text for vocabularies whose tokens may begin, but not go on after, with one space.
+def cut_before_spaces(text: str) -> list[list[str]]:
+    """Lines of pieces for vocabularies whose tokens may begin, but not go on after, with one space.
 
-    A boundary lies before each single space between characters that aren't white space. Joined by spaces
-    the pieces give the text; all but the first are meant to begin with the space.
+    A line break between characters that aren't white space is a token of its own, and a boundary lies before each
+    single space between such characters. Lines joined by breaks and their pieces by spaces give the text; all
+    but a line's first piece are meant to begin with the space. Texts with other white space are cut at safe
+    spaces only.
     """
     if text[:1].isspace() or text[-1:].isspace() or _SPACES.search(text):
-        return _SAFE.split(text)
-    return text.split(" ")
+        return [_SAFE.split(text)]
+    return [line.split(" ") for line in text.split("\n")]
 
 
 def cut_at_spaces(text: str) -> list[str]:
-    """Pieces for vocabularies that drop white space: between any two spaces."""
-    return text.split(" ")
+    """Pieces for vocabularies that drop white space: between any two spaces or line breaks."""
+    return text.replace("\n", " ").split(" ")
 
 
 class PieceCoder:
@@ -95,39 +101,78 @@ class PieceCoder:
 
     def __init__(self, tokenizer, make: Callable, spaced: bool):
         self.tokenizer, self.make, self.spaced = tokenizer, make, spaced
-        self.cut = cut_before_spaces if spaced else cut_at_spaces
+        self.marks = {m: make(tokenizer.encode(m, add_special_tokens=False)) for m in ".,"}
+        self.line_break = make(tokenizer.encode("\n", add_special_tokens=False))
         self.first: dict = {}
         self.later: dict = {}
 
-    def _learn(self, memo: dict, missing: list[str], prefix: str) -> dict:
-        """Encode what is missing, keep its short pieces in the memo, and return all of it."""
-        if len(memo) + len(missing) > MEMO_PIECES:
-            memo.clear()
-        found = {}
-        for start, stop in by_bytes(missing, SLICE_CHARS):
-            some = missing[start:stop]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast([prefix + p for p in some] if prefix else some, add_special_tokens=False), strict=True):
-                found[piece] = self.make(got)
-        memo.update((p, v) for p, v in found.items() if len(p) <= MEMO_CHARS)
-        return found
+    def _learn(self, memo: dict, missing: list[str], prefix: str) -> None:
+        """Add the values of missing pieces to the memo.
+
+        One full stop or comma after an ASCII letter is a token of its own, so such pieces are put together from
+        two parts; where the vocabulary lowers letters anyway, ASCII pieces are lowered first (unless they may hold
+        a special token).
+        """
+        marks, lower = self.marks, not self.spaced
+        parts, stems = [], set()
+        for piece in missing:
+            stem, mark = piece, piece[-1:]
+            if mark in marks and (before := piece[-2:-1]).isalpha() and before.isascii():
+                stem = piece[:-1]
+            else:
+                mark = ""
+            if lower and stem.isascii() and "<|" not in stem:
+                stem = stem.lower()
+            if stem not in memo:
+                stems.add(stem)
+            if mark or stem != piece:
+                parts.append((piece, stem, mark))
+        todo, make = list(stems), self.make
+        for start in range(0, len(todo), 20_000):
+            some = todo[start : start + 20_000]
+            encoded = self.tokenizer.encode_batch_fast([prefix + s for s in some] if prefix else some, add_special_tokens=False)
+            memo.update(zip(some, map(make, encoded), strict=True))
+        for piece, stem, mark in parts:
+            memo[piece] = memo[stem] + marks[mark] if mark else memo[stem]
 
     def _look_up(self, memo: dict, lists: list[list[str]], prefix: str) -> list[list]:
         values = [list(map(memo.get, pieces)) for pieces in lists]
         holes = [k for k, got in enumerate(values) if None in got]
-        missing = list({p for k in holes for p, v in zip(lists[k], values[k], strict=True) if v is None})
-        if missing:
-            found = self._learn(memo, missing, prefix)
-            for k in holes:
-                values[k] = [found[p] if v is None else v for p, v in zip(lists[k], values[k], strict=True)]
+        missing = {p for k in holes for p, v in zip(lists[k], values[k], strict=True) if v is None}
+        if not missing:
+            return values
+        if len(memo) + 2 * len(missing) > MEMO_PIECES:
+            memo.clear()
+            missing = set().union(*(lists[k] for k in holes))
+        self._learn(memo, list(missing), prefix)
+        for k in holes:
+            values[k] = list(map(memo.__getitem__, lists[k]))
+        for piece in [p for p in missing if len(p) > MEMO_CHARS]:  # and their stems
+            memo.pop(piece, None)
+            memo.pop(piece[:-1], None)
         return values
 
     def __call__(self, texts: list[str], join: Callable) -> list:
         """join(values of a text's pieces) for each text."""
-        cut = [self.cut(t) for t in texts]
+        gc.disable()  # many lists of strings and no cycles: passes of the collector find nothing
+        try:
+            return self._encode(texts, join)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str], join: Callable) -> list:
         if not self.spaced:
-            return [join(v) for v in self._look_up(self.later, cut, "")]
-        heads = self._look_up(self.first, [[pieces.pop(0)] for pieces in cut], "")
-        return [join(h + v) for h, v in zip(heads, self._look_up(self.later, cut, " "), strict=True)]
+            return [join(v) for v in self._look_up(self.later, [cut_at_spaces(t) for t in texts], "")]
+        cut = [cut_before_spaces(t) for t in texts]
+        lines = [line for text in cut for line in text]
+        heads = self._look_up(self.first, [[line.pop(0)] for line in lines], "")
+        values = [join(h + v) for h, v in zip(heads, self._look_up(self.later, lines, " "), strict=True)]
+        out, at, pause = [], 0, self.line_break
+        for text in cut:
+            own = values[at : at + len(text)]
+            at += len(text)
+            out.append(own[0] if len(own) == 1 else join([x for v in own for x in (pause, v)][1:]))
+        return out
 
 
 def packed(encoding) -> bytes:

@@ -231,7 +231,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     own = Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "ids_crc32")
-    ranked = items.withColumn("own", F.row_number().over(own) - 1).join(offsets, ["length", "salt"])
+    ranked = items.withColumn("own", F.row_number().over(own) - 1).join(offsets.hint("merge"), ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("ahead") + F.col("own"))
     # The plan's runs, by size, as sorted arrays: bounded by the capacity, looked up by binary search inside the task.
     by_size: dict[int, list] = {}
