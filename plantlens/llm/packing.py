@@ -184,17 +184,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
     for size in sorted((s for s in counts if s <= small and counts[s]), reverse=True):
         rank, left = 0, counts[size]
         for room in sorted(r for r in by_room if r >= size):
-            if not left:
-                break
-            while left and by_room.get(room):
-                # As many of this size as the sequence takes go into it, one level at a time.
+            each = room // size
+            while left and by_room[room]:
+                # A sequence takes all it has room for before the next one is opened; the last takes what is left.
                 first, n = by_room[room].pop()
-                some = min(n, left)
-                runs.append((size, rank, some, first, capacity - room))
-                rank, left = rank + some, left - some
+                deep, some = (each, min(n, left // each)) if left >= each else (left, 1)
+                for k in range(deep):
+                    runs.append((size, rank + k * some, some, first, capacity - room + k * size))
+                rank, left = rank + deep * some, left - deep * some
                 if some < n:
                     by_room[room].append((first + some, n - some))
-                by_room.setdefault(room - size, []).append((first, some))
+                by_room.setdefault(room - deep * size, []).append((first, some))
         if left:
             rest[size] = [rank, left]
     # What no open sequence can take fills sequences of its own: best fit, largest first, many alike at a time.

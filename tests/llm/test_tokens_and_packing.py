@@ -93,6 +93,16 @@ def test_plan(kind):
     assert len(bins) <= 1.02 * bound + 2
 
 
+@pytest.mark.parametrize(("counts", "most"), [({1400: 1000, 150: 4000}, 1000), ({1400: 1000, 150: 4002, 40: 999}, 1001), ({2000: 300, 7: 1803}, 301), ({700: 999, 1300: 500, 90: 5000}, 899)])
+def test_plan_with_a_hot_small_size(counts, most):
+    bins = filled(packing.plan(counts))
+    assert Counter(s for b in bins.values() for _, s in b) == counts
+    for b in bins.values():
+        ends = [a + s for a, s in sorted(b)]
+        assert [a for a, _ in sorted(b)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert len(bins) <= most
+
+
 def test_pack(spark, odd_docs, no_docs):
     rows = packing.pack(odd_docs, WORD).collect()
     exact = Tokenizer.from_file(WORD)
