@@ -198,12 +198,23 @@ def mm_params(spark, d):
 _FEW = "li.stream_id <= 5"
 
 
+def _scaled(spark, d, picked: str = "true"):
+    li = views.li(spark, d)
+    flat = windows.flatten_window(windows.sliding_windows(li.filter(picked), CHANNELS, W))
+    made = scale.apply_minmax(flat, scale.fit_minmax_windows(li, CHANNELS, W))
+    return made.select("stream_id", "window_id", F.posexplode("flat").alias("i", "v")).withColumn("v", r6("v"))
+
+
 @query("with w as (" + _WIN.format(w=W).replace("where x.seq", "where x.stream_id <= 5 and x.seq") + f"), p as ({_MM}) select stream_id, window_id, (w.t * 5 + c.pos)::int i, round((c.value - low) * case when low = high then 1.0 else 1 / (high - low) end, 6) v from w, lateral (values {_LONG}) c(feature, pos, value), p where p.t = w.t and p.feature = c.feature", "li")
 def mm_apply(spark, d):
-    li = views.li(spark, d)
-    params = scale.fit_minmax_windows(li, CHANNELS, W)
-    flat = windows.flatten_window(windows.sliding_windows(li.filter("stream_id <= 5"), CHANNELS, W))
-    return scale.apply_minmax(flat, params).select("stream_id", "window_id", F.posexplode("flat").alias("i", "v")).withColumn("v", r6("v"))
+    """The first streams of mm_apply_all only, as its SQL has them."""
+    return _scaled(spark, d, "stream_id <= 5")
+
+
+@query()
+def mm_apply_all(spark, d):
+    """All windows of all streams, flattened and scaled."""
+    return _scaled(spark, d)
 
 
 @query("with s as (" + f"select stream_id, seq, feature, m.pos, (value - mean) / scale z from ({MELT}) m join ({_STD}) p using (feature)" + f"), b as (select s.feature, min(z::float::double) low, max(z::float::double) high from s group by 1) select stream_id, seq, feature, round((z::float::double - low) / (high - low), 4) v from s join b using (feature)", "li")

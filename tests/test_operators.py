@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plantlens import views
+from plantlens.catalog import QUERIES
 from plantlens.functions.cells import classify_channel, normalise_label, over_threshold, parse_ts, severity
 from plantlens.operators import alerts, bucketed, clean, health, incidents, metrics, models, order, profile, scale, scores, segments, thresholds, windows
 
@@ -278,3 +279,17 @@ def test_label_ranges_as_a_frame(spark, sf):
     for most in (1000, 1):
         got = clean.label_by_ranges(ev, frame, most=most).select("event_id", "label")
         assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_all_windows_are_scaled(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    streams = {1: 14, 5: 9, 6: 23, 40: 11}
+    lines = [(k, f"2024-01-{n + 1:02d}", n, *rng.integers(0, 50, 4).astype(float).tolist(), n % 7, "N") for k, rows in streams.items() for n in range(rows)]
+    made = spark.createDataFrame(lines, "l_suppkey long, l_shipdate string, l_orderkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_linenumber int, l_returnflag string")
+    made.withColumns({"l_shipdate": F.to_timestamp("l_shipdate"), "l_partkey": F.col("l_orderkey")}).write.parquet(f"{tmp_path}/lineitem.parquet")
+    cut = {(k, n): np.array([x[3:8] for x in lines if x[0] == k][n : n + 10]) for k, rows in streams.items() for n in range(rows - 9)}
+    low, high = (f(np.stack(list(cut.values())), axis=0) for f in (np.min, np.max))
+    want = {(*key, i): v for key, x in cut.items() for i, v in enumerate(((x - low) / np.where(high == low, 1, high - low)).ravel().tolist())}
+    got = {(r.stream_id, r.window_id, r.i): r.v for r in QUERIES["mm_apply_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and {k for k, _, _ in got} == {1, 6, 40}
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-6
