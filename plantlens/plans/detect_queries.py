@@ -120,18 +120,43 @@ def blend(spark, d):
 _COS = "a as (select vec_id, list_transform(embedding, lambda x: x::double) v from embeddings where vec_id < 100), c as (select a.vec_id src, b.vec_id dst, list_cosine_similarity(a.v, b.v) c from a join a b on a.vec_id <> b.vec_id), g as (select * from c qualify row_number() over (partition by src order by c desc, dst) <= 5), w as (select src, dst, c, exp(c) / sum(exp(c)) over (partition by src) w from g)"
 
 
-def graph(spark, d):
-    return scores.topk_cosine_graph(table(spark, d, "embeddings").filter("vec_id < 100"), 5)
+def graph(spark, d, picked: str = "true"):
+    return scores.topk_cosine_graph(table(spark, d, "embeddings").filter(picked), 5)
+
+
+_FIRST = "vec_id < 100"
+
+
+def _edges(made):
+    return made.select("src", "dst", r6("cosine").alias("cosine"), r6("weight").alias("weight"))
+
+
+def _aggregate(spark, d, made):
+    return scores.aggregate_neighbours(made, table(spark, d, "embeddings"), "vec_id", "label").withColumn("aggregate", r6("aggregate"))
 
 
 @query(f"with {_COS} select src, dst, round(c, 6) cosine, round(w, 6) weight from w")
 def cosine_topk(spark, d):
-    return graph(spark, d).select("src", "dst", r6("cosine").alias("cosine"), r6("weight").alias("weight"))
+    """The graph of the first vectors only, as its SQL has them; cosine_topk_all has the whole one."""
+    return _edges(graph(spark, d, _FIRST))
+
+
+@query()
+def cosine_topk_all(spark, d):
+    """The graph of all vectors."""
+    return _edges(graph(spark, d))
 
 
 @query(f"with {_COS} select src, round(sum(w * label), 6) aggregate from w join embeddings e on e.vec_id = dst group by 1")
 def neighbour_agg(spark, d):
-    return scores.aggregate_neighbours(graph(spark, d), table(spark, d, "embeddings"), "vec_id", "label").withColumn("aggregate", r6("aggregate"))
+    """Over the graph of the first vectors only, as its SQL has them; neighbour_agg_all has the whole one."""
+    return _aggregate(spark, d, graph(spark, d, _FIRST))
+
+
+@query()
+def neighbour_agg_all(spark, d):
+    """Over the graph of all vectors."""
+    return _aggregate(spark, d, graph(spark, d))
 
 
 @query("select event_id, round(((value - m1) / (s1 + 1e-8) + (k - m2) / (s2 + 1e-8)) / 2, 6) score from ev, (select avg(value) m1, stddev_pop(value) s1, avg(k) m2, stddev_pop(k) s2 from ev)", "ev")

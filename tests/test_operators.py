@@ -293,3 +293,39 @@ def test_all_windows_are_scaled(spark, tmp_path):
     got = {(r.stream_id, r.window_id, r.i): r.v for r in QUERIES["mm_apply_all"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and {k for k, _, _ in got} == {1, 6, 40}
     assert max(abs(got[k] - want[k]) for k in want) < 1e-6
+
+
+def brute_neighbours(vectors, k):
+    x = {i: np.array(v, np.float64) for i, v in vectors.items()}
+    cos = lambda a, b: round(float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))), 11)
+    return {i: sorted((-cos(x[i], x[j]), j) for j in x if j != i)[:k] for i in x}
+
+
+def test_cosine_graph_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(scores, "BLOCK", 16)
+    monkeypatch.setattr(scores, "CHUNK", 5)
+    rng = np.random.default_rng(9)
+    vectors = {i: rng.normal(size=8).tolist() for i in range(90)} | {i: [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0] for i in range(90, 130)}
+    odd = [(200, None), (201, [0.0] * 8), (202, [float("nan")] * 8), (None, [1.0] * 8), (3, vectors[3])]
+    made = scores.topk_cosine_graph(spark.createDataFrame([*vectors.items(), *odd], "vec_id long, embedding array<double>"), 5)
+    assert "NestedLoop" not in made._jdf.queryExecution().toString() and "Cartesian" not in made._jdf.queryExecution().toString()
+    got = {}
+    for r in made.collect():
+        got.setdefault(r.src, []).append((-round(r.cosine, 11), r.dst, r.weight))
+    want = brute_neighbours(vectors, 5)
+    assert {i: sorted((c, j) for c, j, _ in e) for i, e in got.items()} == want
+    assert all(abs(sum(w for *_, w in e) - 1) < 1e-9 for e in got.values())
+
+
+def test_graph_of_all_embeddings(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    want = brute_neighbours({r.vec_id: r.embedding for r in rows}, 5)
+    got = {}
+    for r in QUERIES["cosine_topk_all"](spark, sf).collect():
+        got.setdefault(r.src, set()).add(r.dst)
+    assert len(got) == len(rows) and got == {i: {j for _, j in e} for i, e in want.items()}
+    label = {r.vec_id: r.label for r in rows}
+    share = {i: np.exp([-c for c, _ in e]) for i, e in want.items()}
+    means = {i: float(share[i] @ [label[j] for _, j in e] / share[i].sum()) for i, e in want.items()}
+    agg = {r.src: r.aggregate for r in QUERIES["neighbour_agg_all"](spark, sf).collect()}
+    assert agg.keys() == means.keys() and max(abs(agg[i] - means[i]) for i in agg) < 2e-6
