@@ -1,8 +1,9 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors (at-signs, digits, plus signs, schemes and identifier cues); parsers
-then expand each anchor to the left and right by fixed rules and validate what they found. Per kind, spans are
-leftmost and don't overlap; a candidate that fails validation is dropped and not tried again from inside.
+An Aho-Corasick automaton finds anchors (at-signs, digits, plus signs, schemes and identifier cues, these two in
+upper, lower or mixed case); parsers then expand each anchor to the left and right by fixed rules and validate what
+they found. Per kind, spans are leftmost and don't overlap; a candidate that fails validation is dropped and not
+tried again from inside.
 
 Base kinds: email, ip, card, phone. Kinds that the anchors add: url_login (a scheme whose address carries user
 and password), iban (valid check digits), ssn (three groups after a cue), secret (a cue, = or :, and a token).
@@ -86,11 +87,16 @@ def _valid(kind: str, text: str) -> bool:
     return 9 <= len(_digits(text)) <= 15
 
 
+def _lowered(text: str) -> str:
+    """The text with A-Z as a-z and all else as it is, so that places stay the same."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def spans(text: str) -> list[Span]:
     """All spans of a text as (kind, start, end), by start and then kind."""
     ends = dict.fromkeys(RANK, 0)
     found: list[Span] = []
-    for last, (size, anchor) in _AUTOMATON.iter(text):
+    for last, (size, anchor) in _AUTOMATON.iter(_lowered(text)):
         at = last - size + 1
         if anchor == "digit":
             if at >= ends["ip"] and (m := _IP.match(text, at)):

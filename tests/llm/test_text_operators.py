@@ -86,6 +86,23 @@ def test_pii_added_spans_and_redaction(odd_docs, no_docs):
     assert pii.find(odd_docs, redact=True).filter("doc_id = 0").first().redacted is None
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("SSN: 078-05-1120", "ssn", "078-05-1120"),
+        ("Social Security Number: 078-05-1120", "ssn", "078-05-1120"),
+        ("IBAN: GB82 WEST 1234 5698 7654 32", "iban", "GB82 WEST 1234 5698 7654 32"),
+        ("Password: hunter2hunter2", "secret", "hunter2hunter2"),
+        ("API_KEY=AbCdEf123456", "secret", "AbCdEf123456"),
+        ("ApI kEy = AbCdEf123456", "secret", "AbCdEf123456"),
+        ("HTTPS://User:Pw@Host.org", "url_login", "HTTPS://User:Pw@Host.org"),
+        ("İẞK é日👩 \ud800 Token: AbCdEf123456", "secret", "AbCdEf123456"),
+    ],
+)
+def test_pii_cues_in_any_case(text, kind, value):
+    assert (kind, text.index(value), text.index(value) + len(value)) in pii.spans(text)
+
+
 def test_license(odd_docs, no_docs):
     scanner = license_scan.Scanner()
     got = scanner.scan("The MIT License, the mit-license; under the MIT Licence: Apache Licens")
