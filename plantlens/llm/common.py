@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +21,15 @@ _local_folders: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a local folder is made, once for each application.
+    Where the session names none, a master inside one process (tests) gets a local folder, once for each
+    application; a cluster is refused, as its executors couldn't see such a folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        app = spark.sparkContext.applicationId
-        folder = _local_folders.get(app) or _local_folders.setdefault(app, "file://" + tempfile.mkdtemp(prefix="plantlens-"))
+        context = spark.sparkContext
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = _local_folders.get(context.applicationId) or _local_folders.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="plantlens-"))
     return folder
 
 
@@ -33,10 +39,22 @@ def settle(df: DataFrame) -> DataFrame:
     Cuts the lineage so that a lost executor costs a reread and never a recomputation, and keeps
     column pruning, which RDD checkpoints lose.
     """
+    return settled(df)[0]
+
+
+def settled(df: DataFrame) -> tuple[DataFrame, str]:
+    """As settle, with the folder, so that it can be forgotten once nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/plantlens/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete settled folders through Spark's file systems."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
@@ -53,14 +71,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def by_bytes(texts: list[str | None], limit: int):
-    """Cut a list of texts into consecutive slices of about `limit` characters; a longer text stands alone."""
+def by_bytes(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Cut an Arrow column of texts into consecutive slices of at most `limit` bytes (UTF-8); a longer text stands alone."""
     start = size = 0
-    for at, text in enumerate(texts):
-        n = len(text) if text else 0
+    for at, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
         if at > start and size + n > limit:
             yield start, at
             start, size = at, 0
         size += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def sliced(texts: pa.Array, limit: int) -> Iterator[tuple[int, int, list[str]]]:
+    """The slices of by_bytes with their texts (null: empty), so that no more than a slice is held as Python strings."""
+    for start, stop in by_bytes(texts, limit):
+        yield start, stop, [t or "" for t in texts.slice(start, stop - start).to_pylist()]

@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import by_bytes
+from plantlens.llm.common import sliced
 
+#: Bytes of pages handled at a time inside a task.
+SLICE_BYTES = 4 << 20
 #: Fixed values of HTML: elements that part blocks, that hold no prose, that have no end.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SILENT = frozenset("script style noscript template iframe svg math canvas object select textarea button title head audio video datalist".split())
@@ -278,10 +280,9 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = batch.column(1).to_pylist()
-            for start, stop in by_bytes(pages, 4 << 20):
+            for start, stop, pages in sliced(batch.column(1), SLICE_BYTES):
                 part = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([main_text(p, tree) for p in pages[start:stop]], pa.string()), *part.columns[2:]], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([main_text(p, tree) for p in pages], pa.string()), *part.columns[2:]], names=names)
 
     names = ["id", "text", *(f"extra_{k}" for k in range(len(keep)))]
     kinds = [df.schema[id_col].dataType.simpleString(), "string", *(df.schema[c].dataType.simpleString() for c in keep)]

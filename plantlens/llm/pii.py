@@ -22,6 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plantlens.llm.common import by_bytes
+
+#: Bytes of texts handled at a time inside a task.
+SLICE_BYTES = 4 << 20
 #: The base kinds in the order in which spans at one place are listed, then the added kinds.
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url_login", "iban", "ssn", "secret")
@@ -156,13 +160,15 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            each = [spans(t) if t else [] for t in texts]
-            column = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in each], _SPANS)
-            out = [batch.column(0), column]
-            if redact:
-                out.append(pa.array([t if not s else redacted(t, s) for t, s in zip(texts, each, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays([*out, *batch.columns[2:]], names=names)
+            for start, stop in by_bytes(batch.column(1), SLICE_BYTES):
+                part = batch.slice(start, stop - start)
+                texts = part.column(1).to_pylist()
+                each = [spans(t) if t else [] for t in texts]
+                column = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in each], _SPANS)
+                out = [part.column(0), column]
+                if redact:
+                    out.append(pa.array([t if not s else redacted(t, s) for t, s in zip(texts, each, strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays([*out, *part.columns[2:]], names=names)
 
     names = ["id", "spans", *["redacted"] * redact, *(f"extra_{k}" for k in range(len(keep)))]
     kinds = [df.schema[id_col].dataType.simpleString(), "array<struct<kind:string,start:bigint,end:bigint>>", *["string"] * redact, *(df.schema[c].dataType.simpleString() for c in keep)]
