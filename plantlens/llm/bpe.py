@@ -4,6 +4,9 @@ All work happens in Arrow functions. A text is cut at boundaries at which no tok
 start before and end after ("safe" boundaries), equal pieces of a batch are encoded once by the tokenizers
 library's batch call, and a bounded memo keeps the short pieces met lately. Whole texts are always encoded.
 
+Cutting is sound only if no token crosses a cut; `cuts_hold` proves that from the vocabulary itself when it is
+loaded, and texts of a vocabulary for which it doesn't hold are encoded uncut.
+
 Nulls are empty texts; empty texts have no tokens; rows are independent, so repeated rows, ties and empty
 tables need no care; only the id and text columns are read, so further columns may have any names.
 """
@@ -15,6 +18,7 @@ import gc
 import os
 import re
 import struct
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import by_bytes
+from plantlens.llm.common import sliced
 
-#: Characters of text handled at a time inside a task.
-SLICE_CHARS = 2 << 20
-#: Pieces kept in a worker's memo, and the longest piece that is kept.
-MEMO_PIECES, MEMO_CHARS = 1_600_000, 48
+#: Bytes of text handled at a time inside a task.
+SLICE_BYTES = 1 << 20
+#: Bytes of a worker's memo (pieces, their values and the table's slots), and the longest piece that is kept.
+MEMO_BYTES, MEMO_CHARS = 64 << 20, 48
 
 _SPACES = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+_CROSSED, _BLANK_INSIDE = re.compile(r"\S |\S\n|\n\S"), re.compile(r"\s.|.\s", re.S)
 
 
 def byte_alphabet() -> list[str]:
@@ -96,11 +101,35 @@ def cut_at_spaces(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
+def cuts_hold(tokenizer, spaced: bool) -> bool:
+    """Whether the cuts above, and PieceCoder's treatment of marks and capitals, can't change any id of this vocabulary.
+
+    Byte-pair merges never cross a place that no token covers. So no token may hold a letter before a full stop or
+    comma; with `spaced`, nor a space after, or a line break beside, what isn't white space, and the text must reach the
+    merges unchanged; otherwise, no token may hold white space beside anything, white space must have no ids, and the
+    normaliser must lower all ASCII letters.
+    Special tokens must begin with "<|", which is looked for before capitals are lowered, and hold no white space.
+    """
+    back = {c: b for b, c in enumerate(byte_alphabet())}
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    if any(not t.startswith("<|") or any(c.isspace() for c in t) for t in special):
+        return False
+    for token in tokenizer.get_vocab(with_added_tokens=False):
+        text = bytes(back[c] for c in token.removesuffix("</w>") if c in back).decode(errors="replace")
+        if re.search(r"[A-Za-z][.,]", text) or (_CROSSED if spaced else _BLANK_INSIDE).search(text):
+            return False
+    if spaced:
+        return tokenizer.normalizer is None
+    capitals, ids = "".join(map(chr, range(65, 91))), lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    return tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str(capitals) == capitals.lower() and ids("a \n \n b") == ids("a") + ids("b")
+
+
 class PieceCoder:
     """Encodes texts through their pieces. `make` turns a piece's encoding into what is kept and joined."""
 
     def __init__(self, tokenizer, make: Callable, spaced: bool):
-        self.tokenizer, self.make, self.spaced = tokenizer, make, spaced
+        self.tokenizer, self.make, self.spaced, self.weight = tokenizer, make, spaced, 0
+        self.cut = cuts_hold(tokenizer, spaced)
         self.marks = {m: make(tokenizer.encode(m, add_special_tokens=False)) for m in ".,"}
         self.line_break = make(tokenizer.encode("\n", add_special_tokens=False))
         self.first: dict = {}
@@ -131,9 +160,17 @@ class PieceCoder:
         for start in range(0, len(todo), 20_000):
             some = todo[start : start + 20_000]
             encoded = self.tokenizer.encode_batch_fast([prefix + s for s in some] if prefix else some, add_special_tokens=False)
-            memo.update(zip(some, map(make, encoded), strict=True))
+            values = list(map(make, encoded))
+            memo.update(zip(some, values, strict=True))
+            self.weight += self._weigh(some, values)
         for piece, stem, mark in parts:
             memo[piece] = memo[stem] + marks[mark] if mark else memo[stem]
+        self.weight += self._weigh([p for p, _, _ in parts], [memo[p] for p, _, _ in parts])
+
+    @staticmethod
+    def _weigh(pieces: list[str], values: list) -> int:
+        """Bytes that entries of the memo take: both objects and about 100 of the table."""
+        return sum(map(sys.getsizeof, pieces)) + sum(map(sys.getsizeof, values)) + 100 * len(pieces)
 
     def _look_up(self, memo: dict, lists: list[list[str]], prefix: str) -> list[list]:
         values = [list(map(memo.get, pieces)) for pieces in lists]
@@ -141,15 +178,15 @@ class PieceCoder:
         missing = {p for k in holes for p, v in zip(lists[k], values[k], strict=True) if v is None}
         if not missing:
             return values
-        if len(memo) + 2 * len(missing) > MEMO_PIECES:
-            memo.clear()
-            missing = set().union(*(lists[k] for k in holes))
         self._learn(memo, list(missing), prefix)
         for k in holes:
             values[k] = list(map(memo.__getitem__, lists[k]))
         for piece in [p for p in missing if len(p) > MEMO_CHARS]:  # and their stems
-            memo.pop(piece, None)
-            memo.pop(piece[:-1], None)
+            for known in (piece, piece[:-1]):
+                if known in memo:
+                    self.weight -= self._weigh([known], [memo.pop(known)])
+        if self.weight > MEMO_BYTES:
+            self.first, self.later, self.weight = {}, {}, 0
         return values
 
     def __call__(self, texts: list[str], join: Callable) -> list:
@@ -161,6 +198,8 @@ class PieceCoder:
             gc.enable()
 
     def _encode(self, texts: list[str], join: Callable) -> list:
+        if not self.cut:
+            return [join([self.make(e)]) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if not self.spaced:
             return [join(v) for v in self._look_up(self.later, [cut_at_spaces(t) for t in texts], "")]
         cut = [cut_before_spaces(t) for t in texts]
@@ -200,30 +239,32 @@ def text_offsets(text: str, lengths: np.ndarray) -> np.ndarray:
     return np.stack([number[ends - lengths], number[ends - 1] + 1], 1) if len(lengths) else np.zeros((0, 2), np.int64)
 
 
-def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
     """Encode every whole text.
 
     Returns id_col, ids (binary: little-endian unsigned 32-bit) and, if asked for, offsets (binary: pairs of
-    such integers, the first and past-the-last character of each token).
+    such integers, the first and past-the-last character of each token) and decoded (binary: the bytes that the
+    ids stand for, for a check of the round trip in the same pass).
     """
     id_type = df.schema[id_col].dataType.simpleString()
+    more = ["offsets"] * offsets + ["decoded"] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(vocabulary, "ids", True)
+        table = token_bytes(vocabulary) if more else []
         sizes = token_lengths(vocabulary) if offsets else None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, stop in by_bytes(texts, SLICE_CHARS):
-                some = [t or "" for t in texts[start:stop]]
-                ids = code(some, b"".join)
+            for start, stop, texts in sliced(batch.column(1), SLICE_BYTES):
+                ids = code(texts, b"".join)
                 out = [batch.column(0).slice(start, stop - start), pa.array(ids, pa.binary())]
                 if offsets:
-                    spans = [text_offsets(t, sizes[np.frombuffer(i, "<u4")]).astype("<u4").tobytes() for t, i in zip(some, ids, strict=True)]
-                    out.append(pa.array(spans, pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, names=["id", "ids", "offsets"][: len(out)])
+                    out.append(pa.array([text_offsets(t, sizes[np.frombuffer(i, "<u4")]).astype("<u4").tobytes() for t, i in zip(texts, ids, strict=True)], pa.binary()))
+                if decoded:
+                    out.append(pa.array([join_bytes(table, i) for i in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names=["id", "ids", *more])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    coded = source.mapInArrow(run, f"id {id_type}, ids binary" + (", offsets binary" if offsets else ""))
+    coded = source.mapInArrow(run, ", ".join([f"id {id_type}, ids binary", *(f"{c} binary" for c in more)]))
     return coded.withColumnRenamed("id", id_col)
 
 
@@ -242,6 +283,11 @@ def token_bytes(vocabulary: str) -> list[bytes]:
     return _tables[vocabulary]
 
 
+def join_bytes(table: list[bytes], ids: bytes | None) -> bytes:
+    """The bytes that packed ids stand for, joined before any character is read."""
+    return b"".join(map(table.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
 def token_lengths(vocabulary: str) -> np.ndarray:
     return np.array([len(t) for t in token_bytes(vocabulary)], np.int64)
 
@@ -255,9 +301,9 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = token_bytes(vocabulary).__getitem__
+        known = token_bytes(vocabulary)
         for batch in batches:
-            raw = [b"".join(map(known, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(1).to_pylist()]
+            raw = [join_bytes(known, x) for x in batch.column(1).to_pylist()]
             out = [*batch.columns[:1], pa.array(raw, pa.binary())]
             if text:
                 out.append(pa.array([x.decode(errors="replace") for x in raw], pa.string()))
@@ -289,10 +335,9 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, stop in by_bytes(texts, SLICE_CHARS):
-                got = lengths([t or "" for t in texts[start:stop]])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), batch.column(2).slice(start, stop - start), pa.array(got, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+            for start, stop, texts in sliced(batch.column(1), SLICE_BYTES):
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(lengths(texts), pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), size.alias("n_bytes"))

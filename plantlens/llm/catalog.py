@@ -16,9 +16,9 @@ TOKEN_LIMIT = 1024
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode all documents; digests of the ids and of the decoded bytes."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(table(spark, sf_dir, "documents"), ranks)
-    coded = coded.select("doc_id", "ids", F.sha2("ids", 256).alias("ids_sha256"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
-    return bpe.decode(coded, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode(table(spark, sf_dir, "documents"), ranks, offsets=True, decoded=True)
+    digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), digest("ids"), digest("decoded"), digest("offsets"))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

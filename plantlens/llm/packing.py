@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantlens.llm.bpe import SLICE_CHARS, coder
-from plantlens.llm.common import by_bytes, settle, shuffle_width
+from plantlens.llm.bpe import SLICE_BYTES, coder
+from plantlens.llm.common import settle, shuffle_width, sliced
 
 #: Tokens in a sequence, and the id that ends a document.
 CAPACITY, END_ID = 2048, 0
@@ -44,10 +44,9 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end = coder(vocabulary, "ids", spaced), struct.pack("<I", end_id)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for first, stop in by_bytes(texts, SLICE_CHARS):
+            for first, _, texts in sliced(batch.column(1), SLICE_BYTES):
                 rows, piece, start, length, crc = [], [], [], [], []
-                for row, ids in enumerate(code([t or "" for t in texts[first:stop]], b"".join), first):
+                for row, ids in enumerate(code(texts, b"".join), first):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

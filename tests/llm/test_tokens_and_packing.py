@@ -39,7 +39,7 @@ def test_pieces_equal_whole_texts(strings, path, spaced):
 
 
 def test_memo_is_bounded(strings, monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO_PIECES", 50)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 20_000)
     coder = bpe.PieceCoder(bpe.load_tokenizer(JSON), bpe.packed, True)
     once = coder(strings[:200], b"".join)
     assert coder(strings[:200], b"".join) == once and len(coder.later) < 2000
