@@ -52,18 +52,18 @@ def run_starts(df: DataFrame, state: Column, bucket: int = 100_000, stream: list
     A halo of one row tells whether a bucket's first run goes on; buckets that are one run pass on the start
     that reached them, through one row per bucket.
     """
-    marked = with_halo(df.withColumn("_state", state), bucket, 1)
+    marked = with_halo(df.withColumn("_run_state", state), bucket, 1)
     w = Window.partitionBy(*stream, "bucket").orderBy("seq")
-    new = ~F.coalesce(F.lag("_state").over(w).eqNullSafe(F.col("_state")) & F.lag("seq").over(w).isNotNull(), F.lit(False))
-    marked = marked.withColumn("_new", new)
-    marked = marked.withColumn("_start", F.last(F.when(F.col("_new") & ~F.col("is_halo"), F.col("seq")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    new = ~F.coalesce(F.lag("_run_state").over(w).eqNullSafe(F.col("_run_state")) & F.lag("seq").over(w).isNotNull(), F.lit(False))
+    marked = marked.withColumn("_run_new", new)
+    marked = marked.withColumn("_run_start", F.last(F.when(F.col("_run_new") & ~F.col("is_halo"), F.col("seq")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     marked = marked.filter(~F.col("is_halo"))
     # Per bucket the last start inside it (null: the run comes from before); carried forward over buckets.
-    last = marked.groupBy(*stream, "bucket").agg(F.max("_start").alias("_last"))
+    last = marked.groupBy(*stream, "bucket").agg(F.max("_run_start").alias("_run_last"))
     before = Window.partitionBy(*stream).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last.select(*stream, "bucket", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    carry = last.select(*stream, "bucket", F.last("_run_last", ignorenulls=True).over(before).alias("_run_carry"))
     made = marked.join(carry, [*stream, "bucket"])
-    return made.withColumn("run_start", F.coalesce("_start", "_carry")).drop("_state", "_new", "_start", "_carry", "bucket", "is_halo")
+    return made.withColumn("run_start", F.coalesce("_run_start", "_run_carry")).drop("_run_state", "_run_new", "_run_start", "_run_carry", "bucket", "is_halo")
 
 
 def run_lengths(df: DataFrame, state: Column, bucket: int = 100_000, stream: list[str] = STREAM) -> DataFrame:

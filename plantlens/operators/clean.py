@@ -67,7 +67,19 @@ def label_by_ranges(df: DataFrame, ranges: list[tuple[str, str]] | DataFrame, ts
     return df.withColumn("label", F.coalesce(inside, F.lit(False)).cast("int"))
 
 
+def write_counted(df: DataFrame, n: int, path: str, fmt: str = "parquet", mode: str = "error") -> int:
+    """Write a frame that must have n rows; they are counted on the way, without a pass of their own. Fails after the write otherwise."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).format(fmt).save(path)
+    if (got := seen.get["n"]) != n:
+        raise ValueError(f"{got} rows, not {n}")
+    return got
+
+
 def assert_count(df: DataFrame, n: int) -> DataFrame:
+    """The frame itself, if it has n rows (a job of its own; write_counted counts on the write path)."""
     if (got := df.count()) != n:
         raise ValueError(f"{got} rows, not {n}")
     return df
@@ -108,9 +120,16 @@ def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def encode_categories(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Codes by sorted distinct value, -1 for missing. The table of a column's values is aggregated first and joined back."""
+    """Codes by sorted distinct value, -1 for missing. The table of a column's values is aggregated first and joined back.
+
+    Values are ranked inside parts by their first three characters, whose counts give the offsets, so the values of a
+    column with many of them don't meet in one task.
+    """
+    from plantlens.operators.bucketed import with_global_seq
+
     for c in columns:
-        codes = df.filter(F.col(c).isNotNull()).select(c).distinct().withColumn(f"{c}_code", F.dense_rank().over(Window.orderBy(c)) - 1)
+        values = df.filter(F.col(c).isNotNull()).select(c).distinct()
+        codes = with_global_seq(values, [c], [], F.substring(F.col(c).cast("string"), 1, 3) if dict(values.dtypes)[c] == "string" else F.floor(F.col(c).cast("double") / 4096)).select(c, F.col("seq").cast("int").alias(f"{c}_code"))
         df = df.join(codes, c, "left").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)))
     return df
 

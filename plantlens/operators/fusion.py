@@ -13,15 +13,21 @@ def align_modalities(a: DataFrame, b: DataFrame, unit: str = "second", ts: str =
     return a.withColumn(ts, F.date_trunc(unit, ts)).join(b.withColumn(ts, F.date_trunc(unit, ts)), ts)
 
 
-def interval_features(events: DataFrame, unit: str = "hour", seconds: int = 3600, size: str = "value", src: str = "user_id", dst: str = "event_type", ts: str = "ts", ties: tuple[str, ...] = ("event_id",)) -> DataFrame:
-    """Traffic features of each interval; inter-arrival times are those inside the interval (null below two rows)."""
+def interval_features(events: DataFrame, unit: str = "hour", seconds: int = 3600, size: str = "value", src: str = "user_id", dst: str = "event_type", ts: str = "ts", ties: tuple[str, ...] = ("event_id",), port: str | None = None, ics_ports: tuple = ()) -> DataFrame:
+    """Traffic features of each interval; inter-arrival times are those inside the interval (null below two rows).
+
+    With a column `port` of destination ports also n_dst_ports and the packets to and not to one of `ics_ports` (n_ics, n_other;
+    a null port is no control port).
+    """
     at = events.withColumn("interval", F.date_trunc(unit, ts))
     order = Window.partitionBy("interval").orderBy(ts, *ties)
     gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(order).cast("timestamp"))) / 1e6
     made = at.withColumn("_gap", gap).groupBy("interval")
+    ics = F.coalesce(F.col(port).isin(*ics_ports), F.lit(False)) if port else None
+    ports = [F.countDistinct(port).alias("n_dst_ports"), F.count_if(ics).alias("n_ics"), F.count_if(~ics).alias("n_other")] if port else []
     return made.agg(
         F.count("*").alias("pkt_count"), F.sum(size).alias("byte_count"), (F.count("*") / F.lit(seconds)).alias("pkt_rate"), F.avg("_gap").alias("mean_iat"), F.stddev_pop("_gap").alias("std_iat"),
-        F.countDistinct(src).alias("n_src"), F.countDistinct(dst).alias("n_dst"), F.countDistinct(src, dst).alias("n_conn"),
+        F.countDistinct(src).alias("n_src"), F.countDistinct(dst).alias("n_dst"), F.countDistinct(src, dst).alias("n_conn"), *ports,
     )
 
 

@@ -84,12 +84,26 @@ def recall_by_kind(df: DataFrame, kinds: DataFrame, kind: str = "kind", pred: st
 
 
 def protocol_ladder(scored: DataFrame, stream: list[str] = STREAM, published: float | None = None, tolerance: float = 0.05) -> DataFrame:
-    """F1 of one scored frame (label_any, label_last, pred) under three protocols, and a control if a value is published."""
-    kinds = [("any_adjusted", "label_any", True), ("last_adjusted", "label_last", True), ("last_pointwise", "label_last", False)]
-    out = None
-    for name, truth, adjusted in kinds:
-        one = prf(scored, truth, "pred", adjusted, stream=stream).select(F.lit(name).alias("protocol"), "tp", "fp", "fn", "tn", "precision", "recall", "f1")
-        out = one if out is None else out.unionByName(one)
+    """F1 of one scored frame (label_any, label_last, pred) under three protocols, and a control if a value is published.
+
+    The frame is walked once: both labels' runs share one order, and one aggregate counts for all protocols.
+    """
+    w = by_stream(stream)
+    runs = scored.select(*stream, "seq", "label_any", "label_last", "pred")
+    for c in ("label_any", "label_last"):
+        runs = runs.withColumn(f"_new_{c}", (F.coalesce(F.lag(c).over(w), F.lit(-1)) != F.col(c)).cast("int"))
+    for c in ("label_any", "label_last"):
+        runs = runs.withColumn(f"_run_{c}", F.sum(f"_new_{c}").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    for c in ("label_any", "label_last"):
+        hit = F.max("pred").over(Window.partitionBy(*stream, f"_run_{c}"))
+        runs = runs.withColumn(f"_adjusted_{c}", F.when(F.col(c) == 1, hit).otherwise(F.col("pred")))
+    kinds = [("any_adjusted", "label_any", "_adjusted_label_any"), ("last_adjusted", "label_last", "_adjusted_label_last"), ("last_pointwise", "label_last", "pred")]
+    cells = []
+    for name, truth, pred in kinds:
+        t, p = F.col(truth) == 1, F.col(pred) == 1
+        counts = {"tp": t & p, "fp": ~t & p, "fn": t & ~p, "tn": ~t & ~p}
+        cells.append(F.struct(F.lit(name).alias("protocol"), *(F.count_if(v).alias(k) for k, v in counts.items())))
+    out = with_rates(runs.agg(F.array(*cells).alias("rows")).select(F.inline("rows"))).select("protocol", "tp", "fp", "fn", "tn", "precision", "recall", "f1")
     if published is not None:
         out = out.withColumn("control_ok", (F.col("protocol") != "any_adjusted") | (F.abs(F.col("f1") - published) <= tolerance))
     return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plantlens.operators.order import STREAM, by_stream
 from plantlens.operators.profile import wide_aggregate
+from plantlens.operators.quantiles import exact_quantiles
 
 
 def temporal_split(df: DataFrame, frac: float, stream: list[str] = STREAM, label: str = "label") -> DataFrame:
@@ -28,6 +29,16 @@ def fit_standard(df: DataFrame, features: list[str]) -> DataFrame:
     return made.withColumn("scale", F.when(F.col("std") == 0, 1.0).otherwise(F.col("std")))
 
 
+def enrich_standard(df: DataFrame, params: DataFrame, features: list[str], by: list[str], precision: str = "double") -> DataFrame:
+    """Scale by parameters that differ by key (`by`, as a stream): a join with one row for each key, on streams a stream-static one.
+
+    params: one row for each key and feature (by..., feature, mean, scale). Keys without parameters give nulls.
+    """
+    wide = params.groupBy(*by).agg(*(F.max(F.when(F.col("feature") == f, F.struct("mean", "scale"))).alias(f"_p_{f}") for f in features))
+    made = df.join(wide, by, "left")
+    return made.withColumns({f: ((F.col(f) - F.col(f"_p_{f}.mean")) / F.col(f"_p_{f}.scale")).cast(precision).cast("double") for f in features}).drop(*(f"_p_{f}" for f in features))
+
+
 def apply_standard(df: DataFrame, params: DataFrame, precision: str = "double") -> DataFrame:
     rows = {r["feature"]: r for r in params.collect()}
     return df.withColumns({f: ((F.col(f) - r["mean"]) / r["scale"]).cast(precision).cast("double") for f, r in rows.items()})
@@ -66,9 +77,10 @@ def zscore(df: DataFrame, column: str, reference: Column | None = None, out: str
 
 
 def robust_params(df: DataFrame, columns: list[str]) -> DataFrame:
-    quartiles = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    made = wide_aggregate(df, columns, q=quartiles)
-    return made.select("feature", "pos", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0] + 1e-2).alias("iqr"))
+    """Median and interquartile range + 1e-2 of each column, exact for any number of distinct values."""
+    found = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    rows = [(c, k, q[1], None if q[1] is None else q[2] - q[0] + 1e-2) for k, (c, q) in enumerate(found.items())]
+    return df.sparkSession.createDataFrame(rows, "feature string, pos int, median double, iqr double")
 
 
 def robust_scale(df: DataFrame, columns: list[str], reference: DataFrame) -> DataFrame:

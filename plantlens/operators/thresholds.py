@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from plantlens.operators.segments import with_run
 from plantlens.operators.order import STREAM, by_stream
-from plantlens.functions.cells import ratio
+from plantlens.operators.quantiles import exact_quantiles
+from plantlens.functions.cells import over_threshold, ratio
 
 
 def percentile_threshold(df: DataFrame, score: str, p: float, where: Column | None = None, approx: int | None = None) -> DataFrame:
@@ -17,27 +18,28 @@ def percentile_threshold(df: DataFrame, score: str, p: float, where: Column | No
 
 
 def threshold_value(df: DataFrame, score: str, p: float, where: Column | None = None) -> float:
-    return percentile_threshold(df, score, p, where).first()["threshold"]
+    """The same threshold as a number, however many distinct scores there are."""
+    return exact_quantiles(df if where is None else df.filter(where), [score], [p / 100])[score][0]
 
 
 def f1_grid(df: DataFrame, score: str = "score", n_grid: int = 200, stream: list[str] = STREAM) -> DataFrame:
     """Point-adjusted counts and F1 at n_grid quantiles (0.5 to 0.9995) of the scores.
 
-    A positive segment counts whole once its highest score is over a threshold, so segment maxima and normal
+    The quantiles are exact, by exact_quantiles. A positive segment counts whole once its highest score is over a threshold, so segment maxima and normal
     scores are enough: they are bucketed by the grid and summed from above, without a pass for each threshold.
     """
-    steps = F.array(*(F.lit(0.5 + (0.9995 - 0.5) * k / (n_grid - 1)) for k in range(n_grid)))
-    grid = df.agg(F.array_sort(F.array_distinct(F.percentile(score, steps))).alias("grid"))
+    found = exact_quantiles(df, [score], [0.5 + (0.9995 - 0.5) * k / (n_grid - 1) for k in range(n_grid)])[score]
+    grid = F.array(*map(F.lit, sorted({x for x in found if x is not None}))).cast("array<double>")
     changed = F.coalesce(F.lag("label").over(by_stream(stream)), F.lit(-1)) != F.col("label")
     runs = with_run(df, changed, stream)
     positive = runs.filter("label = 1").groupBy(*stream, "run_id").agg(F.max(score).alias("v"), F.count("*").alias("pos")).select("v", "pos", F.lit(0).cast("long").alias("neg"))
     negative = runs.filter("label = 0").select(F.col(score).alias("v"), F.lit(0).cast("long").alias("pos"), F.lit(1).cast("long").alias("neg"))
-    both = positive.unionByName(negative).crossJoin(F.broadcast(grid))
-    level = F.size(F.filter("grid", lambda g: g < F.col("v")))  # thresholds 0 .. level - 1 are passed
+    both = positive.unionByName(negative)
+    level = F.size(F.filter(grid, lambda g: g < F.col("v")))  # thresholds 0 .. level - 1 are passed
     by_level = both.groupBy(level.alias("level")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    levels = by_level.agg(F.collect_list(F.struct("level", "pos", "neg")).alias("levels"), F.sum("pos").alias("all_pos")).crossJoin(F.broadcast(grid))
+    levels = by_level.agg(F.collect_list(F.struct("level", "pos", "neg")).alias("levels"), F.sum("pos").alias("all_pos"))
     above = lambda name, k: F.aggregate(F.filter("levels", lambda x: x["level"] > k), F.lit(0).cast("long"), lambda s, x: s + x[name])
-    made = levels.select("levels", "all_pos", F.posexplode("grid").alias("k", "threshold"))
+    made = levels.select("levels", "all_pos", F.posexplode(grid).alias("k", "threshold"))
     made = made.select("threshold", "all_pos", above("pos", F.col("k")).alias("tp"), above("neg", F.col("k")).alias("fp"))
     made = made.withColumn("fn", F.col("all_pos") - F.col("tp"))
     return made.select("threshold", "tp", "fp", "fn", ratio(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
@@ -48,6 +50,22 @@ def best_f1(df: DataFrame, score: str = "score", n_grid: int = 200, stream: list
     return f1_grid(df, score, n_grid, stream).orderBy(F.desc("f1"), "threshold").limit(1)
 
 
+def evaluate(df: DataFrame, score: str = "score", mode: str = "best_f1", p: float = 99.0, normal: Column | None = None, stream: list[str] = STREAM) -> DataFrame:
+    """One row: mode, threshold, and point-adjusted counts, precision, recall and F1 there; f1_fixed is always that of the fixed percentile.
+
+    mode "fixed" takes the p-th percentile of the normal rows' scores (of label 0, if not said), "best_f1" searches the grid.
+    """
+    from plantlens.operators.metrics import prf
+
+    if mode not in ("best_f1", "fixed"):
+        raise ValueError("mode is best_f1 or fixed")
+    fixed = threshold_value(df, score, p, F.col("label") == 0 if normal is None else normal)
+    chosen = fixed if mode == "fixed" else best_f1(df, score, stream=stream).first()["threshold"]
+    at = lambda t: prf(df.withColumn("pred", over_threshold(score, t).cast("int")), point_adjusted=True, stream=stream)
+    row = at(chosen).select(F.lit(mode).alias("mode"), F.lit(chosen).alias("threshold"), "tp", "fp", "fn", "tn", "precision", "recall", "f1")
+    return row.withColumn("f1_fixed", F.col("f1") if mode == "fixed" else F.lit(at(fixed).first()["f1"]))
+
+
 def fp_sweep(runs: DataFrame, grid: list[int], run: str = "run_length") -> DataFrame:
     """Per threshold: features triggered by a run of at least that length, and the share of rows that trigger."""
     counts = [F.struct(F.lit(t).alias("threshold"), F.count_if(F.col(run) >= t).alias("fp"), F.countDistinct(F.when(F.col(run) >= t, F.col("channel"))).alias("triggered")) for t in grid]

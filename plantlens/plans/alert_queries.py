@@ -74,7 +74,11 @@ def health(spark, d):
     return verdicts(spark, d).select("stream_id", "seq", "ts", "n_seen", "healthy", "fault_type", "reason")
 
 
-@query()
+@query(
+    "with s as (" + STUCK + """), e as (select stream_id, seq, '[' || string_agg('{"pos":' || pos || ',"feature":"' || channel || '","unchanged_samples":' || run_length || ',"staleness_seconds":' || (run_length - 1) * 5 || '.0,"last_value":' || value::double || '}', ',' order by pos) || ']' stuck, string_agg(channel || ' unchanged for ' || run_length || ' samples', '; ' order by pos) reason from s group by 1, 2)
+    select l.stream_id, l.seq, '{"healthy":' || (stuck is null)::varchar || ',"n_seen":' || (l.seq + 1) || case when stuck is null then '' else ',"fault_type":"STUCK","reason":"' || reason || '"' end || ',"stuck_channels":' || coalesce(stuck, '[]') || '}' payload from li l left join e on e.stream_id = l.stream_id and e.seq = l.seq""",
+    "li",
+)
 def health_json(spark, d):
     return hl.health_payload(verdicts(spark, d)).select("stream_id", "seq", "payload")
 
@@ -165,9 +169,16 @@ def notifications(spark, d):
     return inc.notifications(inc.alert_history(ml(spark, d), faults(spark, d))).select("stream_id", "subject", "body")
 
 
-@query()
+_STAMP = "strftime({}, '%Y-%m-%dT%H:%M:%S.') || lpad((millisecond({}) % 1000)::varchar, 3, '0')"
+
+
+@query(
+    f"""with {_FLAG}, i as ({INCIDENTS}) select alert_id, '{{"stream_id":' || stream_id || ',"alert_id":"' || alert_id || '","open_seq":' || open_seq || ',"category":"ML_ANOMALY","status":"' || status || '","severity":"' || severity || '","anomaly_score":' || anomaly_score || ',"anomaly_count":' || anomaly_count || ',"start_seq":' || start_seq || ',"end_seq":' || end_seq
+    || ',"opened_at":"' || {_STAMP.format('opened_at', 'opened_at')} || '","window_end":"' || {_STAMP.format('window_end', 'window_end')} || '"' || case when closed_at is null then '' else ',"closed_at":"' || {_STAMP.format('closed_at', 'closed_at')} || '"' end || '}}' payload from i""",
+    "ev",
+)
 def alert_json(spark, d):
-    return inc.to_json_rows(ml(spark, d))
+    return inc.to_json_rows(ml(spark, d).drop("threshold", "window_start"))
 
 
 @query(f"with {_FLAG} select stream_id, alert_id, open_seq, case when stream_id % 2 = 0 then 'ACKED' else status end status from ({INCIDENTS})", "ev")
@@ -182,9 +193,10 @@ def align(spark, d):
     return views.day(spark, d).select("ts", "ln", F.round("lq", 4).alias("lq"), "o_n", F.round("op", 4).alias("op"))
 
 
-@query("with e as (select *, date_trunc('hour', ts) interval_, (epoch_us(ts) - epoch_us(lag(ts) over (partition by date_trunc('hour', ts) order by ts, event_id))) / 1e6 gap from events) select interval_ as interval, count(*) pkt_count, round(sum(value), 4) byte_count, round(count(*) / 3600, 6) pkt_rate, round(avg(gap), 4) mean_iat, round(stddev_pop(gap), 4) std_iat, count(distinct user_id) n_src, count(distinct event_type) n_dst, count(distinct (user_id, event_type)) n_conn from e group by 1")
+@query("with e as (select *, date_trunc('hour', ts) interval_, (epoch_us(ts) - epoch_us(lag(ts) over (partition by date_trunc('hour', ts) order by ts, event_id))) / 1e6 gap, cast(regexp_extract(props, '([0-9]+)', 1) as int) k from events) select interval_ as interval, count(*) pkt_count, round(sum(value), 4) byte_count, round(count(*) / 3600, 6) pkt_rate, round(avg(gap), 4) mean_iat, round(stddev_pop(gap), 4) std_iat, count(distinct user_id) n_src, count(distinct event_type) n_dst, count(distinct (user_id, event_type)) n_conn, count(distinct k) n_dst_ports, count(*) filter (k in (1, 2, 3, 5, 8)) n_ics, count(*) filter (k is null or k not in (1, 2, 3, 5, 8)) n_other from e group by 1")
 def interval_features(spark, d):
-    made = fusion.interval_features(table(spark, d, "events"))
+    events = table(spark, d, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
+    made = fusion.interval_features(events, port="k", ics_ports=(1, 2, 3, 5, 8))
     return made.withColumns({"byte_count": F.round("byte_count", 4), "pkt_rate": r6("pkt_rate"), "mean_iat": F.round("mean_iat", 4), "std_iat": F.round("std_iat", 4)})
 
 

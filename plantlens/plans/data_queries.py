@@ -185,7 +185,8 @@ def std_apply(spark, d):
     return profile.melted(made, CHANNELS, ["stream_id", "seq"]).select("stream_id", "seq", "feature", r6("value").alias("z"))
 
 
-_WIN = "select x.stream_id, x.seq - {w} + 1 window_id, y.seq - (x.seq - {w} + 1) t, y.* exclude (stream_id, seq) from li x join li y on x.stream_id = y.stream_id and y.seq between x.seq - {w} + 1 and x.seq where x.seq >= {w} - 1"
+_LISTS = ", ".join(f"list({c}) over w {c}" for c in [*CHANNELS, "label"])
+_WIN = "select stream_id, seq - {w} + 1 window_id, unnest(range({w})) t, " + ", ".join(f"unnest({c}) {c}" for c in [*CHANNELS, "label"]) + f" from (select stream_id, seq, {_LISTS} from li window w as (partition by stream_id order by seq rows " + "{w} - 1 preceding)) where seq >= {w} - 1"
 _MM = "select t, c.feature, c.pos, min(c.value) low, max(c.value) high from (" + _WIN.format(w=W) + f") w, lateral (values {_LONG}) c(feature, pos, value) group by 1, 2, 3"
 
 
@@ -195,26 +196,24 @@ def mm_params(spark, d):
     return made.select(F.col("t").cast("int").alias("t"), "feature", "pos", *(r6(c).alias(c) for c in ("low", "high", "scale")))
 
 
-_FEW = "li.stream_id <= 5"
-
-
-def _scaled(spark, d, picked: str = "true"):
+def _scaled(spark, d):
     li = views.li(spark, d)
-    flat = windows.flatten_window(windows.sliding_windows(li.filter(picked), CHANNELS, W))
+    flat = windows.flatten_window(windows.sliding_windows(li, CHANNELS, W))
     made = scale.apply_minmax(flat, scale.fit_minmax_windows(li, CHANNELS, W))
-    return made.select("stream_id", "window_id", F.posexplode("flat").alias("i", "v")).withColumn("v", r6("v"))
+    return made.select("stream_id", "window_id", F.posexplode("flat").alias("i", "v"))
 
 
-@query("with w as (" + _WIN.format(w=W).replace("where x.seq", "where x.stream_id <= 5 and x.seq") + f"), p as ({_MM}) select stream_id, window_id, (w.t * 5 + c.pos)::int i, round((c.value - low) * case when low = high then 1.0 else 1 / (high - low) end, 6) v from w, lateral (values {_LONG}) c(feature, pos, value), p where p.t = w.t and p.feature = c.feature", "li")
+@query("with w as (" + _WIN.format(w=W) + f"), p as ({_MM}), v as (select stream_id, window_id, (w.t * 5 + c.pos)::int i, (c.value - low) * case when low = high then 1.0 else 1 / (high - low) end v from w, lateral (values {_LONG}) c(feature, pos, value), p where p.t = w.t and p.feature = c.feature) select stream_id, i, count(*) n, round(min(v), 6) low, round(max(v), 6) high, round(avg(v), 6) mean from v group by 1, 2", "li")
 def mm_apply(spark, d):
-    """The first streams of mm_apply_all only, as its SQL has them."""
-    return _scaled(spark, d, "stream_id <= 5")
+    """All windows of all streams, scaled; summed up by stream and place in the window."""
+    made = _scaled(spark, d).groupBy("stream_id", "i").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"))
+    return made.select("stream_id", "i", "n", *(r6(c).alias(c) for c in ("low", "high", "mean")))
 
 
 @query()
 def mm_apply_all(spark, d):
     """All windows of all streams, flattened and scaled."""
-    return _scaled(spark, d)
+    return _scaled(spark, d).withColumn("v", r6("v"))
 
 
 @query("with s as (" + f"select stream_id, seq, feature, m.pos, (value - mean) / scale z from ({MELT}) m join ({_STD}) p using (feature)" + f"), b as (select s.feature, min(z::float::double) low, max(z::float::double) high from s group by 1) select stream_id, seq, feature, round((z::float::double - low) / (high - low), 4) v from s join b using (feature)", "li")

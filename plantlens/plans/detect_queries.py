@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plantlens import views
 from plantlens.functions.cells import over_threshold
 from plantlens.operators import metrics, scores, segments as seg, thresholds, windows
-from plantlens.plans.registry import query, r6
+from plantlens.plans.registry import QUERIES, query, r6
 from plantlens.views import CHANNELS, table
 
 P = 90.0
@@ -117,46 +117,27 @@ def blend(spark, d):
     return views.ev(spark, d).select("event_id", r6(scores.blend("value", "k", 0.7, 0.3)).alias("score"))
 
 
-_COS = "a as (select vec_id, list_transform(embedding, lambda x: x::double) v from embeddings where vec_id < 100), c as (select a.vec_id src, b.vec_id dst, list_cosine_similarity(a.v, b.v) c from a join a b on a.vec_id <> b.vec_id), g as (select * from c qualify row_number() over (partition by src order by c desc, dst) <= 5), w as (select src, dst, c, exp(c) / sum(exp(c)) over (partition by src) w from g)"
+_COS = "a as (select vec_id, list_transform(embedding, lambda x: x::double) v from embeddings), c as (select a.vec_id src, b.vec_id dst, list_cosine_similarity(a.v, b.v) c from a join a b on a.vec_id <> b.vec_id), g as (select * from c qualify row_number() over (partition by src order by c desc, dst) <= 5), w as (select src, dst, c, exp(c) / sum(exp(c)) over (partition by src) w from g)"
 
 
-def graph(spark, d, picked: str = "true"):
-    return scores.topk_cosine_graph(table(spark, d, "embeddings").filter(picked), 5)
-
-
-_FIRST = "vec_id < 100"
-
-
-def _edges(made):
-    return made.select("src", "dst", r6("cosine").alias("cosine"), r6("weight").alias("weight"))
-
-
-def _aggregate(spark, d, made):
-    return scores.aggregate_neighbours(made, table(spark, d, "embeddings"), "vec_id", "label").withColumn("aggregate", r6("aggregate"))
+def graph(spark, d):
+    return scores.topk_cosine_graph(table(spark, d, "embeddings"), 5)
 
 
 @query(f"with {_COS} select src, dst, round(c, 6) cosine, round(w, 6) weight from w")
 def cosine_topk(spark, d):
-    """The graph of the first vectors only, as its SQL has them; cosine_topk_all has the whole one."""
-    return _edges(graph(spark, d, _FIRST))
-
-
-@query()
-def cosine_topk_all(spark, d):
     """The graph of all vectors."""
-    return _edges(graph(spark, d))
+    return graph(spark, d).select("src", "dst", r6("cosine").alias("cosine"), r6("weight").alias("weight"))
 
 
 @query(f"with {_COS} select src, round(sum(w * label), 6) aggregate from w join embeddings e on e.vec_id = dst group by 1")
 def neighbour_agg(spark, d):
-    """Over the graph of the first vectors only, as its SQL has them; neighbour_agg_all has the whole one."""
-    return _aggregate(spark, d, graph(spark, d, _FIRST))
+    """Over the graph of all vectors."""
+    return scores.aggregate_neighbours(graph(spark, d), table(spark, d, "embeddings"), "vec_id", "label").withColumn("aggregate", r6("aggregate"))
 
 
-@query()
-def neighbour_agg_all(spark, d):
-    """Over the graph of all vectors."""
-    return _aggregate(spark, d, graph(spark, d))
+#: The names under which the whole graph was registered while the two above were of fewer vectors.
+QUERIES["cosine_topk_all"], QUERIES["neighbour_agg_all"] = cosine_topk, neighbour_agg
 
 
 @query("select event_id, round(((value - m1) / (s1 + 1e-8) + (k - m2) / (s2 + 1e-8)) / 2, 6) score from ev, (select avg(value) m1, stddev_pop(value) s1, avg(k) m2, stddev_pop(k) s2 from ev)", "ev")
@@ -191,13 +172,12 @@ def best_f1(spark, d):
     return best.select(r6("threshold").alias("threshold"), "tp", "fp", "fn", r6("f1").alias("f1"))
 
 
-@query(f"with b as ({_F1} order by 5 desc, 1 limit 1), p as ({PRED}), f as (select {CONF.format(t='label', p='adjusted')} from ({ADJ})) select round(b.f1, 6) f1_best, round(2 * f.tp / (2 * f.tp + f.fp + f.fn), 6) f1_fixed from b, f", "ev")
+@query(f"with p as ({PRED}), f as (select {CONF.format(t='label', p='adjusted')} from ({ADJ})), c as (select * from ({_F1}) order by f1 desc, t limit 1) select 'best_f1' as mode, round(c.t, 6) threshold, c.tp tp, c.fp fp, c.fn fn, round(c.tp / (c.tp + c.fp), 6) as precision, round(c.tp / (c.tp + c.fn), 6) recall, round(c.f1, 6) f1, round(2 * f.tp / (2 * f.tp + f.fp + f.fn), 6) f1_fixed from c, f union all select 'fixed', round({THR}, 6), f.tp, f.fp, f.fn, round(f.tp / (f.tp + f.fp), 6), round(f.tp / (f.tp + f.fn), 6), round(2 * f.tp / (2 * f.tp + f.fp + f.fn), 6), round(2 * f.tp / (2 * f.tp + f.fp + f.fn), 6) from f", "ev")
 def evaluate(spark, d):
-    """Both threshold modes: the best point-adjusted F1 of the grid and that of the fixed percentile."""
+    """Both threshold modes: point-adjusted counts, precision, recall and F1 at the best threshold of the grid and at the fixed percentile."""
     ev = views.ev(spark, d)
-    best = thresholds.best_f1(ev, "value").select(r6("f1").alias("f1_best"))
-    fixed = metrics.prf(predicted(spark, d), point_adjusted=True).select(r6("f1").alias("f1_fixed"))
-    return best.crossJoin(fixed)
+    both = [thresholds.evaluate(ev, "value", mode, P) for mode in ("best_f1", "fixed")]
+    return both[0].unionByName(both[1]).select("mode", "tp", "fp", "fn", *(r6(c).alias(c) for c in ("threshold", "precision", "recall", "f1", "f1_fixed")))
 
 
 def channel_runs(spark, d):

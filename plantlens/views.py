@@ -18,6 +18,7 @@ SQL = {
     "li": """select stream_id, row_number() over (partition by stream_id order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 seq,
         l_shipdate ts, l_quantity FIT101, l_extendedprice LIT101, l_discount AIT201, l_tax PIT501, cast(l_linenumber as double) MV101,
         case when l_returnflag = 'R' then 1 else 0 end label from (select l_suppkey stream_id, * from lineitem) z""",
+    "one": """select 0 stream_id, row_number() over (order by ts, event_id) - 1 seq, ts, event_id, value, value - value % 25 k, case when event_type = 'error' then 1 else 0 end label from events""",
     "evb": """select date_trunc('hour', ts) ts, count(*) n, sum(value) v, count(distinct user_id) u,
         sum(case when event_type = 'click' then value else 0 end) c, sum(case when event_type = 'error' then 1 else 0 end) e from events group by 1""",
     "day": """select l.ts, l.n ln, l.q lq, o.n o_n, o.p op
@@ -39,6 +40,14 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_seq(rows, order=["ts", "event_id"])
 
 
+def one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one long stream; k is a channel with runs of equal values."""
+    from plantlens.operators.long_streams import with_seq as positions
+
+    rows = table(spark, sf_dir, "events").select(F.lit(0).alias("stream_id"), "ts", "event_id", "value", (F.col("value") - F.col("value") % 25).alias("k"), (F.col("event_type") == "error").cast("int").alias("label"))
+    return positions(rows, ["ts", "event_id"], mode="bucketed").select("stream_id", "seq", "ts", "event_id", "value", "k", "label")
+
+
 def li(spark: SparkSession, sf_dir: str) -> DataFrame:
     ties = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("stream_id"), F.col("l_shipdate").alias("ts"), *ties, "l_quantity", "l_discount", "l_tax", "l_returnflag")
