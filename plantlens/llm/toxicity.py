@@ -1,16 +1,24 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
-Inputs of a word are a hashed word embedding, the mean of hashed character n-gram embeddings, and evidence of
-the word and of its character n-grams in the training sample (smoothed log odds; for a training document
-without its own count). Two gated recurrent layers read a window of words, one from each end, attention pools
-their states and a logistic unit scores the window. A document's score is that of its highest of all windows,
-which overlap by half. The network is trained in numpy on a bounded sample of labelled documents (SAMPLE toxic and
-three times as many other ones, least in a hash order of the ids), as a multiple-instance problem: the best window of a toxic
-document is taken as toxic, the best and some other windows of the rest are not. Only texts are inputs.
+A word's inputs are its own embedding and the mean of the embeddings of its character 3-grams (hashed); nothing is
+counted by class, so all that the scores know of words is learned by the network. Two gated recurrent layers read a
+window of words, one from each end, attention pools their states and a logistic unit scores the window. A document's
+score is that of its highest of all windows, which overlap by half.
+
+The network is trained in numpy as a multiple-instance problem on a bounded sample of labelled documents: at most
+SAMPLE toxic and three times as many other ones, least in a hash order of the ids, and of these no more than fit into
+SAMPLE_BYTES of text. All windows of the sampled texts take part. In the first round all windows of toxic documents
+stand for their documents, sharing one document's weight; in the later rounds the best window of a toxic document
+is taken as toxic, and the best, the second and random windows of the rest as not. Every round takes STEPS steps, whatever
+the size of the sample. Words of fewer
+than MIN_DOCS sampled documents share one embedding. A quarter of the sample is kept aside and sets where scores reach
+CUTOFF. Only texts are inputs.
 
 Null and empty texts and texts without words score 0. Texts are scored whole, whatever their length; rows are scored
-one by one. If the labels have no document of one of the classes, nothing can be learned and all scores are 0.
-Repeated labels of a document count once, as toxic if any says so. Only the id and text columns are read.
+one by one, so equal texts (ties, repeated rows) get equal scores. If the labels have no document of one of the classes,
+nothing can be learned and all scores are 0. Repeated labels of a document count once, as toxic if any says so; of rows
+that repeat a sampled id the one with the least text is learned from. Empty tables give no rows. Only the id and text
+columns are read, and those to be kept.
 """
 
 from __future__ import annotations
@@ -22,62 +30,43 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import by_bytes
+from plantlens.llm.common import sliced
 
-#: Toxic documents that a fit may use (and three times as many others), and windows of each that are looked at (evenly spread).
-SAMPLE, SAMPLE_WINDOWS = 1000, 200
-#: Words in a window, the step between windows, units in each direction, hashed rows and width of the embeddings.
+#: Toxic documents that a fit may use (and three times as many others), and bytes of text of all of them.
+SAMPLE, SAMPLE_BYTES = 1000, 32 << 20
+#: Words in a window, the step between windows, units in each direction, hashed rows of 3-grams and width of both embeddings.
 WINDOW, STRIDE, UNITS, ROWS, WIDTH = 32, 16, 8, 4096, 6
-#: Strength of the prior in log odds, the least log odds that are kept, and rounds of training.
-PRIOR, LEAST, ROUNDS = 8.0, 1.0, 4
+#: Rounds of training, steps of each, windows in a step, and the share of words that a step leaves out.
+ROUNDS, STEPS, STEP_WINDOWS, DROPPED = 3, 300, 256, 0.1
+#: Sampled documents that a word with an embedding of its own is in, and the pull of all weights to 0.
+MIN_DOCS, DECAY = 3, 1e-5
+#: Every so manieth sampled document sets the cut instead of the weights; what losing a clean document costs against missing a toxic one (as shares).
+ASIDE, FALSE_COST = 4, 10.0
 #: Scores from here on predict a toxic document.
 CUTOFF = 0.7
-#: Words that a worker keeps inputs of, characters handled and windows scored at a time.
-MEMO, SLICE_CHARS, BATCH = 200_000, 1 << 20, 4096
+#: Words that a worker keeps inputs of, bytes handled and windows scored at a time.
+MEMO, SLICE_BYTES, BATCH = 200_000, 1 << 20, 4096
 
 _WORD = re.compile(r"[^\W_]+")
-INPUTS = 3 + 2 * WIDTH
+INPUTS = 2 * WIDTH
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte 3- to 5-grams of words with their ends marked: keys (the bytes and their number), and where each word's begin.
-
-    A word has at least one 3-gram, as its marks count; the 3-grams come first, so their number is the word's bytes.
-    """
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed rows of the byte 3-grams of words with their ends marked, where each word's begin, and their number (the word's bytes)."""
     raw = [w.encode() for w in words]
     data = np.frombuffer(b"".join(b"^" + w + b"$" for w in raw), np.uint8).astype(np.uint64)
-    size = np.array([len(w) + 2 for w in raw], np.int64)
-    head = np.cumsum(size) - size
-    number = 3 * size - 9 + (size == 3)  # for each n: size - n + 1, none for n > size
-    begin = np.cumsum(number) - number
-    keys = np.empty(int(number.sum()), np.uint64)
-    place, done = np.repeat(head, size), np.arange(len(data)) - np.repeat(head, size)
-    left = np.repeat(size, size) - done
-    packed, offset = data.copy(), np.zeros(len(size), np.int64)
-    for n in range(2, 6):
-        packed[: len(data) - n + 1] |= data[n - 1 :] << np.uint64(8 * (n - 1))
-        if n > 2:
-            ok = left >= n
-            whose = np.repeat(np.arange(len(size)), size)[ok]
-            keys[begin[whose] + offset[whose] + done[ok]] = packed[ok] | np.uint64(n << 56)
-            offset += np.maximum(size - n + 1, 0)
-    return keys, begin
-
-
-def _spread(x: np.ndarray) -> np.ndarray:
-    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % ROWS
-
-
-def _triples(size: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Where the 3-grams are among the keys of words."""
-    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    size = np.array([len(w) for w in raw], np.int64)
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) + 2 * np.repeat(np.arange(len(size)), size)
+    key = data[place] | data[place + 1] << np.uint64(8) | data[place + 2] << np.uint64(16)
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % ROWS, begin, size
 
 
 def starts(n: int) -> list[int]:
@@ -87,52 +76,23 @@ def starts(n: int) -> list[int]:
     return [*range(0, n - WINDOW, STRIDE), n - WINDOW]
 
 
-def _odds(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
-    """Log odds of a and b documents of the classes, from LEAST on and at most 4; else 0."""
-    a, b = np.maximum(a, 0), np.maximum(b, 0)
-    found = np.log((a + PRIOR * share) / (b + PRIOR * (1 - share))) - np.log(share / (1 - share))
-    return np.where(found >= LEAST, np.minimum(found, 4.0), 0.0)
-
-
 @dataclass
 class Model:
-    """Weights, and the kept log odds of words and of character n-grams (sorted keys and their odds)."""
+    """Weights, and the rows of the words that have an embedding of their own (all others: row 0)."""
 
-    words: dict[str, float]
-    grams: tuple[np.ndarray, np.ndarray]
+    words: dict[str, int]
     weights: dict[str, np.ndarray] = field(default_factory=dict)
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """The input vectors of words."""
-        keys, begin = grams_of(words)
-        out = np.zeros((len(words), INPUTS), np.float32)
-        out[:, 0] = [self.words.get(w, 0.0) for w in words]
-        out[:, 1:3] = gram_evidence(keys, begin, *self.grams)
-        size = np.array([len(w.encode()) for w in words], np.int64)
-        rows = self.weights["gram_rows"][_spread(keys[_triples(size, begin)])]
-        out[:, 3 : 3 + WIDTH] = self.weights["word_rows"][word_rows(keys, begin)]
-        out[:, 3 + WIDTH :] = np.add.reduceat(rows, np.cumsum(size) - size) / size[:, None]
-        return out
-
-
-def word_rows(keys: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The hashed row of each word: from the sum of its n-grams."""
-    return _spread(np.add.reduceat(keys, begin))
+        rows, begin, size = trigrams(words)
+        own = self.weights["word_rows"][[self.words.get(w, 0) for w in words]]
+        return np.concatenate([own, np.add.reduceat(self.weights["gram_rows"][rows], begin) / size[:, None]], 1).astype(np.float32)
 
 
-def gram_evidence(keys: np.ndarray, begin: np.ndarray, known: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """Greatest and mean log odds of each word's n-grams."""
-    if not len(known):
-        return np.zeros((len(begin), 2), np.float32)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    each = np.where(known[at] == keys, odds[at], 0)
-    number = np.diff(np.append(begin, len(keys)))
-    return np.stack([np.maximum.reduceat(each, begin), np.add.reduceat(each, begin) / number], 1)
-
-
-def new_weights(seed: int = 7) -> dict[str, np.ndarray]:
+def new_weights(words: int, seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    made = {"word_rows": rng.normal(0, 0.02, (ROWS, WIDTH)), "gram_rows": rng.normal(0, 0.02, (ROWS, WIDTH))}
+    made = {"word_rows": rng.normal(0, 0.1, (words, WIDTH)), "gram_rows": rng.normal(0, 0.1, (ROWS, WIDTH))}
     for way in "fb":
         made[f"{way}_in"] = rng.normal(0, 0.25, (INPUTS, 3 * UNITS))
         made[f"{way}_state"] = rng.normal(0, 0.25, (UNITS, 3 * UNITS))
@@ -215,118 +175,114 @@ def gradients(weights: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray, y
     return loss, g, d_f @ weights["f_in"].T + (d_b @ weights["b_in"].T)[:, ::-1]
 
 
-def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
+def windows_of(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of texts given as word numbers: the text and the words (-1 behind the end) of each."""
+    doc, window = [np.zeros(0, np.int64)], [np.zeros((0, WINDOW), np.int32)]
+    for d, w in enumerate(words):
+        if len(w):
+            padded = np.concatenate([w, np.full(max(0, WINDOW - len(w)), -1)]).astype(np.int32)
+            window.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[starts(len(w))])
+            doc.append(np.full(len(window[-1]), d))
+    return np.concatenate(doc), np.concatenate(window)
+
+
+def fit(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS) -> Model | None:
     """Train on labelled texts; None if a class is missing."""
     y = np.array([1 if t else 0 for t in toxic])
     if not len(y) or y.min() == y.max():
         return None
     rng = np.random.default_rng(seed)
-    share = float(np.clip(y.mean(), 0.02, 0.98))
     number: dict[str, int] = {}
     words = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
     kinds = list(number)
-    del number
-    own = [np.unique(w) for w in words]
-    keys, begin = grams_of(kinds)
-    gram = np.unique(keys)
-    which = np.searchsorted(gram, keys).astype(np.int32)
-    ends = np.append(begin[1:], len(keys))
-    in_docs = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(k for k, label in zip(own, y, strict=True) if label == c)]), minlength=len(kinds)) for c in (1, 0)]
-    gram_docs = [np.zeros(len(gram), np.int64) for _ in range(2)]
-    for k, label in zip(own, y, strict=True):
-        seen = np.zeros(len(gram), bool)
-        seen[which[np.repeat(begin[k] - (np.cumsum(ends[k] - begin[k]) - (ends[k] - begin[k])), ends[k] - begin[k]) + np.arange(int((ends[k] - begin[k]).sum()))]] = True
-        gram_docs[1 - label] += seen
-    odds, gram_odds = _odds(*in_docs, share), _odds(*gram_docs, share)
-    model = Model({kinds[k]: float(odds[k]) for k in np.flatnonzero(odds)}, (gram[gram_odds > 0], gram_odds[gram_odds > 0]), new_weights(seed))
+    docs = np.bincount(np.concatenate([np.unique(w) for w in words]), minlength=len(kinds))
+    word_row = np.where(docs >= MIN_DOCS, np.cumsum(docs >= MIN_DOCS), 0)
+    gram_row, first, size = trigrams(kinds)
+    model = Model({kinds[k]: int(word_row[k]) for k in np.flatnonzero(word_row)}, new_weights(int(word_row.max()) + 1, seed))
     weights = model.weights
-
-    # Evidence of a document's words without its own count, by its class.
-    size = np.array([len(k.encode()) for k in kinds], np.int64)
-    first = np.cumsum(size) - size
-    word_row, gram_row = word_rows(keys, begin), _spread(keys[_triples(size, begin)])
-    evidence = []
-    for less in ((0, 1), (1, 0)):
-        less_odds = _odds(gram_docs[0] - less[0], gram_docs[1] - less[1], share)
-        evidence.append(np.column_stack([_odds(in_docs[0] - less[0], in_docs[1] - less[1], share), gram_evidence(keys, begin, gram, less_odds)]).astype(np.float32))
-    doc, window = [], []
-    for d, w in enumerate(words):
-        if not len(w):
-            continue
-        at = starts(len(w))
-        for s in at if len(at) <= SAMPLE_WINDOWS else [at[int(k)] for k in np.linspace(0, len(at) - 1, SAMPLE_WINDOWS)]:
-            part = np.full(WINDOW, -1, np.int32)
-            part[: len(w) - s] = w[s : s + WINDOW]
-            doc.append(d)
-            window.append(part)
-    doc, window = np.array(doc), np.array(window)
-
-    def table() -> tuple[np.ndarray, np.ndarray]:
-        mean = np.add.reduceat(weights["gram_rows"][gram_row], first) / size[:, None]
-        embedded = np.concatenate([weights["word_rows"][word_row], mean], 1).astype(np.float32)
-        pad = np.zeros((1, INPUTS), np.float32)
-        return tuple(np.concatenate([np.concatenate([e, embedded], 1), pad]) for e in evidence)
-
-    def score_all(inputs) -> np.ndarray:
-        got = np.empty(len(window), np.float32)
-        for label in (0, 1):
-            pres = [inputs[label] @ weights[f"{way}_in"] + weights[f"{way}_bias"] for way in "fb"]
-            own = np.flatnonzero(y[doc] == label)
-            for a in range(0, len(own), BATCH):
-                part = window[own[a : a + BATCH]]
-                got[own[a : a + BATCH]] = forward(weights, pres[0][part], pres[1][part[:, ::-1]], part >= 0)
-        return got
+    doc, window = windows_of(words)
+    aside = np.zeros(len(y), bool)
+    for c in (0, 1):
+        aside[np.flatnonzero(y == c)[ASIDE - 1 :: ASIDE]] = True
+    label = np.where(aside[doc], -1, y[doc])  # those aside are not learned from
+
+    def score_all() -> np.ndarray:
+        inputs = np.concatenate([weights["word_rows"][word_row], np.add.reduceat(weights["gram_rows"][gram_row], first) / size[:, None]], 1)
+        inputs = np.concatenate([inputs, np.zeros((1, INPUTS))]).astype(np.float32)
+        pres = [inputs @ weights[f"{way}_in"] + weights[f"{way}_bias"] for way in "fb"]
+        parts = [window[a : a + BATCH] for a in range(0, len(window), BATCH)]
+        return np.concatenate([forward(weights, pres[0][p], pres[1][p[:, ::-1]], p >= 0) for p in parts])
 
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in weights.items()}
-    step = 0
     for turn in range(ROUNDS):
-        inputs = table()
         if turn:
-            score = score_all(inputs)
-        else:  # before any training: the sum of the evidence
-            score = np.array([inputs[label][part, :2].sum() for label, part in zip(y[doc], window, strict=True)])
-        order = np.lexsort((-score, doc))
-        new = np.concatenate([[True], doc[order][1:] != doc[order][:-1]])
-        place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        best, second = order[place == 0], order[place == 1]
-        others = order[place > 1]
-        quiet = rng.permutation(others[y[doc[others]] == 0])[: 2 * len(words)]
-        chosen = np.concatenate([best, second[y[doc[second]] == 0], quiet])
-        label = y[doc[chosen]].astype(np.float32)
-        weigh = np.where(label > 0, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())).astype(np.float32)
-        for _ in range(4 if len(chosen) > 4000 else 12):
-            mixed = rng.permutation(len(chosen))
-            for a in range(0, len(mixed), 256):
-                take = mixed[a : a + 256]
-                part = window[chosen[take]]
-                x = np.where((label[take] > 0)[:, None, None], inputs[1][part], inputs[0][part])
-                _, g, d_x = gradients(weights, x, part >= 0, label[take], weigh[take] / weigh[take].sum())
-                d_kind = d_x[part >= 0][:, 3:]
-                flat = part[part >= 0]
-                g["word_rows"], g["gram_rows"] = np.zeros_like(weights["word_rows"]), np.zeros_like(weights["gram_rows"])
-                long = size[flat]
-                rows = gram_row[np.repeat(first[flat] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))]
-                by_gram = np.repeat(d_kind[:, WIDTH:] / long[:, None], long, 0)
-                for k in range(WIDTH):
-                    g["word_rows"][:, k] = np.bincount(word_row[flat], d_kind[:, k], ROWS)
-                    g["gram_rows"][:, k] = np.bincount(rows, by_gram[:, k], ROWS)
-                step += 1
-                for k, v in weights.items():
-                    grad = g[k].astype(np.float32) + np.float32(1e-4) * v
-                    m, s = moments[k]
-                    m += 0.1 * (grad - m)
-                    s += 0.01 * (grad * grad - s)
-                    v -= (0.01 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            order = np.lexsort((-score_all(), doc))
+            new = np.concatenate([[True], doc[order][1:] != doc[order][:-1]])
+            place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            bad, bad_share = order[(place == 0) & (label[order] == 1)], None
+            hard, rest = order[(place < 2) & (label[order] == 0)], order[(place > 1) & (label[order] == 0)]
+            good = np.concatenate([hard, rng.permutation(rest)[: len(hard)]])
+        else:  # nothing is known of the windows yet
+            bad, good = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+            bad_share = 1 / np.bincount(doc)[doc[bad]]
+            bad_share /= bad_share.sum()
+        half = STEP_WINDOWS // 2
+        target = np.repeat([1.0, 0.0], half).astype(np.float32)
+        weigh = np.full(2 * half, 0.5 / half, np.float32)
+        for step in range(steps):
+            part = window[np.concatenate([rng.choice(bad, half, p=bad_share), rng.choice(good, half)])]
+            real = part >= 0
+            flat = part[real]
+            long = size[flat]
+            rows = gram_row[np.repeat(first[flat] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))]
+            keep = (rng.random(len(flat)) >= DROPPED).astype(np.float32)[:, None]
+            x = np.zeros((*part.shape, INPUTS), np.float32)
+            x[real] = keep * np.concatenate([weights["word_rows"][word_row[flat]], np.add.reduceat(weights["gram_rows"][rows], np.cumsum(long) - long) / long[:, None]], 1)
+            _, g, d_x = gradients(weights, x, real, target, weigh)
+            d_kind = keep * d_x[real]
+            by_gram = np.repeat(d_kind[:, WIDTH:] / long[:, None], long, 0)
+            for name, where, grad in (("word_rows", word_row[flat], d_kind[:, :WIDTH]), ("gram_rows", rows, by_gram)):
+                g[name] = np.stack([np.bincount(where, grad[:, k], len(weights[name])) for k in range(WIDTH)], 1)
+            rate, at = 0.02 * (1 - step / steps) + 0.001, turn * steps + step + 1
+            for k, v in weights.items():
+                grad = g[k].astype(np.float32) + np.float32(DECAY) * v
+                m, s = moments[k]
+                m += 0.1 * (grad - m)
+                # Embeddings have one scale: a word of few windows moves by its share, so that the sample isn't learned by heart.
+                s += 0.01 * ((np.square(grad).max() if k in ("word_rows", "gram_rows") else grad * grad) - s)
+                v -= (rate * (m / (1 - 0.9**at)) / (np.sqrt(s / (1 - 0.99**at)) + 1e-6)).astype(np.float32)
+    best = np.full(len(y), -np.inf)
+    np.maximum.at(best, doc, score_all())
+    weights["out_bias"] += np.float32(np.log(CUTOFF / (1 - CUTOFF)) - cut_between(best[aside & (best > -np.inf)], y[aside & (best > -np.inf)]))
     return model
 
 
-def train(df: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model | None:
-    """Fit on at most `sample` toxic and 3 * `sample` other documents among the labelled rows that `allowed` (on id_col) lets in."""
+def cut_between(logit: np.ndarray, toxic: np.ndarray) -> float:
+    """The logit above which most toxic documents and fewest others lie, FALSE_COST times the share of others counting against the share of toxic ones.
+
+    Of equally good cuts the middle of the widest gap between documents is taken; without documents of both classes, that of CUTOFF.
+    """
+    if not len(toxic) or toxic.min() == toxic.max():
+        return float(np.log(CUTOFF / (1 - CUTOFF)))
+    order = np.argsort(logit, kind="stable")
+    value, bad = logit[order], toxic[order]
+    gain = np.cumsum(FALSE_COST * (bad == 0) / (bad == 0).sum() - (bad == 1) / (bad == 1).sum())[:-1]
+    gap = np.where(gain >= gain.max() - 1e-9, np.diff(value), -1)
+    k = int(gap.argmax())
+    return float((value[k] + value[k + 1]) / 2)
+
+
+def train(df: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Fit on at most `sample` toxic and 3 * `sample` other documents, of `sample_bytes` together, among the labelled rows that `allowed` (on id_col) lets in."""
     known = labels.filter(F.col(label_col).isNotNull() & allowed).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
-    order = [F.crc32(F.concat(F.lit("sample"), F.col("id").cast("string"))), "id"]
+    order = [F.crc32(F.concat(F.lit("sample"), F.col("id").cast("string"))), F.col("id")]
     chosen = known.filter("toxic = 1").orderBy(*order).limit(sample).union(known.filter("toxic = 0").orderBy(*order).limit(3 * sample))
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").filter("text is not null")  # at most 4 * sample labels, and documents
+    # At most 4 * sample ids are broadcast. A task gives the least text of an id, so a repeated id is one row before it is shuffled.
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").filter("text is not null")
+    rows = rows.groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # at most 4 * sample rows of numbers
+    fitting = rows.select("id", F.octet_length("text").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).filter(F.col("before") + F.col("n") <= sample_bytes)
+    rows = rows.join(F.broadcast(fitting.select("id")), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sorted((r["id"], r["text"], r["toxic"]) for batch in batches for r in batch.to_pylist())
@@ -362,7 +318,7 @@ class Scorer:
         doc, parts = [], []
         for d, ids in enumerate(numbers):
             if len(ids):
-                at = np.array(starts(len(ids)))
+                at = starts(len(ids))
                 padded = np.concatenate([ids, np.zeros(max(0, WINDOW - len(ids)), np.int64)])
                 parts.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[at])
                 doc += [d] * len(at)
@@ -386,11 +342,9 @@ def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = made.setdefault("it", Scorer(shared.value))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            got = [np.zeros(0)]
-            for start, stop in by_bytes(texts, SLICE_CHARS):
-                got.append(scorer([t or "" for t in texts[start:stop]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got)), *batch.columns[2:]], names=names)
+            for start, stop, texts in sliced(batch.column(1), SLICE_BYTES):
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer(texts)), *part.columns[2:]], names=names)
 
     names = ["id", "score", *(f"extra_{k}" for k in range(len(keep)))]
     kinds = [df.schema[id_col].dataType.simpleString(), "double", *(df.schema[c].dataType.simpleString() for c in keep)]
