@@ -4,7 +4,9 @@ A text is lower-cased (A-Z) and reduced to its words, joined by single spaces. E
 by word. A fuzzy notice may have up to its number of errors (insertions, deletions, substitutions): it is split
 into one more seed than that, so at least one seed occurs unchanged in any hit (pigeonhole); an Aho-Corasick
 automaton finds the seeds of all notices in one pass, and the regex library's bounded-error matching decides
-inside the window around each seed and gives the span and the number of errors.
+inside the window around each cluster of seeds, which is little longer than the notice, and gives the span and the
+number of errors. Of a notice's matches that overlap the one with fewest errors stays, the first on ties, so a text's time
+grows with its length and its number of seeds, whatever it repeats.
 
 Null texts are empty; texts without words have no hits; whole texts are searched, and rows one by one, so
 repeated rows and ties get equal results and empty tables no rows. Only the id and text columns are read.
@@ -12,6 +14,8 @@ repeated rows and ties get equal results and empty tables no rows. Only the id a
 
 from __future__ import annotations
 
+import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,6 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plantlens.llm.common import sliced
+
+#: Bytes of texts handled at a time inside a task.
+SLICE_BYTES = 4 << 20
+#: Windows of text whose matches a worker remembers.
+MEMO = 20_000
 #: Exact phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Notices: label, words, errors allowed.
@@ -57,11 +67,31 @@ def seeds(notice: str, errors: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def breaks_before(words: str, places: list[int]) -> dict[int, int]:
+    """Number of spaces before each place, counted in one pass over the text."""
+    out, at, number = {}, 0, 0
+    for place in sorted(set(places)):
+        number += words.count(" ", at, place)
+        at = place
+        out[place] = number
+    return out
+
+
+def clusters(places: list[int], width: int):
+    """The first and last of each run of sorted places that begin within `width` of the run's first."""
+    k = 0
+    while k < len(places):
+        j = bisect.bisect(places, places[k] + width) - 1
+        yield places[k], places[j]
+        k = j + 1
+
+
 class Scanner:
     """Finds exact phrases and notices; one for each worker."""
 
     def __init__(self, phrases: dict[str, str] = PHRASES, notices=NOTICES):
-        self.phrases, self.notices = phrases, notices
+        self.phrases, self.notices, self.memo = phrases, notices, {}
+        self.letters = [Counter(notice) for _, notice, _ in notices]
         places: dict[str, list[tuple[int, int]]] = {}
         for number, (_, notice, errors) in enumerate(notices):
             for at, seed in seeds(notice, errors):
@@ -78,33 +108,47 @@ class Scanner:
         for phrase, label in self.phrases.items():
             at = words.find(f" {phrase} ")
             while at >= 0:
-                found.append((label, words.count(" ", 0, at)))
+                found.append((at, label))
                 at = words.find(f" {phrase} ", at + 1)
-        return found
+        number = breaks_before(words, [at for at, _ in found])
+        return [(label, number[at]) for at, label in found]
 
     def fuzzy(self, words: str) -> list[tuple[str, int, int, int, float]]:
         """(label, first word, word after the last, errors, score) of the notices' hits."""
-        windows: dict[int, list[list[int]]] = {}
+        begins: dict[int, set[int]] = {}
         for last, (size, where) in self.automaton.iter(words):
             for number, at in where:
-                _, notice, errors = self.notices[number]
-                start = last + 1 - size - at - errors
-                windows.setdefault(number, []).append([max(0, start), min(len(words), start + len(notice) + 2 * errors + 1)])
-        found = []
-        for number, spans in windows.items():
-            label, notice, _ = self.notices[number]
-            spans.sort()
-            merged = spans[:1]
-            for a, b in spans[1:]:
-                if a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                for m in self.patterns[number].finditer(words, a, b):
-                    errors = sum(m.fuzzy_counts)
-                    found.append((label, words.count(" ", 0, m.start()) - 1, words.count(" ", 0, m.end()), errors, 1 - errors / len(notice)))
-        return found
+                begins.setdefault(number, set()).add(last + 1 - size - at)
+        spans = []
+        for number, places in begins.items():
+            _, notice, errors = self.notices[number]
+            matches: dict[tuple[int, int], int] = {}
+            for first, last in clusters(sorted(places), errors):
+                a, b = max(0, first - errors), min(len(words), last + len(notice) + errors + 1)
+                if (m := self._match(number, words, a, b)) is not None:
+                    matches[a + m[0], a + m[1]] = m[2]
+            taken: list[tuple[int, int]] = []
+            for (start, end), wrong in sorted(matches.items(), key=lambda x: (x[1], x[0])):
+                k = bisect.bisect(taken, (start, end))
+                if (not k or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+                    taken.insert(k, (start, end))
+                    spans.append((number, start, end, wrong))
+        word = breaks_before(words, [x for _, start, end, _ in spans for x in (start, end)])
+        return [(self.notices[n][0], word[start] - 1, word[end], wrong, 1 - wrong / len(self.notices[n][1])) for n, start, end, wrong in sorted(spans)]
+
+    def _match(self, number: int, words: str, a: int, b: int) -> tuple[int, int, int] | None:
+        """Start and end, from a on, and errors of the best match between a and b; windows met lately are remembered."""
+        key = (number, words[max(0, a - 1) : b], a > 0)
+        if key not in self.memo:
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            found = None
+            # As many letters as there may be errors can be missing from the window at most.
+            if (self.letters[number] - Counter(words[a:b])).total() <= self.notices[number][2]:
+                m = self.patterns[number].search(words, a, b)
+                found = m and (m.start() - a, m.end() - a, sum(m.fuzzy_counts))
+            self.memo[key] = found
+        return self.memo[key]
 
     def scan(self, text: str) -> dict:
         words = normalised(text)
@@ -133,8 +177,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = made.setdefault("it", Scanner())
         for batch in batches:
-            found = pa.array([scanner.scan(t or "") for t in batch.column(1).to_pylist()], _RESULT)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *found.flatten()], names=["id", *(f.name for f in _RESULT)])
+            for start, stop, texts in sliced(batch.column(1), SLICE_BYTES):
+                found = pa.array([scanner.scan(t) for t in texts], _RESULT)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), *found.flatten()], names=["id", *(f.name for f in _RESULT)])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = source.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, {_SCHEMA}")
