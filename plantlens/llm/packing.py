@@ -26,14 +26,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantlens.llm.bpe import SLICE_BYTES, coder
-from plantlens.llm.common import settle, shuffle_width, sliced
+from plantlens.llm.common import settle, shuffle_width, sliced, small
 
 #: Tokens in a sequence, and the id that ends a document.
 CAPACITY, END_ID = 2048, 0
 #: Groups of large sizes, and the size up to which pieces count as small (a share of the capacity).
 GROUPS, SMALL = 192, 1 / 3
-#: Steps of column generation at most (more don't pay: the plan is feasible after each).
-STEPS = 1500
+#: Column generation goes on until no pattern improves the programme; it also ends where so many steps for each size in
+#: a row leave the value as it is (degenerate steps), as the plan is feasible after each.
+IDLE = 8
 
 
 def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, spaced: bool = False) -> DataFrame:
@@ -90,7 +91,8 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.linalg.inv(basis)
     use = inverse @ demand
-    for step in range(STEPS):
+    least, idle, step = use.sum(), 0, 0
+    while idle < IDLE * m:
         value = inverse.sum(0)
         worth, column = _best_pattern(sizes, value, capacity)
         if worth <= 1 + 1e-7:
@@ -99,13 +101,15 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple
         ratio = np.where(move > 1e-9, use / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratio.argmin())
         basis[:, out] = column
-        if step % 50 == 49:
+        step += 1
+        if step % 50 == 0:
             inverse = np.linalg.inv(basis)
         else:
             row = inverse[out] / move[out]
             inverse = inverse - np.outer(move, row)
             inverse[out] = row
         use = np.maximum(inverse @ demand, 0)
+        least, idle = (use.sum(), 0) if use.sum() < least * (1 - 1e-9) else (least, idle + 1)
     whole = np.floor(use + 1e-6).astype(np.int64)
     made = [(basis[:, k].astype(np.int64), int(whole[k])) for k in range(m) if whole[k]]
     left = np.maximum(demand - sum((p * c for p, c in made), np.zeros(m, np.int64)), 0)
@@ -232,7 +236,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     own = Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "ids_crc32")
     ranked = items.withColumn("own", F.row_number().over(own) - 1).join(offsets.hint("merge"), ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("ahead") + F.col("own"))
-    # The plan's runs, by size, as sorted arrays: bounded by the capacity, looked up by binary search inside the task.
+    # The plan's runs: their number follows from the sizes, groups and patterns, not from the documents. They are counted all the same.
     by_size: dict[int, list] = {}
     for size, rank, n, first, offset in runs:
         by_size.setdefault(size, []).append((rank, n, first, offset))
@@ -240,5 +244,5 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
         [(size, rank, rank + n, first, offset) for size, own_runs in by_size.items() for rank, n, first, offset in own_runs],
         "length long, low long, high long, first long, offset long",
     )
-    placed = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    placed = ranked.join(small(places, len(runs), 48), (ranked["length"] == places["length"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return placed.select(F.col("id").alias(id_col), "piece", "start", ranked["length"], "ids_crc32", (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")

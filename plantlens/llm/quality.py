@@ -7,8 +7,8 @@ from the most lenient factor to stricter ones, a factor is certified as long as
 rejects "more than `risk` of the stratum's good documents are lost" (fixed-sequence testing, so the steps of
 a stratum need no correction; the level is divided by the number of strata). Any certified factor may then be
 used; the one with the best difference of labelled junk and good documents rejected is taken, the most
-lenient one on ties. Strata with too few labels for any certificate use the pooled table's cutoff, and if that
-has none either, the rules reject nothing beyond the base rules.
+lenient one on ties. In strata with too few labels for any certificate only the base rules reject, as no other
+stratum's labels can bound the loss there.
 
 Nulls are empty texts or, as a stratum, one of its own; empty texts have no words; texts of any length are
 measured whole; rows are judged one by one, so repeated rows and ties get equal verdicts; empty tables give
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantlens.llm.common import settle, small
+
 #: Characters that part words.
 BREAKS = r"[\x20\x09-\x0D]"
 #: Rules: measure and the scale that a factor of 1 stands for.
@@ -29,8 +31,8 @@ SCALES = {"symbol_share": 0.05, "shout_share": 0.25, "upper_share": 0.30, "dup_l
 FACTORS = (4.0, 3.0, 2.0, 1.75, 1.5, 1.4, 1.3, 1.2, 1.1, 1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)
 #: Good documents of a stratum that may be lost, and the chance that any stratum's certificate is wrong.
 RISK, ERROR = 0.02, 0.05
-#: Strata with a cutoff of their own (those with most labels), and the base rule's bounds.
-MOST_STRATA, LEAST_WORDS, REPEAT_PERCENT = 1000, 50, 50
+#: The base rule's bounds.
+LEAST_WORDS, REPEAT_PERCENT = 50, 50
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -119,8 +121,7 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def calibrate(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang", label_col: str = "quality", risk: float = RISK, error: float = ERROR) -> DataFrame:
     """Cutoffs from measured documents and labels (1 good, 0 junk).
 
-    Returns stratum, pooled (boolean), n_good, n_junk, cutoff (null: no factor could be certified). At most
-    MOST_STRATA strata, those with most labels, have rows besides the pooled one.
+    Returns stratum, n_good, n_junk, cutoff (null: no factor could be certified), a row for each stratum with labels.
     """
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_good"))
     judged = measured.filter(~base_failed()).select(F.col(id_col).alias("_id"), F.col(stratum_col).cast("string").alias("stratum"), severity().alias("_v"))
@@ -129,29 +130,24 @@ def calibrate(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", st
     for k, factor in enumerate(FACTORS):
         over = F.col("_v") > factor
         counts += [F.count_if(over & F.col("_good")).alias(f"good_{k}"), F.count_if(over & ~F.col("_good")).alias(f"junk_{k}")]
-    each = seen.groupBy("stratum").agg(*counts)
-    most = each.orderBy(F.desc("n_good"), F.asc_nulls_first("stratum")).limit(MOST_STRATA)
-    pooled = each.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in each.columns[1:])).select(F.lit(None).cast("string").alias("stratum"), "*")
-    cells = most.withColumn("pooled", F.lit(False)).unionByName(pooled.withColumn("pooled", F.lit(True)))
-    cells = cells.withColumn("strata", F.count("*").over(Window.partitionBy()))
+    cells = settle(seen.groupBy("stratum").agg(*counts))
+    strata = max(1, cells.count())
     tried = F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f"good_{k}").alias("good"), F.col(f"junk_{k}").alias("junk")) for k, f in enumerate(FACTORS)))
-    grid = cells.select("stratum", "pooled", "n_good", "n_junk", "strata", F.inline(tried))
-    ok = (F.col("n_good") > 0) & (binomial_tail(F.col("n_good"), F.col("good"), risk) <= F.lit(error) / F.col("strata"))
-    so_far = Window.partitionBy("pooled", "stratum").orderBy(F.desc("factor"))
+    grid = cells.select("stratum", "n_good", "n_junk", F.inline(tried))
+    ok = (F.col("n_good") > 0) & (binomial_tail(F.col("n_good"), F.col("good"), risk) <= error / strata)
+    so_far = Window.partitionBy("stratum").orderBy(F.desc("factor"))
     grid = grid.withColumn("certified", F.min(ok).over(so_far))
     gain = F.col("junk") / F.greatest("n_junk", F.lit(1)) - F.col("good") / F.greatest("n_good", F.lit(1))
     best = F.max(F.when(F.col("certified"), F.struct(gain, F.col("factor"))))
-    return grid.groupBy("stratum", "pooled", "n_good", "n_junk").agg(best["factor"].alias("cutoff"))
+    return grid.groupBy("stratum", "n_good", "n_junk").agg(best["factor"].alias("cutoff"))
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang") -> DataFrame:
-    """Add base_failed and kept. The cutoffs have at most MOST_STRATA + 1 rows, so they are broadcast."""
-    own = cutoffs.filter(~F.col("pooled") & F.col("cutoff").isNotNull()).select(F.col("stratum").alias("_stratum"), F.col("cutoff").alias("_own"))
-    common = cutoffs.filter("pooled").agg(F.max("cutoff").alias("_common"))
-    found = measured.join(F.broadcast(own), F.col(stratum_col).cast("string").eqNullSafe(F.col("_stratum")), "left").crossJoin(F.broadcast(common))
-    cutoff = F.coalesce("_own", "_common")
+    """Add base_failed and kept. The cutoffs, one row for each stratum, are broadcast if their counted size is small."""
+    own = settle(cutoffs.filter(F.col("cutoff").isNotNull()).select(F.col("stratum").alias("_stratum"), F.col("cutoff").alias("_own")))
+    found = measured.join(small(own, own.count(), 256), F.col(stratum_col).cast("string").eqNullSafe(F.col("_stratum")), "left")
     failed = base_failed()
-    return found.withColumns({"base_failed": failed, "kept": ~failed & ~F.coalesce(severity() > cutoff, F.lit(False))}).drop("_stratum", "_own", "_common")
+    return found.withColumns({"base_failed": failed, "kept": ~failed & ~F.coalesce(severity() > F.col("_own"), F.lit(False))}).drop("_stratum", "_own")
 
 
 #: DuckDB SQL of the whole operator over `documents` and `labels`; also used by the pipeline's tests.
@@ -184,28 +180,24 @@ f as (
   from m),
 l as (select doc_id, min(quality) = 1 as good from labels where quality is not null group by 1),
 seen as (select lang, v, good from f join l using (doc_id) where not base_failed),
-st as (
-  select lang, false as pooled, count(*) filter (good) as n_good, count(*) filter (not good) as n_junk from seen group by 1
-  union all select null, true, count(*) filter (good), count(*) filter (not good) from seen),
+st as (select lang, count(*) filter (good) as n_good, count(*) filter (not good) as n_junk from seen group by 1),
 fs as (select unnest([{", ".join(f"{x}::double" for x in FACTORS)}]) as factor),
 c as (
   select st.*, factor, (select count(*) from st) as strata,
-         (select count(*) from seen where good and v > factor and (pooled or seen.lang is not distinct from st.lang)) as good,
-         (select count(*) from seen where not good and v > factor and (pooled or seen.lang is not distinct from st.lang)) as junk
+         (select count(*) from seen where good and v > factor and seen.lang is not distinct from st.lang) as good,
+         (select count(*) from seen where not good and v > factor and seen.lang is not distinct from st.lang) as junk
   from st cross join fs),
 p as (
   select *, n_good > 0 and good < n_good * {RISK}::double and (
     select sum(exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({RISK}::double) + (n_good - i) * ln(1 - {RISK}::double)))
     from range(0, good + 1) q(i)) <= {ERROR}::double / strata as ok
   from c),
-k as (select *, bool_and(ok) over (partition by pooled, lang order by factor desc) as certified from p),
+k as (select *, bool_and(ok) over (partition by lang order by factor desc) as certified from p),
 b as (
-  select lang, pooled, first(factor order by junk / greatest(n_junk, 1) - good / greatest(n_good, 1) desc, factor desc) as cutoff
-  from k where certified group by 1, 2)
+  select lang, first(factor order by junk / greatest(n_junk, 1) - good / greatest(n_good, 1) desc, factor desc) as cutoff
+  from k where certified group by 1)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
        n_dup_lines::bigint as n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and not coalesce(v > coalesce(
-         (select max(cutoff) from b where not pooled and b.lang is not distinct from f.lang),
-         (select max(cutoff) from b where pooled)), false) as kept
+       not base_failed and not coalesce(v > (select max(cutoff) from b where b.lang is not distinct from f.lang), false) as kept
 from f
 """

@@ -13,8 +13,9 @@ tables is what TABLE_RECALL needs at the least cosine. A pair counts in the firs
 Parts of more than TILE vectors are dealt as pairs of tiles, so no task gets more than two tiles.
 
 Equal vectors are one vector with a weight. Vectors that are null, empty, zero or hold null or non-finite
-components link with nothing; vectors of different length neither. Rows may repeat. Empty tables give no rows. Only the
-id and vector columns are read.
+components link with nothing; vectors of different length neither. Each row is a vector of its own, so rows that repeat
+an id or a vector (ties) link with each other, and all rows of an id that is the least of its component are kept. Empty
+tables give no rows. Only the id and vector columns are read.
 """
 
 from __future__ import annotations
