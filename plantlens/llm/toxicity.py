@@ -107,8 +107,8 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 def _scan(pre: np.ndarray, state: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
     """States of a gated recurrent layer over pre-activations (batch, time, 3 * UNITS), and what a gradient needs."""
-    h = np.zeros((len(pre), UNITS), np.float32)
-    hs, steps = np.empty((len(pre), pre.shape[1], UNITS), np.float32), []
+    h = np.zeros((len(pre), UNITS), pre.dtype)
+    hs, steps = np.empty((len(pre), pre.shape[1], UNITS), pre.dtype), []
     for t in range(pre.shape[1]):
         inner = h @ state
         gates = _logistic(pre[:, t, : 2 * UNITS] + inner[:, : 2 * UNITS])
@@ -123,8 +123,8 @@ def _scan(pre: np.ndarray, state: np.ndarray, keep: bool) -> tuple[np.ndarray, l
 
 def _scan_back(grad: np.ndarray, steps: list, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the pre-activations and of `state`."""
-    d_pre, d_state = np.zeros((*grad.shape[:2], 3 * UNITS), np.float32), np.zeros_like(state)
-    d_h = np.zeros((len(grad), UNITS), np.float32)
+    d_pre, d_state = np.zeros((*grad.shape[:2], 3 * UNITS), grad.dtype), np.zeros_like(state)
+    d_h = np.zeros((len(grad), UNITS), grad.dtype)
     for t in range(grad.shape[1] - 1, -1, -1):
         d_h = d_h + grad[:, t]
         h, inner, reset, update, new = steps[t]
@@ -159,7 +159,7 @@ def gradients(weights: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray, y
     p = _logistic(logit)
     loss = float(-(weigh * np.where(y > 0, np.log(p + 1e-9), np.log(1 - p + 1e-9))).sum())
     d_logit = weigh * (p - y)
-    g = {"out": pooled.T @ d_logit, "out_bias": np.array([d_logit.sum()], np.float32)}
+    g = {"out": pooled.T @ d_logit, "out_bias": np.array([d_logit.sum()])}
     d_pooled = d_logit[:, None] * weights["out"]
     d_share = (h * d_pooled[:, None, :]).sum(2)
     d_score = share * (d_share - (share * d_share).sum(1, keepdims=True))
@@ -199,7 +199,8 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS) -
     word_row = np.where(docs >= MIN_DOCS, np.cumsum(docs >= MIN_DOCS), 0)
     gram_row, first, size = trigrams(kinds)
     model = Model({kinds[k]: int(word_row[k]) for k in np.flatnonzero(word_row)}, new_weights(int(word_row.max()) + 1, seed))
-    weights = model.weights
+    # Training in double precision, so that its course doesn't hang on the rounding of the machine's matrix products.
+    weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
     doc, window = windows_of(words)
     aside = np.zeros(len(y), bool)
     for c in (0, 1):
@@ -208,7 +209,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS) -
 
     def score_all() -> np.ndarray:
         inputs = np.concatenate([weights["word_rows"][word_row], np.add.reduceat(weights["gram_rows"][gram_row], first) / size[:, None]], 1)
-        inputs = np.concatenate([inputs, np.zeros((1, INPUTS))]).astype(np.float32)
+        inputs = np.concatenate([inputs, np.zeros((1, INPUTS))])
         pres = [inputs @ weights[f"{way}_in"] + weights[f"{way}_bias"] for way in "fb"]
         parts = [window[a : a + BATCH] for a in range(0, len(window), BATCH)]
         return np.concatenate([forward(weights, pres[0][p], pres[1][p[:, ::-1]], p >= 0) for p in parts])
@@ -227,16 +228,16 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS) -
             bad_share = 1 / np.bincount(doc)[doc[bad]]
             bad_share /= bad_share.sum()
         half = STEP_WINDOWS // 2
-        target = np.repeat([1.0, 0.0], half).astype(np.float32)
-        weigh = np.full(2 * half, 0.5 / half, np.float32)
+        target = np.repeat([1.0, 0.0], half)
+        weigh = np.full(2 * half, 0.5 / half)
         for step in range(steps):
             part = window[np.concatenate([rng.choice(bad, half, p=bad_share), rng.choice(good, half)])]
             real = part >= 0
             flat = part[real]
             long = size[flat]
             rows = gram_row[np.repeat(first[flat] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))]
-            keep = (rng.random(len(flat)) >= DROPPED).astype(np.float32)[:, None]
-            x = np.zeros((*part.shape, INPUTS), np.float32)
+            keep = (rng.random(len(flat)) >= DROPPED).astype(np.float64)[:, None]
+            x = np.zeros((*part.shape, INPUTS))
             x[real] = keep * np.concatenate([weights["word_rows"][word_row[flat]], np.add.reduceat(weights["gram_rows"][rows], np.cumsum(long) - long) / long[:, None]], 1)
             _, g, d_x = gradients(weights, x, real, target, weigh)
             d_kind = keep * d_x[real]
@@ -245,15 +246,16 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7, steps: int = STEPS) -
                 g[name] = np.stack([np.bincount(where, grad[:, k], len(weights[name])) for k in range(WIDTH)], 1)
             rate, at = 0.02 * (1 - step / steps) + 0.001, turn * steps + step + 1
             for k, v in weights.items():
-                grad = g[k].astype(np.float32) + np.float32(DECAY) * v
+                grad = g[k] + DECAY * v
                 m, s = moments[k]
                 m += 0.1 * (grad - m)
                 # Embeddings have one scale: a word of few windows moves by its share, so that the sample isn't learned by heart.
                 s += 0.01 * ((np.square(grad).max() if k in ("word_rows", "gram_rows") else grad * grad) - s)
-                v -= (rate * (m / (1 - 0.9**at)) / (np.sqrt(s / (1 - 0.99**at)) + 1e-6)).astype(np.float32)
+                v -= rate * (m / (1 - 0.9**at)) / (np.sqrt(s / (1 - 0.99**at)) + 1e-6)
     best = np.full(len(y), -np.inf)
     np.maximum.at(best, doc, score_all())
-    weights["out_bias"] += np.float32(np.log(CUTOFF / (1 - CUTOFF)) - cut_between(best[aside & (best > -np.inf)], y[aside & (best > -np.inf)]))
+    weights["out_bias"] += np.log(CUTOFF / (1 - CUTOFF)) - cut_between(best[aside & (best > -np.inf)], y[aside & (best > -np.inf)])
+    model.weights = {k: v.astype(np.float32) for k, v in weights.items()}
     return model
 
 
@@ -290,7 +292,8 @@ def train(df: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # One task fits, on the bounded sample; the driver gets the weights only.
-    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else None
 
 
 class Scorer:
