@@ -192,6 +192,9 @@ LABELLED = """
 <body><div>{-9}</div><div><h1>{+10}</h1><p>{+1}</p><p>{+1}</p><p>{+3}</p></div><div>{-12}</div></body>
 <body><div><ul><li><a>{-1}</a></li><li><a>{-1}</a></li></ul></div><div>{-7}</div><div><p>{+44}</p><p>{+1}</p><p>{+12}</p><p>{+230}</p><p>{+1}</p><p>{+3}</p><p>{+60}</p><p>{+1}</p><p>{+160}</p><p>{+9}</p></div><div>{-10}</div></body>
 <body><div><ul><li><a>{-1}</a></li><li><a>{-1}</a></li></ul></div><div>{-11}</div><div><h1>{+11}</h1></div><div>{-7}</div></body>
+<body><nav><a>{-1}</a><a>{-1}</a></nav><article><h1>{+4}</h1><p>{+12}</p><p>{+3}</p></article></body>
+<body><article><p>{+3}</p><p>{+3}</p><p>{+3}</p></article></body>
+<body><div class=ad>{-6}</div><main><h1>{+9}</h1><p>{+52}</p><p>{+7}</p></main></body>
 <body><p><a>{-2}</a> <a>{-1}</a> <a>{-2}</a></p><h1>{+6}</h1><p>{+24}</p><p><a>{+3}</a></p><p>{+35}</p><p><a>{-1}</a> <a>{-2}</a></p><div>{-13}</div></body>
 <body><nav><ul><li><a>{-1}</a></li><li><a>{-2}</a></li></ul></nav><div class=ad>{-9}</div><article><h1>{+8}</h1><p>{+60}</p><p>{+2}</p><p>{+35}</p></article><footer>{-12}</footer></body>
 <body><header><a>{-3}</a><p>{-14}</p></header><main><h1>{+6}</h1><p>{+3}</p><p>{+80}</p><ul><li>{+7}</li><li>{+5}</li></ul><blockquote>{+18}</blockquote></main><aside><h3>{-2}</h3><p>{-40}</p></aside></body>
