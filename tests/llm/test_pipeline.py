@@ -26,6 +26,7 @@ def test_pipeline_equals_brute_force(spark, sf):
     open_ = sorted((i for i in labels if crc(i) % 3 != 1), key=lambda i: (crc(f"sample{i}"), i))
     sample = [i for c, n in ((1, toxicity.SAMPLE), (0, 3 * toxicity.SAMPLE)) for i in [j for j in open_ if labels[j] == c][:n] if docs.get(i) is not None]
     sample.sort(key=lambda i: (i, docs[i]))
+    assert sum(len(docs[i].encode()) for i in sample) <= toxicity.SAMPLE_BYTES
     model = toxicity.fit([docs[i] for i in sample], [labels[i] for i in sample])
     scores = toxicity.Scorer(model)([t or "" for t in docs.values()]) if model else np.zeros(len(docs))
     assert (np.abs(scores - toxicity.CUTOFF) > 1e-4).all()

@@ -50,9 +50,17 @@ def test_quality_certificates(spark):
     measured = spark.createDataFrame(data)
     labels = spark.createDataFrame([(k, int(k < 900)) for k in range(1000)] + [(5, 1), (6, None)], "doc_id long, quality int")
     cutoffs = quality.calibrate(measured, labels)
-    assert {(r.stratum, r.pooled) for r in cutoffs.collect()} == {("en", False), (None, False), (None, True)}
+    assert {(r.stratum, r.n_good, r.cutoff is None) for r in cutoffs.collect()} == {("en", 675, False), (None, 225, False)}
     kept = {r.doc_id for r in quality.judge(measured, cutoffs).filter("kept").collect()}
     assert kept == set(range(900))
+    # Fifty good labels can't certify anything: only the base rules hold in that stratum.
+    fewer = quality.calibrate(measured, labels.filter("doc_id % 4 <> 0 or doc_id < 200 or doc_id >= 900"))
+    assert {(r.stratum, r.cutoff is None) for r in fewer.collect()} == {("en", False), (None, True)}
+    assert {r.doc_id for r in quality.judge(measured, fewer).filter("kept").collect()} == {k for k in range(1000) if k < 900 or k % 4 == 0}
+    # 1,200 strata of three good labels each: every one has its own row, and none can be certified.
+    many = spark.range(1200 * 3).selectExpr("id as doc_id", "cast(id % 1200 as string) as lang").join(measured.select(*base).limit(1))
+    own = quality.calibrate(many.withColumn("symbol_share", F.lit(0.001)), many.selectExpr("doc_id", "1 as quality"))
+    assert own.count() == 1200 and own.filter("cutoff is not null").count() == 0 and own.agg(F.sum("n_good")).first()[0] == 3600
     none = quality.judge(measured, quality.calibrate(measured, labels.limit(0)))
     assert none.filter("kept").count() == 1000  # nothing certified: the base rules alone
 
@@ -137,7 +145,7 @@ def test_html(spark):
 
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
-    w = {k: v.astype(np.float64) for k, v in toxicity.new_weights().items()}
+    w = {k: v.astype(np.float64) for k, v in toxicity.new_weights(20).items()}
     x, real, y = rng.normal(size=(4, 6, toxicity.INPUTS)), np.ones((4, 6), bool), np.array([1.0, 0, 1, 0])
     real[0, 4:] = False
     weigh = np.full(4, 0.25)
