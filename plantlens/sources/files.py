@@ -21,15 +21,27 @@ def _pick(names: list[str], wanted: tuple[str, ...]) -> str | None:
     return next((lower[w] for w in wanted if w in lower), None)
 
 
-def _files(spark: SparkSession, pattern: str, exclude: str | None) -> list[str]:
-    """Files of a Hadoop glob in name order."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(conf).globStatus(path) or []
-    names = sorted(str(f.getPath().toString()) for f in found)
+def _files(spark: SparkSession, pattern: str, exclude: str | None) -> list[tuple[str, str]]:
+    """Files of a Hadoop glob in name order: address and first line that isn't blank (only the file's beginning is read)."""
     from fnmatch import fnmatch
 
-    return [n for n in names if not exclude or not fnmatch(n.rsplit("/", 1)[-1], exclude)]
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    system = path.getFileSystem(conf)
+    found = sorted((str(f.getPath().toUri().toString()), f.getPath()) for f in system.globStatus(path) or [])
+    out = []
+    for name, place in found:
+        if exclude and fnmatch(place.getName(), exclude):
+            continue
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(system.open(place), "UTF-8"))
+        try:
+            line = lines.readLine()
+            while line is not None and not line.strip():
+                line = lines.readLine()
+        finally:
+            lines.close()
+        out.append((name, line or ""))
+    return out
 
 
 def read_telemetry_csv(spark: SparkSession, pattern: str, exclude: str | None = None, time: str | None = None, label: str | None = None, mode: str = "reject", needle: str = "attack", ts_format: str | None = None):
@@ -37,26 +49,30 @@ def read_telemetry_csv(spark: SparkSession, pattern: str, exclude: str | None =
 
     Header names are trimmed. Without names, time and label columns are found by TIME_NAMES and LABEL_NAMES. Rows with
     another number of fields than the header are an error (mode="reject", raised when they are read) or come back
-    as a second frame (mode="quarantine").
+    as a second frame (mode="quarantine"). Files with one header are one scan, however many they are.
     """
     if mode not in ("reject", "quarantine"):
         raise ValueError("mode is reject or quarantine")
     files = _files(spark, pattern, exclude)
     if not files:
         raise FileNotFoundError(pattern)
+    by_header: dict[tuple, list[str]] = {}
+    for name, line in files:
+        by_header.setdefault(tuple(h.strip() for h in next(csv.reader(io.StringIO(line)), [])), []).append(name)
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")  # noqa: E731  file:/x and file:///x are one
+    ranks = spark.createDataFrame([(name, rank) for rank, (name, _) in enumerate(files)], "source string, source_rank int").withColumn("_file", plain("source"))
     good, bad = [], []
-    for rank, name in enumerate(files):
-        lines = spark.read.text(name).withColumn("line", F.monotonically_increasing_id())
-        header = next(csv.reader(io.StringIO(lines.filter("trim(value) <> ''").orderBy("line").first()["value"])))
-        names = [h.strip() for h in header]
-        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", "_bad").schema(", ".join(f"`c{k}` string" for k in range(len(names))) + ", _bad string").csv(name)
-        raw = raw.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), "_bad", F.lit(name).alias("source"), F.lit(rank).alias("source_rank"))
+    for header, paths in by_header.items():
+        names = list(header)
+        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", "_bad").schema(", ".join(f"`c{k}` string" for k in range(len(names))) + ", _bad string").csv(paths)
+        raw = raw.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), "_bad", plain("_metadata.file_path").alias("_file"))
+        raw = raw.join(F.broadcast(ranks), "_file").drop("_file")  # a row for each file
         t, y = time or _pick(names, TIME_NAMES), label or _pick(names, LABEL_NAMES)
         features = [n for n in names if n not in (t, y)]
         # Filters, so that no projection can prune the check; they also need a field besides the raw row.
         some = F.length(F.concat(F.coalesce("_bad", F.lit("")), F.coalesce(F.col(f"`{names[0]}`"), F.lit("")))) >= 0
         if mode == "reject":
-            fail = F.raise_error(F.concat(F.lit(f"{name}: a row has not {len(names)} fields: "), F.col("_bad"))).cast("boolean")
+            fail = F.raise_error(F.concat(F.col("source"), F.lit(f": a row has not {len(names)} fields: "), F.col("_bad"))).cast("boolean")
             raw = raw.filter(F.when(F.col("_bad").isNotNull() & some, fail).otherwise(some))
         else:
             bad.append(raw.filter(F.col("_bad").isNotNull() & some).select("source", F.col("_bad").alias("row")))

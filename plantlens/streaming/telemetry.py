@@ -1,8 +1,10 @@
 """Streams of samples: ordered input, stateful windows, channel health and incidents per stream.
 
 State is small and bounded per stream (the last W - 1 samples, one run per channel, one open incident); it lives in
-Spark's state store, so a restart from the checkpoint goes on with open incidents and running numbers. Samples
-that come late (not after the last one processed of their stream) are dropped and never change state.
+Spark's state store, so a restart from the checkpoint goes on with open incidents and running numbers. A sample
+is late if it is older than the last one processed of its stream, or, where tie columns are given, not after it; samples
+of equal time are kept in the order of their arrival. Late samples never change state: the stateful operators drop them,
+and ordered_stream, put before them in a query of its own, waits for stragglers and hands late ones out marked.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ def stream_telemetry(spark: SparkSession, path: str, schema: StructType | str, m
     return rows.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def _run(sdf: DataFrame, key: str, output: str, step, delay: str = "1 hour", ts: str = "ts", ties: tuple[str, ...] = ()) -> DataFrame:
-    """Apply step(state, row) -> list of output tuples to each stream's new samples in order of time."""
+def _run(sdf: DataFrame, key: str, output: str, step, delay: str = "1 hour", ts: str = "ts", ties: tuple[str, ...] = (), reset: str | None = None) -> DataFrame:
+    """Apply step(state, row) -> list of output tuples to each stream's new samples in order of time.
+
+    reset: a column that is true at a sample before which the stream's state is cleared, its numbers included.
+    """
     names = [c.strip().split(" ")[0] for c in output.split(",")]
 
     def update(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -33,8 +38,10 @@ def _run(sdf: DataFrame, key: str, output: str, step, delay: str = "1 hour", ts:
         out = []
         for row in rows.to_dict("records"):
             at = [row[ts].value, *(row[t] for t in ties)]
-            if held["last"] is not None and at <= held["last"]:
+            if held["last"] is not None and (at < held["last"] or ties and at == held["last"]):
                 continue  # late
+            if reset and row[reset] is True:
+                held = {"seq": 0}
             held["last"] = at
             out += [(*group, *x) for x in step(held, row)]
             held["seq"] += 1
@@ -46,7 +53,48 @@ def _run(sdf: DataFrame, key: str, output: str, step, delay: str = "1 hour", ts:
     return late.groupBy(key).applyInPandasWithState(update, output, "held string", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_windows(sdf: DataFrame, features: list[str], size: int, key: str = "stream_id", ties: tuple[str, ...] = ()) -> DataFrame:
+def ordered_stream(sdf: DataFrame, delay: float, on_late: str = "mark", key: str = "stream_id", ts: str = "ts", ties: tuple[str, ...] = ()) -> DataFrame:
+    """The samples of each stream in order of time, with seq and late.
+
+    A sample is held back until one of its stream is more than `delay` seconds newer, and then let out in its place; so the
+    result doesn't hang on how samples fall into batches. A sample that is older than one already let out is late: it
+    comes out at once with late = true and no seq (on_late="mark"), or not at all ("drop"). The last samples of a stream
+    wait in the state for its next ones.
+    """
+    if on_late not in ("mark", "drop"):
+        raise ValueError("on_late is mark or drop")
+    others = [f for f in sdf.schema if f.name not in (key, ts)]
+    names = [key, ts, *(f.name for f in others), "seq", "late"]
+    kinds = [sdf.schema[key].dataType.simpleString(), "timestamp", *(f.dataType.simpleString() for f in others), "long", "boolean"]
+    wait = int(delay * 1_000_000_000)
+
+    def update(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"last": None, "newest": None, "seq": 0, "rows": []}
+        out = []
+        for row in (r for frame in frames for r in frame.to_dict("records")):
+            at = [row[ts].value, *(row[t] for t in ties)]
+            values = [row[f.name] for f in others]
+            if held["last"] is not None and at < held["last"]:
+                if on_late == "mark":
+                    out.append((*group, row[ts], *values, None, True))
+                continue
+            held["rows"].append([at, values])
+            held["newest"] = max(at[0], held["newest"] or at[0])
+        held["rows"].sort(key=lambda r: r[0])
+        free = [r for r in held["rows"] if r[0][0] < held["newest"] - wait] if held["rows"] else []
+        for at, values in free:
+            out.append((*group, pd.Timestamp(at[0]), *values, held["seq"], False))
+            held["seq"] += 1
+            held["last"] = at
+        held["rows"] = held["rows"][len(free) :]
+        state.update((json.dumps(held, default=str),))
+        if out:
+            yield pd.DataFrame(out, columns=names).astype({"seq": "Int64"})
+
+    return sdf.groupBy(key).applyInPandasWithState(update, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)), "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_windows(sdf: DataFrame, features: list[str], size: int, key: str = "stream_id", ties: tuple[str, ...] = (), reset: str | None = None) -> DataFrame:
     """Each full window of `size` samples as it completes: window_id, bounds and flat values."""
 
     def step(held: dict, row: dict) -> list[tuple]:
@@ -59,33 +107,67 @@ def stream_windows(sdf: DataFrame, features: list[str], size: int, key: str = "s
         return [made]
 
     kind = sdf.schema[key].dataType.simpleString()
-    return _run(sdf, key, f"{key} {kind}, window_id long, window_start timestamp, window_end timestamp, flat array<double>", step, ties=ties)
+    return _run(sdf, key, f"{key} {kind}, window_id long, window_start timestamp, window_end timestamp, flat array<double>", step, ties=ties, reset=reset)
+
 
+def _count_runs(held: dict, row: dict, channels: list[str]) -> dict[str, int]:
+    """Take a sample into the state's runs of equal finite values; how long each channel's is now."""
+    runs = held.setdefault("runs", {})
+    for c in channels:
+        value = row[c]
+        ok = value is not None and value == value and abs(value) != float("inf")
+        before = runs.get(c, [None, 0])
+        runs[c] = [value, before[1] + 1 if before[1] and before[0] == value else 1] if ok else [None, 0]
+    return {c: runs[c][1] for c in channels}
 
-def stream_health(sdf: DataFrame, channels: list[str], max_unchanged: int, key: str = "stream_id", ties: tuple[str, ...] = ()) -> DataFrame:
+
+def stream_health(sdf: DataFrame, channels: list[str], max_unchanged: int, key: str = "stream_id", ties: tuple[str, ...] = (), reset: str | None = None) -> DataFrame:
     """One verdict per sample: seq, healthy and the stuck channels in monitored order."""
     if max_unchanged < 2:
         raise ValueError("max_unchanged must be at least 2")
 
     def step(held: dict, row: dict) -> list[tuple]:
-        runs = held.setdefault("runs", {})
-        stuck = []
-        for c in channels:
-            value = row[c]
-            ok = value is not None and value == value and abs(value) != float("inf")
-            before = runs.get(c, [None, 0])
-            runs[c] = [value, before[1] + 1 if before[1] and before[0] == value else 1] if ok else [None, 0]
-            if runs[c][1] >= max_unchanged:
-                stuck.append(c)
+        stuck = [c for c, n in _count_runs(held, row, channels).items() if n >= max_unchanged]
         return [(held["seq"], row["ts"], not stuck, stuck)]
 
     kind = sdf.schema[key].dataType.simpleString()
-    return _run(sdf, key, f"{key} {kind}, seq long, ts timestamp, healthy boolean, stuck array<string>", step, ties=ties)
+    return _run(sdf, key, f"{key} {kind}, seq long, ts timestamp, healthy boolean, stuck array<string>", step, ties=ties, reset=reset)
+
+
+def stream_faults(sdf: DataFrame, channels: list[str], max_unchanged: int, key: str = "stream_id", ties: tuple[str, ...] = (), from_seq: int = 0) -> DataFrame:
+    """Changes of the incidents of stuck channels, one for each run, as incidents.fault_incidents has them; version orders the rows of an alert_id.
+
+    Verdicts before from_seq open nothing. Numbers go on after a restart, beside those of stream_incidents.
+    """
+    if max_unchanged < 2:
+        raise ValueError("max_unchanged must be at least 2")
+
+    def step(held: dict, row: dict) -> list[tuple]:
+        at, out, open_ = row["ts"], [], held.setdefault("faults", {})
+        for c, n in _count_runs(held, row, channels).items():
+            now, closed = open_.get(c), None
+            if n >= max_unchanged and held["seq"] >= from_seq:
+                if now is None:
+                    held["n"] = held.get("n", 0) + 1
+                    now = open_[c] = {"id": f"tfault-{held['n']:04d}-{c}-{at:%Y-%m-%d %H:%M:%S}", "n": held["n"], "count": 0, "start": held["seq"], "opened": at.isoformat()}
+                now |= {"count": now["count"] + 1, "end": held["seq"], "unchanged": n}
+            elif now is None:
+                continue
+            else:
+                closed = at
+                del open_[c]
+            out.append((now["id"], now["n"], held["seq"], "CLOSED" if closed else "OPEN", "MEDIUM", c, now["count"], now["start"], now["end"], pd.Timestamp(now["opened"]), closed, f"{c} unchanged for {now['unchanged']} samples"))
+        return out
+
+    kind = sdf.schema[key].dataType.simpleString()
+    output = f"{key} {kind}, alert_id string, open_seq long, version long, status string, severity string, channel string, anomaly_count long, start_seq long, end_seq long, opened_at timestamp, closed_at timestamp, reason string"
+    return _run(sdf, key, output, step, ties=ties)
 
 
-def stream_incidents(sdf: DataFrame, threshold: float, score: str = "score", key: str = "stream_id", ties: tuple[str, ...] = ()) -> DataFrame:
+def stream_incidents(sdf: DataFrame, threshold: float, score: str = "score", key: str = "stream_id", ties: tuple[str, ...] = (), top: str | None = None) -> DataFrame:
     """Changes of incidents: a row when one opens, grows or closes; version orders the rows of an alert_id.
 
+    top: a column whose value at the highest window, the first on ties, is kept as top_features (JSON).
     Numbers go on after a restart, so ids never collide and an open incident is not opened twice.
     """
     from plantlens.functions.cells import HIGH_RATIO, MEDIUM_RATIO
@@ -96,23 +178,24 @@ def stream_incidents(sdf: DataFrame, threshold: float, score: str = "score", key
         now = held.get("open")
         if hit and now is None:
             held["n"] = held.get("n", 0) + 1
-            now = {"id": f"alert-{held['n']:04d}-{at:%Y-%m-%d %H:%M:%S}", "open_seq": held["n"], "count": 0, "peak": value, "opened": at.isoformat()}
+            now = {"id": f"alert-{held['n']:04d}-{at:%Y-%m-%d %H:%M:%S}", "open_seq": held["n"], "count": 0, "peak": None, "opened": at.isoformat()}
         if now is None:
             return []
         closed = None
         if hit:
             now["count"] += 1
-            now["peak"] = max(now["peak"], value)
+            if now["peak"] is None or value > now["peak"]:
+                now |= {"peak": value, "top": json.dumps(row[top], default=list) if top else None}
             held["open"] = now
         else:
             closed = at
             held["open"] = None
         ratio = float("inf") if threshold <= 0 else now["peak"] / threshold
         level = "HIGH" if ratio >= HIGH_RATIO else "MEDIUM" if ratio >= MEDIUM_RATIO else "LOW"
-        return [(now["id"], now["open_seq"], held["seq"], "CLOSED" if closed else "OPEN", level, float(now["peak"]), now["count"], pd.Timestamp(now["opened"]), closed)]
+        return [(now["id"], now["open_seq"], held["seq"], "CLOSED" if closed else "OPEN", level, float(now["peak"]), now["count"], pd.Timestamp(now["opened"]), closed, *([now["top"]] if top else []))]
 
     kind = sdf.schema[key].dataType.simpleString()
-    output = f"{key} {kind}, alert_id string, open_seq long, version long, status string, severity string, anomaly_score double, anomaly_count long, opened_at timestamp, closed_at timestamp"
+    output = f"{key} {kind}, alert_id string, open_seq long, version long, status string, severity string, anomaly_score double, anomaly_count long, opened_at timestamp, closed_at timestamp" + (", top_features string" if top else "")
     return _run(sdf, key, output, step, ties=ties)
 
 
@@ -129,7 +212,8 @@ def upsert_sink(path: str, key: tuple[str, ...] = ("stream_id", "alert_id")):
     """A foreachBatch function that keeps the newest version of each alert as Parquet.
 
     Each batch writes a new generation beside the old one; a batch that is run again after a failure reads the same
-    generation and writes the same rows, so repeats do no harm.
+    generation and writes the same rows, so repeats do no harm. Once a generation is written, the one before the one
+    that it was made from can't be needed any more and is deleted, so two are kept.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -143,5 +227,7 @@ def upsert_sink(path: str, key: tuple[str, ...] = ("stream_id", "alert_id")):
                 raise
             before = batch.limit(0)
         upsert_alerts(before, batch, "version", key).write.mode("overwrite").parquet(f"{path}/generation={epoch + 1}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={epoch - 1}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
