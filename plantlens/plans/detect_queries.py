@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plantlens import views
 from plantlens.functions.cells import over_threshold
 from plantlens.operators import metrics, scores, segments as seg, thresholds, windows
-from plantlens.plans.registry import QUERIES, query, r6
+from plantlens.plans.registry import ORACLES, QUERIES, query, r6
 from plantlens.views import CHANNELS, table
 
 P = 90.0
@@ -137,7 +137,8 @@ def neighbour_agg(spark, d):
 
 
 #: The names under which the whole graph was registered while the two above were of fewer vectors.
-QUERIES["cosine_topk_all"], QUERIES["neighbour_agg_all"] = cosine_topk, neighbour_agg
+for _name, _whole in (("cosine_topk_all", "cosine_topk"), ("neighbour_agg_all", "neighbour_agg")):
+    QUERIES[_name], ORACLES[_name] = QUERIES[_whole], ORACLES[_whole]
 
 
 @query("select event_id, round(((value - m1) / (s1 + 1e-8) + (k - m2) / (s2 + 1e-8)) / 2, 6) score from ev, (select avg(value) m1, stddev_pop(value) s1, avg(k) m2, stddev_pop(k) s2 from ev)", "ev")
