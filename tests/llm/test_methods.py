@@ -102,6 +102,23 @@ def test_toxicity_needs_words_and_characters():
     assert "odds" not in open(toxicity.__file__).read()
 
 
+def test_shared_folder_and_settled_frames(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from plantlens.llm import common
+
+    none = SimpleNamespace(get=lambda key, default=None: default)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_folder(SimpleNamespace(conf=none, sparkContext=SimpleNamespace(master=master, applicationId="a")))
+    assert common.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    frame, path = common.settled(spark.range(5))
+    assert frame.count() == 5
+    common.forget(spark, path)
+    with pytest.raises(Exception, match="(?i)not.*exist|PATH_NOT_FOUND"):
+        spark.read.parquet(path).count()
+
+
 def test_cut_between():
     logit, y = np.array([-3.0, -2.0, -1.0, 1.0, 2.0]), np.array([0, 0, 0, 1, 1])
     assert toxicity.cut_between(logit, y) == pytest.approx(0.0)
