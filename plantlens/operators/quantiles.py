@@ -12,14 +12,22 @@ RANGES = 64
 def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], ranges: int = RANGES) -> dict[str, list[float | None]]:
     """For each column its quantiles by linear interpolation (nulls are left out; None without values).
 
-    Values are counted first. Approximate quantiles cut each column into ranges, whose counts tell which ranges hold the
-    wanted ranks; only those are ranked. The driver gets the ranges' counts and two values for each quantile.
+    Values are counted in one pass over the frame; the counts are persisted meanwhile. Approximate quantiles of the distinct
+    values cut each column into ranges, whose counts tell which ranges hold the wanted ranks; only those are ranked. The
+    driver gets the ranges' counts and two values for each quantile.
     """
     cells = F.explode(F.array(*(F.struct(F.lit(k).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for k, c in enumerate(columns)))).alias("x")
-    counts = df.select(cells).select("x.*").filter("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"))
+    counts = df.select(cells).select("x.*").filter("v is not null").groupBy("c", "v").agg(F.count("*").alias("n")).persist()
+    try:
+        return _from_counts(counts, columns, shares, ranges)
+    finally:
+        counts.unpersist()
+
+
+def _from_counts(counts: DataFrame, columns: list[str], shares: list[float], ranges: int) -> dict[str, list[float | None]]:
     steps = [k / ranges for k in range(1, ranges)]
-    found = df.agg(*(F.percentile_approx(F.col(f"`{c}`").cast("double"), steps, 1000).alias(f"q{k}") for k, c in enumerate(columns))).first()
-    cuts = F.array(*(F.array(*map(F.lit, sorted(set(found[f"q{k}"] or [])))).cast("array<double>") for k in range(len(columns))))
+    found = {r["c"]: sorted(set(r["q"])) for r in counts.groupBy("c").agg(F.percentile_approx("v", steps, 1000).alias("q")).collect()}
+    cuts = F.array(*(F.array(*map(F.lit, found.get(k, []))).cast("array<double>") for k in range(len(columns))))
     parts = counts.withColumn("part", F.size(F.filter(F.get(cuts, "c"), lambda x: x < F.col("v"))))
     sizes: dict[int, dict[int, int]] = {k: {} for k in range(len(columns))}
     for r in parts.groupBy("c", "part").agg(F.sum("n").alias("n")).collect():
@@ -35,7 +43,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], rang
             ahead += sizes[k][part]
     if not wanted:
         return {c: [None] * len(shares) for c in columns}
-    ranks = df.sparkSession.createDataFrame(wanted, "c int, rank long, part int, ahead long")
+    ranks = counts.sparkSession.createDataFrame(wanted, "c int, rank long, part int, ahead long")
     upto = Window.partitionBy("c", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     inside = parts.join(F.broadcast(ranks.select("c", "part").distinct()), ["c", "part"]).withColumn("upto", F.sum("n").over(upto))
     hit = inside.join(F.broadcast(ranks), ["c", "part"]).filter((F.col("rank") - F.col("ahead") < F.col("upto")) & (F.col("rank") - F.col("ahead") >= F.col("upto") - F.col("n")))
