@@ -31,7 +31,7 @@ from plantlens.llm.common import sliced
 #: Bytes of text handled at a time inside a task.
 SLICE_BYTES = 1 << 20
 #: Bytes of a worker's memo (pieces, their values and the table's slots), and the longest piece that is kept.
-MEMO_BYTES, MEMO_CHARS = 64 << 20, 48
+MEMO_BYTES, MEMO_CHARS = 160 << 20, 48
 
 _SPACES = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
