@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import bpe, html_text, license_scan, ngram_join, packing, pii, quality, toxicity, vector_dedup
+from plantlens.llm import bpe, html_text, license_scan, ngram_join, packing, pii, quality, spelling, toxicity, vector_dedup
 from plantlens.llm.common import settle, table
 
 #: Documents of more tokens than this are marked by op8.
@@ -74,5 +74,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.CUTOFF).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_extraction, op3_embedding_near_dedup, op4_best_fit_packing, op5_license_scan, op6_pii, op7_ngram_jaccard, op8_token_counts, op9_quality_rules, op10_toxicity)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_extraction, op3_embedding_near_dedup, op4_best_fit_packing, op5_license_scan, op6_pii, op7_ngram_jaccard, op8_token_counts, op9_quality_rules, op10_toxicity, op11_spelling_variants)}
 ORACLES: dict[str, str] = {"op9_quality_rules": quality.ORACLE}
