@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import bpe, html_text, language_model, license_scan, ngram_join, packing, pii, quality, spelling, toxicity, vector_dedup
+from plantlens.llm import bpe, collocations, html_text, language_model, license_scan, ngram_join, packing, pii, quality, spelling, toxicity, vector_dedup
 from plantlens.llm.common import settle, table
 
 #: Documents of more tokens than this are marked by op8.
@@ -79,10 +79,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents")))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of all documents in each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents by counts and by a log-bilinear model."""
     return language_model.score_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_extraction, op3_embedding_near_dedup, op4_best_fit_packing, op5_license_scan, op6_pii, op7_ngram_jaccard, op8_token_counts, op9_quality_rules, op10_toxicity, op11_spelling_variants, op13_language_model)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_html_extraction, op3_embedding_near_dedup, op4_best_fit_packing, op5_license_scan, op6_pii, op7_ngram_jaccard, op8_token_counts, op9_quality_rules, op10_toxicity, op11_spelling_variants, op12_collocations, op13_language_model)}
 ORACLES: dict[str, str] = {"op9_quality_rules": quality.ORACLE}
