@@ -190,7 +190,7 @@ def _ordered_words(entries: DataFrame, least: int) -> tuple[DataFrame, list[str]
     return made, [made_path], parts
 
 
-def collocations(df: DataFrame, text_col: str = "text", part_col: str = "lang", least: int = LEAST, swallow: int = SWALLOW, best: int = BEST, range_tokens: int = RANGE_TOKENS) -> DataFrame:
+def collocations(df: DataFrame, text_col: str = "text", part_col: str = "lang", least: int = LEAST, swallow: int = SWALLOW, best: int = BEST, range_tokens: int = RANGE_TOKENS, run_tokens: int = RUN) -> DataFrame:
     """part_col, rank, phrase, a, l, r, n, score: the `best` candidates of each part; see the module."""
     spark = df.sparkSession
     texts = df.select(F.lit(0).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(part_col).cast("string"), F.lit("und")).alias("part"))
@@ -206,7 +206,7 @@ def collocations(df: DataFrame, text_col: str = "text", part_col: str = "lang",
     placed = often.join(sizes, "part").select("part", "word", "id", "start", "n", "part_n", ((F.col("start") - F.col("part_start")) / F.col("part_size")).alias("share_start"), (F.col("n") / F.col("part_size")).alias("share"))
     placed, placed_path = settled(placed)
     known = corpus.entries.select("block", "code", "part", "word").join(placed, ["part", "word"]).select("block", "code", "id", "start", "n", "share_start", "share")
-    shards, shards_path = settled(corpus.blocks.select("block", "lengths", "codes").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_shards(total, ranges), f"range long, kind int, {COLUMNS}"))
+    shards, shards_path = settled(corpus.blocks.select("block", "lengths", "codes").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_shards(total, ranges, run_tokens), f"range long, kind int, {COLUMNS}"))
     forget(spark, corpus.path)
     unions, unions_path = settled(shards.groupBy("range", "kind").applyInArrow(_union(least), f"range long, kind int, {COLUMNS}"))
     forget(spark, shards_path)
@@ -214,7 +214,7 @@ def collocations(df: DataFrame, text_col: str = "text", part_col: str = "lang",
     return out.withColumnRenamed("part", part_col)
 
 
-def _shards(total: int, ranges: int):
+def _shards(total: int, ranges: int, run_tokens: int):
     def run(blocks: pa.Table, words: pa.Table) -> pa.Table:
         """A block's transducers: of pairs (kind 2) and of triples (kind 3), cut by prefix ranges."""
         rows: list[tuple] = []
@@ -230,7 +230,7 @@ def _shards(total: int, ranges: int):
             frequent = np.concatenate([known.ids >= 0, np.zeros(max(0, int(codes.max(initial=0)) + 1 - size), bool)])
             stays = (codes != -1) | last
             sequence, closing = np.where((codes >= 0) & frequent[codes], codes, -1)[stays], last[stays]
-            rows = list(_cut_ranges(sequence, closing, known, total, ranges))
+            rows = list(_cut_ranges(sequence, closing, known, total, ranges, run_tokens))
         columns = list(zip(*rows, strict=True)) or [[]] * 8
         return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), *[pa.binary()] * 6], strict=True)], names=["range", "kind", *NAMES])
 
@@ -243,15 +243,15 @@ def _at(code: np.ndarray, values: np.ndarray, size: int, kind: type) -> np.ndarr
     return out
 
 
-def _cut_ranges(sequence: np.ndarray, closing: np.ndarray, known: _Words, total: int, ranges: int) -> Iterator[tuple]:
+def _cut_ranges(sequence: np.ndarray, closing: np.ndarray, known: _Words, total: int, ranges: int, run_tokens: int) -> Iterator[tuple]:
     """Rows of a block: the transducer is built run by run of the sequence, each run adding its sorted n-grams."""
     pair_weights, triple_weights = Transducer.empty(), Transducer.empty()
     code_of = np.argsort(known.ids, kind="stable")[np.count_nonzero(known.ids < 0) :]
     ordered = known.ids[code_of]
-    for at in range(0, len(sequence), RUN):
-        part = sequence[at : at + RUN + 2]
-        open_ = ~closing[at : at + RUN + 2]
-        here = min(RUN, len(part))
+    for at in range(0, len(sequence), run_tokens):
+        part = sequence[at : at + run_tokens + 2]
+        open_ = ~closing[at : at + run_tokens + 2]
+        here = min(run_tokens, len(part))
         two = np.flatnonzero((part[:-1] >= 0) & (part[1:] >= 0) & open_[:-1])
         two = two[two < here]
         three = two[(two + 2 < len(part))]
