@@ -30,12 +30,12 @@ def with_global_seq(df: DataFrame, order: list[str], stream: list[str] = STREAM,
     return numbered.withColumn("seq", (F.col("_ahead") + F.col("_own")).cast("long")).select(*(c for c in df.columns if c != "seq"), "seq")
 
 
-def with_halo(df: DataFrame, bucket: int, halo: int) -> DataFrame:
+def with_halo(df: DataFrame, bucket: int, halo: int, seq: str = "seq") -> DataFrame:
     """Rows with column bucket; the last `halo` rows of a bucket are also there in the next one, marked by column is_halo."""
     if halo >= bucket:
         raise ValueError("a bucket must be longer than its halo")
-    own = F.expr(f"seq div {bucket}")
-    copies = F.when(F.col("seq") % bucket >= bucket - halo, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    own = F.expr(f"{seq} div {bucket}")
+    copies = F.when(F.col(seq) % bucket >= bucket - halo, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return df.withColumn("_shift", F.explode(copies)).withColumn("bucket", own + F.col("_shift")).withColumn("is_halo", F.col("_shift") == 1).drop("_shift")
 
 

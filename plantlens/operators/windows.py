@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.operators.order import STREAM, by_stream
@@ -17,18 +17,24 @@ def ends(size: int, stride: int = 1):
     return (F.col("seq") >= size - 1) & ((F.col("seq") - (size - 1)) % stride == 0)
 
 
-def sliding_windows(df: DataFrame, features: list[str], size: int, stride: int = 1, stream: list[str] = STREAM, strict: bool = False) -> DataFrame:
-    """window_id, bounds, values (array of rows, oldest first) and labels of each full window."""
+def sliding_windows(df: DataFrame, features: list[str], size: int, stride: int = 1, stream: list[str] = STREAM, strict: bool = False, contiguous: bool = True) -> DataFrame:
+    """window_id, bounds, values (array of rows, oldest first) and labels of each full window.
+
+    contiguous: windows are of consecutive seq, so none goes across removed rows; else rows are counted anew and windows straddle them.
+    frames.sliding_windows cuts the same windows of long streams in buckets.
+    """
     if size < 1 or stride < 1:
         raise ValueError("size and stride must be at least 1")
     if strict and df.groupBy(*stream).count().filter(F.col("count") < size).limit(1).count():
         raise ValueError(f"a stream is shorter than a window of {size}")
+    if not contiguous:
+        df = df.withColumn("seq", F.row_number().over(by_stream(stream)).cast("long") - 1)
     w = frame(size, stream)
     made = df.select(
         *stream, "seq", F.expr(f"(seq - {size - 1}) div {stride}").alias("window_id"), F.first("ts").over(w).alias("window_start"), F.col("ts").alias("window_end"),
-        F.collect_list(F.array(*features)).over(w).alias("values"), F.collect_list("label").over(w).alias("labels"),
+        F.collect_list(F.array(*features)).over(w).alias("values"), F.collect_list("label").over(w).alias("labels"), F.first("seq").over(w).alias("_first"),
     )
-    return made.filter(ends(size, stride)).drop("seq")
+    return made.filter(ends(size, stride) & (F.size("values") == size) & (F.col("_first") == F.col("seq") - (size - 1))).drop("seq", "_first")
 
 
 def window_labels(df: DataFrame, size: int, stride: int = 1, stream: list[str] = STREAM) -> DataFrame:
@@ -68,11 +74,15 @@ def history_target(df: DataFrame, feature: str, size: int, stream: list[str] = S
     return made.filter(F.col("seq") >= size - 1)
 
 
+def history_targets(windows: DataFrame) -> DataFrame:
+    """history (the samples before the last one) and target (the last one) of windows, for all features."""
+    size = F.size("values")
+    return windows.withColumns({"history": F.slice("values", F.lit(1), size - 1), "target": F.element_at("values", -1)})
+
+
 def preprocess(df: DataFrame, features: list[str], standard: DataFrame, minmax: DataFrame, size: int, stride: int = 1) -> DataFrame:
     """Scale once (affine scaling commutes with windowing), cut windows, flatten, min-max scale."""
     from plantlens.operators.scale import apply_minmax, apply_standard
 
     return apply_minmax(flatten_window(sliding_windows(apply_standard(df, standard, "float"), features, size, stride)), minmax)
 
-
-__all__ = ["Window", "ends", "flatten_window", "frame", "history_target", "label_inflation", "preprocess", "sliding_windows", "window_bounds", "window_kind", "window_labels"]

@@ -37,28 +37,11 @@ def test_pca_recon(spark, sf):
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-8
 
 
-def test_score_windows(spark, sf, li):
-    stream, seq, label, x = li
-    normal = x[label == 0]
-    z = (x - normal.mean(0)) / np.where(normal.std(0) == 0, 1, normal.std(0))
-    mean, basis = components(z[label == 0], 2)
-    want = {}
-    for k in np.flatnonzero(seq >= 9):
-        y = z[k] - mean
-        first = y @ basis @ basis.T
-        second = (2 * y - first) @ basis @ basis.T
-        want[stream[k], seq[k] - 9] = (0.5 * (first - y) ** 2 + 0.5 * (second - y) ** 2).mean()
-    got = {(r.stream_id, r.window_id): (r.anomaly_score, list(r.feature_errors)) for r in QUERIES["score_windows"](spark, sf).collect()}
-    assert got.keys() == want.keys() and max(abs(got[k][0] - want[k]) for k in want) < 1e-6
-    assert all(abs(np.mean(e) - s) < 1e-9 for s, e in got.values())
-
-
 def test_graph_forecast(spark, sf, li):
     stream, seq, label, x = li
     place = {(s, q): k for k, (s, q) in enumerate(zip(stream, seq))}
-    # Lags of the training rows are those among normal rows, lags of the scored ones those among all rows.
-    order = [k for k in range(len(x)) if label[k] == 0]
-    pairs = [(a, b) for a, b in zip(order, order[1:]) if stream[a] == stream[b]]
+    # A lag is the sample before; training pairs are of two normal samples.
+    pairs = [(place[s, q - 1], k) for k, (s, q) in enumerate(zip(stream, seq)) if q and label[k] == 0 and label[place[s, q - 1]] == 0]
     lag, now = x[[a for a, _ in pairs]], x[[b for _, b in pairs]]
     both = np.concatenate([lag, now], 1)
     c = np.cov(both.T, bias=True)
