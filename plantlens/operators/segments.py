@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from plantlens.operators.order import STREAM, by_stream
 
+#: Rows of a bucket of sequence numbers in joins with spans.
+BUCKET = 1000
+
 
 def with_run(df: DataFrame, new_run: Column, stream: list[str] = STREAM, out: str = "run_id") -> DataFrame:
     """Number the runs of a stream; new_run is true where one begins."""
@@ -44,10 +47,21 @@ def with_warmup(segs: DataFrame, warmup: int) -> DataFrame:
     return segs.withColumn("from_seq", F.greatest(F.col("start_seq") - warmup, F.lit(0)))
 
 
-def segment_rows(df: DataFrame, segs: DataFrame, stream: list[str] = STREAM) -> DataFrame:
-    """The rows from from_seq to stop_seq of each segment (an equi-join on the stream with a range)."""
-    span = segs.select(*stream, "segment_id", "from_seq", "stop_seq")
-    return df.join(span, stream).filter((F.col("seq") >= F.col("from_seq")) & (F.col("seq") < F.col("stop_seq")))
+def in_spans(df: DataFrame, spans: DataFrame, start: str, stop: str, stream: list[str] = STREAM, bucket: int = BUCKET) -> DataFrame:
+    """Rows with start <= seq < stop of each span of their stream, and the spans' columns.
+
+    Spans are dealt to the buckets of sequence numbers that they touch, so rows and spans meet by (stream, bucket): the work is that of the rows
+    and of the rows in spans, however long a stream is.
+    """
+    touched = F.sequence(F.expr(f"{start} div {bucket}"), F.expr(f"({stop} - 1) div {bucket}"))
+    dealt = spans.filter(F.col(stop) > F.col(start)).withColumn("_bucket", F.explode(touched))
+    rows = df.withColumn("_bucket", F.expr(f"seq div {bucket}"))
+    return rows.join(dealt, [*stream, "_bucket"]).filter((F.col("seq") >= F.col(start)) & (F.col("seq") < F.col(stop))).drop("_bucket")
+
+
+def segment_rows(df: DataFrame, segs: DataFrame, stream: list[str] = STREAM, bucket: int = BUCKET) -> DataFrame:
+    """The rows from from_seq to stop_seq of each segment."""
+    return in_spans(df, segs.select(*stream, "segment_id", "from_seq", "stop_seq"), "from_seq", "stop_seq", stream, bucket)
 
 
 def centre_window(segs: DataFrame, size: int, stream: list[str] = STREAM) -> DataFrame:
@@ -64,8 +78,25 @@ def segments_by_gap(df: DataFrame, seconds: float, stream: list[str] = STREAM, t
     return runs.groupBy(*stream, "run_id").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count("*").alias("n")).drop("run_id")
 
 
-def rank_segments(scores: DataFrame, segs: DataFrame, probe: int = 3, stream: list[str] = STREAM, score: str = "score") -> DataFrame:
-    """Segments by their highest score over the first `probe` rows."""
-    near = scores.join(segs.select(*stream, "segment_id", "start_seq", "stop_seq"), stream)
-    near = near.filter((F.col("seq") >= F.col("start_seq")) & (F.col("seq") < F.least(F.col("stop_seq"), F.col("start_seq") + probe)))
-    return near.groupBy(*stream, "segment_id").agg(F.max(score).alias("peak"))
+def segment_peaks(scores: DataFrame, segs: DataFrame, probe: int = 3, stream: list[str] = STREAM, score: str = "score", bucket: int = BUCKET) -> DataFrame:
+    """The highest score over the first `probe` rows of each segment (peak) and where it is first reached (peak_seq). NaN and null are no scores."""
+    if probe < 1:
+        raise ValueError("probe must be at least 1")
+    spans = segs.select(*stream, "segment_id", "start_seq", "stop_seq", F.least("stop_seq", F.col("start_seq") + probe).alias("_probed"))
+    near = in_spans(scores.filter(F.col(score).isNotNull() & ~F.isnan(score)), spans, "start_seq", "_probed", stream, bucket)
+    best = F.min(F.struct((-F.col(score)).alias("less"), F.col("seq").alias("seq"))).alias("_best")
+    made = near.groupBy(*stream, "segment_id", "start_seq", "stop_seq").agg(best)
+    return made.select(*stream, "segment_id", "start_seq", "stop_seq", (-F.col("_best.less")).alias("peak"), F.col("_best.seq").alias("peak_seq"))
+
+
+def rank_segments(scores: DataFrame, segs: DataFrame, probe: int = 3, stream: list[str] = STREAM, score: str = "score", bucket: int = BUCKET) -> DataFrame:
+    """Segments of each stream by their peak, the most detectable first (rank 1); the earlier one on ties."""
+    order = Window.partitionBy(*stream).orderBy(F.desc("peak"), "start_seq")
+    return segment_peaks(scores, segs, probe, stream, score, bucket).withColumn("rank", F.row_number().over(order))
+
+
+def best_segment(scores: DataFrame, segs: DataFrame, probe: int = 3, stream: list[str] = STREAM, score: str = "score", bucket: int = BUCKET) -> DataFrame:
+    """The segment of rank 1 of each stream, by an aggregate that combines on the map side."""
+    peaks = segment_peaks(scores, segs, probe, stream, score, bucket)
+    best = F.min_by(F.struct("segment_id", "start_seq", "stop_seq", "peak", "peak_seq"), F.struct(-F.col("peak"), F.col("start_seq"))).alias("_b")
+    return peaks.groupBy(*stream).agg(best).select(*stream, "_b.*")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from plantlens import views
 from plantlens.functions.cells import over_threshold
-from plantlens.operators import metrics, scores, segments as seg, thresholds, windows
-from plantlens.plans.registry import ORACLES, QUERIES, query, r6
+from plantlens.operators import long_streams, metrics, scores, segments as seg, thresholds, windows
+from plantlens.plans.registry import query, r6
 from plantlens.views import CHANNELS, table
 
 P = 90.0
@@ -63,10 +63,27 @@ def gap_segments(spark, d):
     return seg.segments_by_gap(views.ev(spark, d), 6 * 3600)
 
 
-@query(f"select g.stream_id, segment_id, round(max(value), 6) peak from ({SEG1}) g join ev e on e.stream_id = g.stream_id and e.seq >= start_seq and e.seq < least(stop_seq, start_seq + 3) group by 1, 2", "ev")
+_PEAKS = f"select g.stream_id, segment_id, start_seq, stop_seq, max(value) peak, first(e.seq order by value desc, e.seq) peak_seq from ({SEG1}) g join ev e on e.stream_id = g.stream_id and e.seq >= start_seq and e.seq < least(stop_seq, start_seq + 3) group by all"
+
+
+@query(f"select stream_id, segment_id, round(peak, 6) peak, peak_seq, row_number() over (partition by stream_id order by peak desc, start_seq) rank from ({_PEAKS})", "ev")
 def segment_rank(spark, d):
     ev = views.ev(spark, d)
-    return seg.rank_segments(ev, seg.segments(ev), 3, score="value").withColumn("peak", r6("peak"))
+    return seg.rank_segments(ev, seg.segments(ev), 3, score="value").select("stream_id", "segment_id", r6("peak").alias("peak"), "peak_seq", "rank")
+
+
+@query(f"select stream_id, segment_id, start_seq, stop_seq, round(peak, 6) peak, peak_seq from ({_PEAKS}) qualify row_number() over (partition by stream_id order by peak desc, start_seq) = 1", "ev")
+def best_segment(spark, d):
+    ev = views.ev(spark, d)
+    return seg.best_segment(ev, seg.segments(ev), 3, score="value").withColumn("peak", r6("peak"))
+
+
+@query("with h as (select *, case when label = 1 and coalesce(lag(label) over (order by seq), 0) = 0 then 1 else 0 end st from one), r as (select *, sum(st) over (order by seq) - 1 segment_id from h), g as (select segment_id, min(seq) start_seq, max(seq) + 1 stop_seq from r where label = 1 group by 1) select segment_id, count(*) n, min(seq) first_seq, round(max(value), 6) peak, first(seq order by value desc, seq) peak_seq from g join one on seq >= greatest(start_seq - 29, 0) and seq < stop_seq group by 1", "one")
+def long_segment_warmup(spark, d):
+    """Segments of all events as one stream, with the 29 rows before them."""
+    one = views.one(spark, d)
+    rows = seg.segment_rows(one, seg.with_warmup(long_streams.segments(one, mode="bucketed"), 29))
+    return rows.groupBy("segment_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), r6(F.max("value")).alias("peak"), F.min_by("seq", F.struct(-F.col("value"), F.col("seq"))).alias("peak_seq"))
 
 
 _MEANS = "m as (select label l, pos, avg(x) a from (select label, generate_subscripts(embedding, 1) pos, unnest(embedding)::double x from embeddings) group by 1, 2), g as (select pos, avg(x) a from (select generate_subscripts(embedding, 1) pos, unnest(embedding)::double x from embeddings) group by 1), t as (select vec_id, label, generate_subscripts(embedding, 1) pos, unnest(embedding)::double x from embeddings), e as (select vec_id, t.pos, 0.5 * (m.a - x) * (m.a - x) + 0.5 * (g.a - x) * (g.a - x) err, (m.a - x) * (m.a - x) one from t join m on m.l = t.label and m.pos = t.pos join g on g.pos = t.pos)"
@@ -136,11 +153,6 @@ def neighbour_agg(spark, d):
     return scores.aggregate_neighbours(graph(spark, d), table(spark, d, "embeddings"), "vec_id", "label").withColumn("aggregate", r6("aggregate"))
 
 
-#: The names under which the whole graph was registered while the two above were of fewer vectors.
-for _name, _whole in (("cosine_topk_all", "cosine_topk"), ("neighbour_agg_all", "neighbour_agg")):
-    QUERIES[_name], ORACLES[_name] = QUERIES[_whole], ORACLES[_whole]
-
-
 @query("select event_id, round(((value - m1) / (s1 + 1e-8) + (k - m2) / (s2 + 1e-8)) / 2, 6) score from ev, (select avg(value) m1, stddev_pop(value) s1, avg(k) m2, stddev_pop(k) s2 from ev)", "ev")
 def ensemble(spark, d):
     return scores.ensemble(views.ev(spark, d).select("event_id", "value", "k"), ["value", "k"]).select("event_id", r6("score").alias("score"))

@@ -321,11 +321,11 @@ def test_graph_of_all_embeddings(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     want = brute_neighbours({r.vec_id: r.embedding for r in rows}, 5)
     got = {}
-    for r in QUERIES["cosine_topk_all"](spark, sf).collect():
+    for r in QUERIES["cosine_topk"](spark, sf).collect():
         got.setdefault(r.src, set()).add(r.dst)
     assert len(got) == len(rows) and got == {i: {j for _, j in e} for i, e in want.items()}
     label = {r.vec_id: r.label for r in rows}
     share = {i: np.exp([-c for c, _ in e]) for i, e in want.items()}
     means = {i: float(share[i] @ [label[j] for _, j in e] / share[i].sum()) for i, e in want.items()}
-    agg = {r.src: r.aggregate for r in QUERIES["neighbour_agg_all"](spark, sf).collect()}
+    agg = {r.src: r.aggregate for r in QUERIES["neighbour_agg"](spark, sf).collect()}
     assert agg.keys() == means.keys() and max(abs(agg[i] - means[i]) for i in agg) < 2e-6
