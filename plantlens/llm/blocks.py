@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from plantlens.llm.common import settled, sliced
 
 #: Bytes of text to a block (a longer text is a block of its own) and to a slice that is held as Python strings.
-BLOCK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
+BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
 
 
 @dataclass

@@ -31,7 +31,7 @@ from plantlens.llm.common import forget, settled
 LEAST, SWALLOW, BEST = 10, 50, 2000
 
 #: Occurrences to a prefix range; new n-grams that a block holds before they are added to its transducer.
-RANGE_TOKENS, RUN = 1 << 20, 1 << 21
+RANGE_TOKENS, RUN = 1 << 20, 1 << 19
 
 #: What ends a piece, and the code of that end.
 _PIECES = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\t", b"\n" * 10 + b" ")
