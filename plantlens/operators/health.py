@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from plantlens.functions.cells import classify_channel, is_finite
 from plantlens.operators.order import STREAM
 
+#: Fixed value: the type of fault that a verdict names.
+FAULT_TYPE = "TELEMETRY_FAULT"
+
 
 def long_frame(df: DataFrame, channels: list[str], keep: list[str] = ("stream_id", "seq", "ts", "label")) -> DataFrame:
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.lit(k).alias("pos"), F.col(c).alias("value")) for k, c in enumerate(channels))))
@@ -62,7 +65,7 @@ def health(runs: DataFrame, max_unchanged: int = 2880, interval: float | None =
     made = runs.groupBy(*stream, "seq", "ts").agg(stuck.alias("stuck_channels"))
     n = F.size("stuck_channels")
     text = F.concat_ws("; ", F.transform("stuck_channels", lambda s: F.concat(s["feature"], F.lit(" unchanged for "), s["unchanged_samples"].cast("string"), F.lit(" samples"))))
-    return made.withColumns({"n_seen": F.col("seq") + 1, "healthy": n == 0, "fault_type": F.when(n > 0, "STUCK"), "reason": F.when(n > 0, text)})
+    return made.withColumns({"n_seen": F.col("seq") + 1, "healthy": n == 0, "fault_type": F.when(n > 0, FAULT_TYPE), "reason": F.when(n > 0, text)})
 
 
 def health_payload(verdicts: DataFrame) -> DataFrame:

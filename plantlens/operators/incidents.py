@@ -10,7 +10,7 @@ from plantlens.operators.order import STREAM, by_stream
 
 #: Fixed values of the alert records.
 OPEN, CLOSED = "OPEN", "CLOSED"
-ML, FAULT = "ML_ANOMALY", "TELEMETRY_FAULT"
+ML, FAULT = "PROCESS_ANOMALY", "TELEMETRY_FAULT"
 LEVELS = {"LOW": 1, "MEDIUM": 2, "HIGH": 3}
 
 

@@ -19,7 +19,7 @@ _DATE = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 _IDN = "case when {n} < 10000 then lpad({n}::varchar, 4, '0') else {n}::varchar end"
 _FLAG = f"f as (select stream_id, seq, ts, value, case when value > {THR} then 1 else 0 end hit from ev), g as (select *, sum(case when hit = 1 and coalesce(lh, 0) = 0 then 1 else 0 end) over (partition by stream_id order by seq) open_seq, lead(ts) over (partition by stream_id order by seq) nx from (select *, lag(hit) over (partition by stream_id order by seq) lh from f))"
 INCIDENTS = (
-    "select stream_id, 'alert-' || " + _IDN.format(n="open_seq") + " || '-' || " + _DATE.format("min(ts)") + " alert_id, open_seq::bigint open_seq, 'ML_ANOMALY' category, case when max(last) = max(seq) then 'OPEN' else 'CLOSED' end status, "
+    "select stream_id, 'alert-' || " + _IDN.format(n="open_seq") + " || '-' || " + _DATE.format("min(ts)") + " alert_id, open_seq::bigint open_seq, 'PROCESS_ANOMALY' category, case when max(last) = max(seq) then 'OPEN' else 'CLOSED' end status, "
     f"case when max(value) / {THR} >= 10 then 'HIGH' when max(value) / {THR} >= 2 then 'MEDIUM' else 'LOW' end severity, max(value) anomaly_score, count(*) anomaly_count, min(seq) start_seq, max(seq) end_seq, min(ts) opened_at, max(ts) window_end, "
     "case when max(last) = max(seq) then null else arg_max(nx, seq) end closed_at from (select *, max(seq) over (partition by stream_id) last from g) where hit = 1 group by stream_id, open_seq"
 )
@@ -66,7 +66,7 @@ def stuck(spark, d):
     return stuck_rows(spark, d).select("stream_id", "channel", "seq", "run_length", "staleness_seconds", "value")
 
 
-_HEALTH = f"select l.stream_id, l.seq, l.ts, l.seq + 1 n_seen, count(channel) = 0 healthy, case when count(channel) > 0 then 'STUCK' end fault_type, string_agg(channel || ' unchanged for ' || run_length || ' samples', '; ' order by pos) reason from li l left join ({STUCK}) s on s.stream_id = l.stream_id and s.seq = l.seq group by 1, 2, 3"
+_HEALTH = f"select l.stream_id, l.seq, l.ts, l.seq + 1 n_seen, count(channel) = 0 healthy, case when count(channel) > 0 then 'TELEMETRY_FAULT' end fault_type, string_agg(channel || ' unchanged for ' || run_length || ' samples', '; ' order by pos) reason from li l left join ({STUCK}) s on s.stream_id = l.stream_id and s.seq = l.seq group by 1, 2, 3"
 
 
 @query(_HEALTH, "li")
@@ -76,7 +76,7 @@ def health(spark, d):
 
 @query(
     "with s as (" + STUCK + """), e as (select stream_id, seq, '[' || string_agg('{"pos":' || pos || ',"feature":"' || channel || '","unchanged_samples":' || run_length || ',"staleness_seconds":' || (run_length - 1) * 5 || '.0,"last_value":' || value::double || '}', ',' order by pos) || ']' stuck, string_agg(channel || ' unchanged for ' || run_length || ' samples', '; ' order by pos) reason from s group by 1, 2)
-    select l.stream_id, l.seq, '{"healthy":' || (stuck is null)::varchar || ',"n_seen":' || (l.seq + 1) || case when stuck is null then '' else ',"fault_type":"STUCK","reason":"' || reason || '"' end || ',"stuck_channels":' || coalesce(stuck, '[]') || '}' payload from li l left join e on e.stream_id = l.stream_id and e.seq = l.seq""",
+    select l.stream_id, l.seq, '{"healthy":' || (stuck is null)::varchar || ',"n_seen":' || (l.seq + 1) || case when stuck is null then '' else ',"fault_type":"TELEMETRY_FAULT","reason":"' || reason || '"' end || ',"stuck_channels":' || coalesce(stuck, '[]') || '}' payload from li l left join e on e.stream_id = l.stream_id and e.seq = l.seq""",
     "li",
 )
 def health_json(spark, d):
@@ -138,7 +138,7 @@ def validate_health(spark, d):
     return good.groupBy("healthy").agg(F.count("*").alias("n")).unionByName(bad.groupBy(F.lit(None).cast("boolean").alias("healthy")).agg(F.count("*").alias("n")))
 
 
-@query(f"with {_FLAG}, {_FAULTS}, a as (select stream_id, opened_at, 'ML_ANOMALY' category, open_seq from ({INCIDENTS}) union all select stream_id, opened_at, 'TELEMETRY_FAULT', open_seq from fi) select stream_id, category, open_seq::bigint open_seq, row_number() over (partition by stream_id order by opened_at, category, open_seq) history_seq from a", "ev li")
+@query(f"with {_FLAG}, {_FAULTS}, a as (select stream_id, opened_at, 'PROCESS_ANOMALY' category, open_seq from ({INCIDENTS}) union all select stream_id, opened_at, 'TELEMETRY_FAULT', open_seq from fi) select stream_id, category, open_seq::bigint open_seq, row_number() over (partition by stream_id order by opened_at, category, open_seq) history_seq from a", "ev li")
 def alert_history(spark, d):
     made = inc.alert_history(ml(spark, d), faults(spark, d))
     return made.select("stream_id", "category", F.col("open_seq").cast("long").alias("open_seq"), "history_seq")
@@ -173,7 +173,7 @@ _STAMP = "strftime({}, '%Y-%m-%dT%H:%M:%S.') || lpad((millisecond({}) % 1000)::v
 
 
 @query(
-    f"""with {_FLAG}, i as ({INCIDENTS}) select alert_id, '{{"stream_id":' || stream_id || ',"alert_id":"' || alert_id || '","open_seq":' || open_seq || ',"category":"ML_ANOMALY","status":"' || status || '","severity":"' || severity || '","anomaly_score":' || anomaly_score || ',"anomaly_count":' || anomaly_count || ',"start_seq":' || start_seq || ',"end_seq":' || end_seq
+    f"""with {_FLAG}, i as ({INCIDENTS}) select alert_id, '{{"stream_id":' || stream_id || ',"alert_id":"' || alert_id || '","open_seq":' || open_seq || ',"category":"PROCESS_ANOMALY","status":"' || status || '","severity":"' || severity || '","anomaly_score":' || anomaly_score || ',"anomaly_count":' || anomaly_count || ',"start_seq":' || start_seq || ',"end_seq":' || end_seq
     || ',"opened_at":"' || {_STAMP.format('opened_at', 'opened_at')} || '","window_end":"' || {_STAMP.format('window_end', 'window_end')} || '"' || case when closed_at is null then '' else ',"closed_at":"' || {_STAMP.format('closed_at', 'closed_at')} || '"' end || '}}' payload from i""",
     "ev",
 )

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "6g", **conf: str) -> SparkSession:
-    """A local session with the settings that every operator here assumes (UTC, AQE)."""
+    """A local session with the settings that every operator here assumes (UTC, AQE, states of streams in RocksDB)."""
     os.environ.setdefault("TZ", "UTC")
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -16,6 +16,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "6g"
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -114,7 +114,7 @@ def test_stuck_verdicts(spark):
     runs = health.unchanged_runs(channel(spark, [0.0] * 10 + [1.0]))
     got = health.health(runs, 5, 5.0).orderBy("seq").collect()
     assert [r.healthy for r in got] == [True] * 4 + [False] * 6 + [True]
-    assert got[4].stuck_channels[0].unchanged_samples == 5 and got[4].stuck_channels[0].staleness_seconds == 20.0 and got[4].fault_type == "STUCK"
+    assert got[4].stuck_channels[0].unchanged_samples == 5 and got[4].stuck_channels[0].staleness_seconds == 20.0 and got[4].fault_type == "TELEMETRY_FAULT"
     assert health.stuck_channels(runs, 3).first().staleness_seconds is None
     with pytest.raises(ValueError):
         health.stuck_channels(runs, 1)
@@ -150,7 +150,7 @@ def test_alert_table(spark):
     new = spark.createDataFrame([(1, "a", 9, "CLOSED", 2)], kind)
     got = {r.alert_id: (r.status, r.open_seq) for r in alerts.upsert_alerts(old, new).collect()}
     assert got == {"a": ("CLOSED", 1), "b": ("OPEN", 2)}
-    with_time = old.withColumns({"category": F.lit("ML_ANOMALY"), "opened_at": F.timestamp_seconds("open_seq")})
+    with_time = old.withColumns({"category": F.lit("PROCESS_ANOMALY"), "opened_at": F.timestamp_seconds("open_seq")})
     assert alerts.query_alerts(with_time, limit=-3).count() == 0
     assert [r.alert_id for r in alerts.list_alerts(with_time, "ml_anomaly", "open").collect()] == ["b", "a"]
     lines = spark.createDataFrame([('{"alert_id": "x", "open_seq": 1}',), ("{broken",), ('{"open_seq": 2}',)], "value string")
