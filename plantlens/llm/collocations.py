@@ -163,8 +163,8 @@ class _Words:
         return self.start[a] + self.length[a] * inner
 
 
-def _ordered_words(entries: DataFrame, least: int) -> tuple[DataFrame, list[str], dict]:
-    """part, word, n, id, start (occurrences of words before) of all words of `least` occurrences; the folders; occurrences of each part.
+def _ordered_words(entries: DataFrame, least: int) -> tuple[DataFrame, dict]:
+    """part, word, n, id, start (occurrences of words before) of all words of `least` occurrences; and for each part all occurrences and theirs.
 
     Words are sorted by ranges of part and word; the driver gets a row of sums for each range of at least a million words.
     """
@@ -183,11 +183,11 @@ def _ordered_words(entries: DataFrame, least: int) -> tuple[DataFrame, list[str]
     upto = Window.partitionBy("range").orderBy("part", "word").rowsBetween(Window.unboundedPreceding, -1)
     rows = cut.withColumn("id", F.count("*").over(upto)).withColumn("start", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     rows = rows.join(F.broadcast(offsets), "range").select("part", "word", "n", (F.col("id") + F.col("ids")).alias("id"), (F.col("start") + F.col("occurrences")).alias("start"))
-    made, made_path = settled(rows)
+    made, _ = settled(rows)
     if n_id >= 1 << 32:
         raise ValueError(f"{n_id} frequent words: ids go up to 2**32")
     forget(spark, path, cut_path)
-    return made, [made_path], parts
+    return made, parts
 
 
 def collocations(df: DataFrame, text_col: str = "text", part_col: str = "lang", least: int = LEAST, swallow: int = SWALLOW, best: int = BEST, range_tokens: int = RANGE_TOKENS, run_tokens: int = RUN) -> DataFrame:
@@ -195,7 +195,7 @@ def collocations(df: DataFrame, text_col: str = "text", part_col: str = "lang",
     spark = df.sparkSession
     texts = df.select(F.lit(0).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(part_col).cast("string"), F.lit("und")).alias("part"))
     corpus = coded(texts, _tokens, "id", "text", "part", unseen=(_GAP, _END))
-    often, paths, parts = _ordered_words(corpus.entries, least)
+    often, parts = _ordered_words(corpus.entries, least)
     total = sum(f for _, f in parts.values())
     ranges = max(1, -(-total // range_tokens))
     # A part has a row here; the parts, such as languages, are names in a column of the corpus, so their rows go by a join.
@@ -204,12 +204,12 @@ def collocations(df: DataFrame, text_col: str = "text", part_col: str = "lang",
         ends[part], firsts = firsts, firsts + parts[part][1]
     sizes = spark.createDataFrame([(p, ends[p], max(parts[p][1], 1), parts[p][0]) for p in parts], "part string, part_start long, part_size long, part_n long")
     placed = often.join(sizes, "part").select("part", "word", "id", "start", "n", "part_n", ((F.col("start") - F.col("part_start")) / F.col("part_size")).alias("share_start"), (F.col("n") / F.col("part_size")).alias("share"))
-    placed, placed_path = settled(placed)
+    placed, _ = settled(placed)
     known = corpus.entries.select("block", "code", "part", "word").join(placed, ["part", "word"]).select("block", "code", "id", "start", "n", "share_start", "share")
-    shards, shards_path = settled(corpus.blocks.select("block", "lengths", "codes").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_shards(total, ranges, run_tokens), f"range long, kind int, {COLUMNS}"))
+    # Shards go to their ranges straight from the tasks that make them; a lost executor costs its blocks anew.
+    shards = corpus.blocks.select("block", "lengths", "codes").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_shards(total, ranges, run_tokens), f"range long, kind int, {COLUMNS}")
+    unions, _ = settled(shards.groupBy("range", "kind").applyInArrow(_union(least), f"range long, kind int, {COLUMNS}"))
     forget(spark, corpus.path)
-    unions, unions_path = settled(shards.groupBy("range", "kind").applyInArrow(_union(least), f"range long, kind int, {COLUMNS}"))
-    forget(spark, shards_path)
     out = _ranked(unions, placed, total, ranges, swallow, best)
     return out.withColumnRenamed("part", part_col)
 
@@ -231,6 +231,8 @@ def _shards(total: int, ranges: int, run_tokens: int):
             stays = (codes != -1) | last
             sequence, closing = np.where((codes >= 0) & frequent[codes], codes, -1)[stays], last[stays]
             rows = list(_cut_ranges(sequence, closing, known, total, ranges, run_tokens))
+            del sequence, closing, frequent, stays, last, codes
+            pa.default_memory_pool().release_unused()
         columns = list(zip(*rows, strict=True)) or [[]] * 8
         return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), *[pa.binary()] * 6], strict=True)], names=["range", "kind", *NAMES])
 
