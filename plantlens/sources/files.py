@@ -99,7 +99,10 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet", files: int | N
 
 
 def read_alerts(spark: SparkSession, url: str, table: str = "alerts", **options: str) -> DataFrame:
-    """The alert table from a database (jdbc:...; filters and limits are pushed down) or a Parquet folder."""
+    """The alert table from a database (jdbc:...; filters and limits are pushed down), an AlertTable's folder or a folder of Parquet files."""
+    from plantlens.sources.alert_table import AlertTable
+
     if url.startswith("jdbc:"):
         return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-    return spark.read.parquet(url)
+    kept = AlertTable(spark, url)
+    return kept.read() if kept.versions() else spark.read.parquet(url)

@@ -110,6 +110,12 @@ class Reorder(StatefulProcessor):
     def _frozen(self, row: Row) -> tuple:
         return frozen(row.asDict(), self.kinds)
 
+    def _keep(self, rows: list[Row]) -> None:
+        if rows:
+            self.rows.put([self._frozen(r) for r in rows])
+        else:
+            self.rows.clear()
+
     def _let_out(self, known: dict, free: list[Row]) -> Iterator[Row]:
         for row in free:
             yield Row(**row.asDict(), seq=known["seq"], late=False)
@@ -138,7 +144,7 @@ class Reorder(StatefulProcessor):
         free = sorted((r for r in held + new if r[self.ts] < newest - self.wait), key=self._at)
         if free:
             yield from self._let_out(known, free)
-            self.rows.put([self._frozen(r) for r in held + new if r[self.ts] >= newest - self.wait])
+            self._keep([r for r in held + new if r[self.ts] >= newest - self.wait])
         else:
             self.rows.appendList([self._frozen(r) for r in new])
         self.out.update(frozen(known, self.place))
@@ -147,7 +153,7 @@ class Reorder(StatefulProcessor):
         known, held = self._known(), self._held()
         now = expiredTimerInfo.getExpiryTimeInMs()
         yield from self._let_out(known, sorted((r for r in held if r[self.ts].timestamp() * 1000 < now), key=self._at))
-        self.rows.put([self._frozen(r) for r in held if r[self.ts].timestamp() * 1000 >= now])
+        self._keep([r for r in held if r[self.ts].timestamp() * 1000 >= now])
         self.out.update(frozen(known, self.place))
 
     def close(self) -> None:

@@ -220,28 +220,3 @@ def session_incidents(sdf: DataFrame, threshold: float, gap: str, score: str = "
     hits = sdf.filter(over_threshold(score, threshold)).withWatermark("ts", delay)
     made = hits.groupBy(key, F.session_window("ts", gap)).agg(F.count("*").alias("anomaly_count"), F.max(score).alias("anomaly_score"))
     return made.select(key, F.col("session_window.start").alias("opened_at"), F.col("session_window.end").alias("closed_at"), "anomaly_count", "anomaly_score")
-
-
-def upsert_sink(path: str, key: tuple[str, ...] = ("stream_id", "alert_id")):
-    """A foreachBatch function that keeps the newest version of each alert as Parquet.
-
-    Each batch writes a new generation beside the old one; a batch that is run again after a failure reads the same
-    generation and writes the same rows, so repeats do no harm. Once a generation is written, the one before the one
-    that it was made from can't be needed any more and is deleted, so two are kept.
-    """
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        from plantlens.operators.alerts import upsert_alerts
-
-        spark = batch.sparkSession
-        try:
-            before = spark.read.parquet(f"{path}/generation={epoch}") if epoch else batch.limit(0)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            before = batch.limit(0)
-        upsert_alerts(before, batch, "version", key).write.mode("overwrite").parquet(f"{path}/generation={epoch + 1}")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={epoch - 1}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-
-    return write

@@ -104,20 +104,6 @@ def test_counted_write(spark, tmp_path):
         clean.write_counted(spark.range(7), 8, f"{tmp_path}/b")
 
 
-def test_upsert_sink_is_idempotent(spark, tmp_path):
-    write = st.upsert_sink(str(tmp_path))
-    kind = "stream_id long, alert_id string, open_seq long, version long, status string"
-    a = spark.createDataFrame([(1, "x", 1, 1, "OPEN")], kind)
-    b = spark.createDataFrame([(1, "x", 1, 2, "CLOSED"), (1, "y", 2, 2, "OPEN")], kind)
-    write(a, 0)
-    for _ in range(2):
-        write(b, 1)
-    got = spark.read.parquet(f"{tmp_path}/generation=2").select("alert_id", "status").collect()
-    assert sorted(map(tuple, got)) == [("x", "CLOSED"), ("y", "OPEN")]
-    write(a.limit(0), 2)
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["generation=2", "generation=3"]
-
-
 def test_csv(spark, tmp_path):
     head = "Timestamp, FIT101,LIT101, MV101,Normal/Attack\n"
     (tmp_path / "b.csv").write_text(head + "28/12/2015 10:00:00 AM,1.5,2,,Normal\n28/12/2015 10:00:01 AM,2.5,x,1,A ttack\n")
