@@ -104,17 +104,28 @@ class Transducer:
         return np.where(self.pairs[at] == pairs, self.n_pairs[at], 0)
 
     def cut(self, start: int, stop: int, first_triple: int, last_triple: int, many: np.ndarray) -> list[bytes]:
-        """The pairs start to stop and their triples, as bytes; arcs go by state, so only states in use are written."""
+        """The pairs start to stop and their triples, packed; arcs go by state, so only states in use are written."""
         used, state = np.unique(self.state[start:stop], return_inverse=True)
         wide = many[used]
-        pieces = [self.pairs[start:stop], self.n_pairs[start:stop], state, np.concatenate([[0], np.cumsum(wide)]), self.third[_spans(self.arcs[used], wide)], self.n_triples[first_triple:last_triple]]
-        return [p.astype(k).tobytes() for p, k in zip(pieces, KINDS, strict=True)]
+        pairs = self.pairs[start:stop]
+        heads = np.diff(pairs >> np.uint64(32), prepend=np.uint64(0))
+        return [_packed(x) for x in (heads, pairs & np.uint64(0xFFFFFFFF), self.n_pairs[start:stop], state, wide, self.third[_spans(self.arcs[used], wide)], self.n_triples[first_triple:last_triple])]
 
 
-#: Types of a transducer's columns. Counts of a block fit into 32 bits, those of a union may not.
-KINDS = ["<u8", "<i8", "<u4", "<u4", "<u4", "<i8"]
-COLUMNS = "pairs binary, n_pairs binary, state binary, arcs binary, third binary, n_triples binary"
-NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
+#: A transducer's columns: steps of the first ids, second ids, weights of pairs, states, arcs of each state, third ids, weights of triples.
+NAMES = ["heads", "seconds", "n_pairs", "state", "wide", "third", "n_triples"]
+COLUMNS = ", ".join(f"{c} binary" for c in NAMES)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on in the fewest bytes that hold the greatest, after a byte that tells how many."""
+    size = np.min_scalar_type(int(numbers.max(initial=0))).itemsize
+    return bytes([size]) + numbers.astype(f"<u{size}").tobytes()
+
+
+def _unpacked(column: pa.ChunkedArray | pa.Array, row: int) -> np.ndarray:
+    held = column[row].as_buffer()
+    return np.frombuffer(held, f"<u{memoryview(held)[0]}", offset=1)
 
 
 def _spans(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -144,8 +155,10 @@ def _summed(pairs: np.ndarray, third: np.ndarray | None, n: np.ndarray) -> tuple
 
 
 def _of_row(table: pa.Table | pa.RecordBatch, row: int) -> Transducer:
-    read = [numbers(table.column(c), row, k) for c, k in zip(NAMES, KINDS, strict=True)]
-    return Transducer(read[0], read[1].astype(np.int64), *(r.astype(np.int64) for r in read[2:]))
+    heads, seconds, n_pairs, state, wide, third, n_triples = (_unpacked(table.column(c), row) for c in NAMES)
+    pairs = (np.cumsum(heads, dtype=np.uint64) << np.uint64(32)) | seconds.astype(np.uint64)
+    arcs = np.concatenate([[0], np.cumsum(wide, dtype=np.int64)])
+    return Transducer(pairs, n_pairs.astype(np.int64), state.astype(np.int64), arcs, third.astype(np.int64), n_triples.astype(np.int64))
 
 
 @dataclass
@@ -233,8 +246,8 @@ def _shards(total: int, ranges: int, run_tokens: int):
             rows = list(_cut_ranges(sequence, closing, known, total, ranges, run_tokens))
             del sequence, closing, frequent, stays, last, codes
             pa.default_memory_pool().release_unused()
-        columns = list(zip(*rows, strict=True)) or [[]] * 8
-        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), *[pa.binary()] * 6], strict=True)], names=["range", "kind", *NAMES])
+        columns = list(zip(*rows, strict=True)) or [[]] * 9
+        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), *[pa.binary()] * 7], strict=True)], names=["range", "kind", *NAMES])
 
     return run
 
@@ -311,7 +324,7 @@ def _union(least: int):
             made = Transducer.of(pairs, np.zeros(len(pairs), np.int64), np.searchsorted(pairs, heads), third, n)
         many = np.diff(made.arcs)
         columns = [[table["range"][0].as_py()], [kind], *([c] for c in made.cut(0, len(made.pairs), 0, len(made.n_triples), many))]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), *[pa.binary()] * 6], strict=True)], names=["range", "kind", *NAMES])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), *[pa.binary()] * 7], strict=True)], names=["range", "kind", *NAMES])
 
     return run
 

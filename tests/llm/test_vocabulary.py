@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -150,6 +151,9 @@ def test_transducer(shards):
     assert {split(p): int(n) for p, n in zip(made.pairs, made.n_pairs, strict=True)} == pair_want
     arcs = [tuple(made.third[a:b]) for a, b in zip(made.arcs[:-1], made.arcs[1:], strict=True)]
     assert len(set(arcs)) == len(arcs)
+    whole = made.cut(0, len(made.pairs), 0, len(made.n_triples), np.diff(made.arcs))
+    again = collocations._of_row(pa.table({c: pa.array([x], pa.binary()) for c, x in zip(collocations.NAMES, whole, strict=True)}), 0)
+    assert all(np.array_equal(getattr(again, f), getattr(made, f)) for f in ("pairs", "n_pairs", "n_triples")) and np.array_equal(again.triples(), made.triples())
     asked = [(a, b) for a in range(5) for b in range(5)]
     assert made.compose(np.array([(a << 32) | b for a, b in asked], np.uint64)).tolist() == [pair_want[p] for p in asked]
 
