@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantlens.operators.order import STREAM
+from plantlens.functions.cells import over_threshold
+from plantlens.operators import metrics
+from plantlens.operators.quantiles import exact_quantiles
 
 
 def align_modalities(a: DataFrame, b: DataFrame, unit: str = "second", ts: str = "ts") -> DataFrame:
@@ -51,3 +55,31 @@ def asof_attach(left: DataFrame, right: DataFrame, columns: list[str], ts: str =
     both = both.join(carried, [*stream, "_d"], "left")
     value = F.coalesce("_v", "_before")
     return both.select(*left.columns, *(value[c].alias(c) for c in columns))
+
+
+def branch_evaluation(df: DataFrame, branches: dict[str, str], validation: Column, percentile: float = 93.0, truth: str = "label", kind: str | None = None, kinds: list[str] = (), fused: str = "fused") -> DataFrame:
+    """One row for each branch (name: column of its scores) and one for their fusion.
+
+    A branch decides by its own threshold, the percentile of its scores on `validation` rows. The fusion's decision is that any
+    branch decides so; its score, for roc_auc and average_precision, is the greatest of the branches' z-scores by the validation rows. Rows have threshold
+    (null for the fusion), counts, precision, recall, f1 and fpr, both areas, and recall_<kind> for each of `kinds` (null without rows of it).
+
+    All branches are evaluated together: one aggregate counts decisions, one curve by branch has the areas.
+    """
+    ref = df.filter(validation)
+    limits = exact_quantiles(ref, list(branches.values()), [percentile / 100])
+    if missing := [n for n, c in branches.items() if limits[c][0] is None]:
+        raise ValueError(f"no validation score of {missing}")
+    row = ref.agg(*(f(c).alias(f"{n}{k}") for k, c in enumerate(branches.values()) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    z = [(F.col(c) - F.lit(float(row[f"m{k}"]))) / F.lit(float(row[f"s{k}"]) + 1e-8) for k, c in enumerate(branches.values())]
+    decided = {n: over_threshold(c, limits[c][0]) for n, c in branches.items()}
+    entry = lambda name, limit, score, pred: F.struct(F.lit(name).alias("branch"), F.lit(limit).cast("double").alias("threshold"), score.cast("double").alias("_score"), pred.cast("int").alias("_pred"))
+    entries = [entry(n, limits[c][0], F.col(c), decided[n]) for n, c in branches.items()]
+    entries.append(entry(fused, None, F.greatest(*z) if len(z) > 1 else z[0], reduce(lambda a, b: a | b, decided.values())))
+    kept = [F.col(truth).alias("_truth"), *([F.col(kind).alias("_kind")] if kind else [])]
+    long = df.select(*kept, F.inline(F.array(*entries)))
+    t, p = F.col("_truth") == 1, F.col("_pred") == 1
+    counts = [F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn")]
+    found = [F.avg(F.when(F.col("_kind") == k, F.col("_pred"))).alias(f"recall_{k}") for k in kinds]
+    rates = metrics.with_rates(long.groupBy("branch").agg(F.max("threshold").alias("threshold"), *counts, *found))
+    return rates.join(F.broadcast(metrics.auc(long, "_score", "_truth", by=["branch"])), "branch")  # a row for each branch

@@ -42,23 +42,34 @@ def score_metrics(df: DataFrame, score: str, threshold: float, truth: str = "lab
     return prf(df.withColumn("pred", over_threshold(score, threshold).cast("int")), truth, "pred", point_adjusted)
 
 
-def curve(df: DataFrame, score: str = "score", truth: str = "label", buckets: int = 64) -> DataFrame:
-    """Per distinct score, from the highest: tp and fp at "score or higher", with totals.
+def curve(df: DataFrame, score: str = "score", truth: str = "label", buckets: int = 64, by: list[str] = ()) -> DataFrame:
+    """Per distinct score (of each key in `by`), from the highest: tp and fp at "score or higher", with totals.
 
     Scores are aggregated first; prefix sums then run inside ranges between approximate quantiles (literals, so
     every evaluation cuts alike) with the sums of the ranges before, so distinct scores of any number never
-    meet in one task.
+    meet in one task. Keys are branches, models or datasets: a row of cuts for each reaches the driver.
     """
-    by_score = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
-    found = df.agg(F.percentile_approx(score, [k / buckets for k in range(1, buckets)], 1000)).first()[0] or []
-    cuts = F.array(*(F.lit(float(c)) for c in sorted(set(found)))).cast("array<double>")
-    parts = by_score.withColumn("_part", F.size(F.filter(cuts, lambda c: c >= F.col("score"))))
-    sums = parts.groupBy("_part").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    sums = sums.select("_part", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before") for c in ("_pos", "_neg")), *(F.sum(c).over(Window.partitionBy()).alias(f"all{c}") for c in ("_pos", "_neg")))
-    w = Window.partitionBy("_part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    made = parts.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)}).join(sums, "_part")
-    return made.select("score", "pos", "neg", (F.col("tp") + F.col("_pos_before")).alias("tp"), (F.col("fp") + F.col("_neg_before")).alias("fp"), F.col("all_pos").alias("all_pos"), F.col("all_neg").alias("all_neg"))
+    by = list(by)
+    by_score = df.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
+    found = df.groupBy(*by).agg(F.percentile_approx(score, [k / buckets for k in range(1, buckets)], 1000).alias("cuts"))
+    cuts = [(*(r[c] for c in by), sorted({float(x) for x in r["cuts"] or []})) for r in found.collect()]
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in by]
+    if by:
+        held = df.sparkSession.createDataFrame(cuts, ", ".join([*kinds, "_cuts array<double>"]))
+        same = [by_score[c].eqNullSafe(held[c]) for c in by]
+        parts = by_score.join(F.broadcast(held), same).select(*(by_score[c] for c in by_score.columns), "_cuts")  # a row for each key
+    else:
+        parts = by_score.withColumn("_cuts", F.array(*map(F.lit, cuts[0][-1] if cuts else [])).cast("array<double>"))
+    parts = parts.withColumn("_part", F.size(F.filter("_cuts", lambda c: c >= F.col("score")))).drop("_cuts")
+    sums = parts.groupBy(*by, "_part").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sums = sums.select(*(F.col(c).alias(f"_k_{c}") for c in by), F.col("_part").alias("_k_part"), *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before") for c in ("_pos", "_neg")), *(F.sum(c).over(Window.partitionBy(*by)).alias(f"all{c}") for c in ("_pos", "_neg")))
+    w = Window.partitionBy(*by, "_part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    met = F.col("_part") == F.col("_k_part")
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    made = parts.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)}).join(sums, met)
+    return made.select(*by, "score", "pos", "neg", (F.col("tp") + F.col("_pos_before")).alias("tp"), (F.col("fp") + F.col("_neg_before")).alias("fp"), F.col("all_pos").alias("all_pos"), F.col("all_neg").alias("all_neg"))
 
 
 def roc_curve(df: DataFrame, score: str = "score", truth: str = "label") -> DataFrame:
@@ -69,13 +80,13 @@ def pr_curve(df: DataFrame, score: str = "score", truth: str = "label") -> DataF
     return curve(df, score, truth).select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "all_pos").alias("recall"))
 
 
-def auc(df: DataFrame, score: str = "score", truth: str = "label") -> DataFrame:
-    """roc_auc (ties count half) and average_precision (step-wise); null if a class is missing."""
-    c = curve(df, score, truth)
+def auc(df: DataFrame, score: str = "score", truth: str = "label", by: list[str] = ()) -> DataFrame:
+    """roc_auc (ties count half) and average_precision (step-wise) of each key; null if a class is missing."""
+    c = curve(df, score, truth, by=by)
     both = (F.max("all_pos") > 0) & (F.max("all_neg") > 0)
     area = F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + 0.5 * F.col("pos") * F.col("neg")), F.max("all_pos").cast("double") * F.max("all_neg"))
-    steps = F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.max("all_pos"))
-    return c.agg(F.when(both, area).alias("roc_auc"), F.when(both, steps).alias("average_precision"))
+    steps = F.try_divide(F.sum(F.col("pos") * F.try_divide("tp", F.col("tp") + F.col("fp"))), F.max("all_pos"))
+    return c.groupBy(*by).agg(F.when(both, area).alias("roc_auc"), F.when(both, steps).alias("average_precision"))
 
 
 def recall_by_kind(df: DataFrame, kinds: DataFrame, kind: str = "kind", pred: str = "pred") -> DataFrame:

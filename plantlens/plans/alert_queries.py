@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantlens import views
-from plantlens.functions.cells import classify_channel, over_threshold, severity as severity_of
-from plantlens.operators import alerts as al, fusion, health as hl, incidents as inc, metrics, profile, scale, thresholds
+from plantlens.functions.cells import classify_channel, severity as severity_of
+from plantlens.operators import alerts as al, fusion, health as hl, incidents as inc
+from plantlens.operators.quantiles import exact_quantiles
 from plantlens.plans.detect_queries import LONG_RUNS, THR, channel_runs, predicted, threshold
 from plantlens.plans.registry import query, r6
 from plantlens.views import CHANNELS, table
@@ -151,7 +152,7 @@ def query_alerts(spark, d):
 
 @query(f"with {_FLAG} select stream_id, alert_id from ({INCIDENTS}) order by opened_at desc, stream_id, open_seq desc, alert_id limit 50", "ev")
 def list_alerts(spark, d):
-    return al.list_alerts(ml(spark, d), "ml_anomaly").select("stream_id", "alert_id")
+    return al.list_alerts(ml(spark, d), "process_anomaly").select("stream_id", "alert_id")
 
 
 @query(f"with {_FLAG} select stream_id, alert_id from ({INCIDENTS}) where status = 'OPEN'", "ev")
@@ -200,19 +201,27 @@ def interval_features(spark, d):
     return made.withColumns({"byte_count": F.round("byte_count", 4), "pkt_rate": r6("pkt_rate"), "mean_iat": F.round("mean_iat", 4), "std_iat": F.round("std_iat", 4)})
 
 
-_DAYS = "t as (select *, case when o_n >= (select quantile_cont(o_n, 0.9) from day) then 1 else 0 end label, (lq - (select avg(lq) from day)) / ((select stddev_pop(lq) from day) + 1e-8) za, (op - (select avg(op) from day)) / ((select stddev_pop(op) from day) + 1e-8) zb from day), u as (select *, greatest(za, zb) zf from t), b as (select 'a' branch, za z, label from u union all select 'b', zb, label from u union all select 'fused', zf, label from u), h as (select branch, quantile_cont(z, 0.93) thr from b where label = 0 group by 1)"
+_DAYS = """t as (select *, case when o_n >= (select quantile_cont(o_n, 0.9) from day) then 1 else 0 end label, case when o_n < (select quantile_cont(o_n, 0.9) from day) then 'none' when lq >= (select quantile_cont(lq, 0.5) from day) then 'exfiltration' else 'disruption' end kind from day),
+    p as (select avg(lq) ml, stddev_pop(lq) + 1e-8 sl, avg(op) mo, stddev_pop(op) + 1e-8 so, quantile_cont(lq, 0.93) tl, quantile_cont(op, 0.93) tp from t where label = 0),
+    b as (select 'process' branch, lq s, (lq > tl)::int pred, tl threshold, label, kind from t, p union all select 'network', op, (op > tp)::int, tp, label, kind from t, p union all select 'fused', greatest((lq - ml) / sl, (op - mo) / so), (lq > tl or op > tp)::int, null, label, kind from t, p),
+    c as (select branch, s, count(*) filter (label = 1) pos, count(*) filter (label = 0) neg from b group by 1, 2),
+    k as (select *, sum(pos) over w ctp, sum(neg) over w cfp, sum(pos) over (partition by branch) ap, sum(neg) over (partition by branch) an from c window w as (partition by branch order by s desc)),
+    areas as (select branch, round(sum(neg * (ctp - pos) + 0.5 * pos * neg) / (max(ap) * max(an)), 6) roc_auc, round(sum(pos * ctp / (ctp + cfp)) / max(ap), 6) average_precision from k group by 1),
+    n as (select branch, round(max(threshold), 4) threshold, count(*) filter (label = 1 and pred = 1) tp, count(*) filter (label = 0 and pred = 1) fp, count(*) filter (label = 1 and pred = 0) fn, count(*) filter (label = 0 and pred = 0) tn,
+        round(avg(pred) filter (kind = 'exfiltration'), 6) recall_exfiltration, round(avg(pred) filter (kind = 'disruption'), 6) recall_disruption from b group by 1)"""
 
 
-@query(f"with {_DAYS} select branch, count(*) filter (label = 1 and z > thr) tp, count(*) filter (label = 0 and z > thr) fp, count(*) filter (label = 1 and z <= thr) fn, count(*) filter (label = 0 and z <= thr) tn from b join h using (branch) group by 1", "day")
+@query(f"with {_DAYS} select branch, threshold, tp, fp, fn, tn, round(case when tp + fp = 0 then 0 else tp / (tp + fp) end, 6) as precision, round(case when tp + fn = 0 then 0 else tp / (tp + fn) end, 6) recall, round(case when 2 * tp + fp + fn = 0 then 0 else 2 * tp / (2 * tp + fp + fn) end, 6) f1, roc_auc, average_precision, recall_exfiltration, recall_disruption from n join areas using (branch)", "day")
 def fusion_table(spark, d):
-    days = views.day(spark, d).cache()
-    cut = days.agg(F.percentile("o_n", 0.9)).first()[0]
-    rows = days.withColumn("label", (F.col("o_n") >= cut).cast("int"))
-    rows = scale.zscore(scale.zscore(rows, "lq", None, "a"), "op", None, "b").withColumn("fused", F.greatest("a", "b"))
-    long = profile.melted(rows, ["a", "b", "fused"], ["label"])
-    thr = long.filter("label = 0").groupBy("feature").agg(F.percentile("value", 0.93).alias("thr"))
-    made = long.join(F.broadcast(thr), "feature").withColumn("pred", over_threshold("value", F.col("thr")).cast("int"))  # three rows
-    return metrics.confusion(made, by=["feature"]).withColumnRenamed("feature", "branch")
+    """Two modalities and their fusion: areas, counts, rates at each one's threshold, and recall of each kind of attack."""
+    days = views.day(spark, d)
+    found = exact_quantiles(days, ["o_n", "lq"], [0.9, 0.5])
+    busy = F.col("o_n") >= found["o_n"][0]
+    kind = F.when(~busy, "none").when(F.col("lq") >= found["lq"][1], "exfiltration").otherwise("disruption")
+    rows = days.withColumns({"label": busy.cast("int"), "kind": kind})
+    made = fusion.branch_evaluation(rows, {"process": "lq", "network": "op"}, F.col("label") == 0, 93.0, kind="kind", kinds=["exfiltration", "disruption"])
+    rates = ("precision", "recall", "f1", "roc_auc", "average_precision", "recall_exfiltration", "recall_disruption")
+    return made.select("branch", F.round("threshold", 4).alias("threshold"), "tp", "fp", "fn", "tn", *(r6(c).alias(c) for c in rates))
 
 
 @query("select e.event_id, b.n, round(b.v, 4) v from ev e asof left join evb b on e.ts >= b.ts", "ev evb")
@@ -220,5 +229,3 @@ def asof(spark, d):
     rows = views.ev(spark, d).select("event_id", "ts")
     return fusion.asof_attach(rows, views.evb(spark, d), ["n", "v"], ties=["event_id"]).select("event_id", "n", F.round("v", 4).alias("v"))
 
-
-__all__ = ["thresholds"]

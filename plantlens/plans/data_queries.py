@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plantlens import views
 from plantlens.functions.cells import normalise_label
-from plantlens.operators import clean, order, profile, scale, windows
+from plantlens.operators import clean, frames, order, profile, scale, windows
 from plantlens.plans.registry import query, r6
 from plantlens.views import CHANNELS
 
@@ -227,6 +227,20 @@ def preprocess(spark, d):
     return made.select("stream_id", F.col("window_id").alias("seq"), F.posexplode("flat").alias("i", "v")).select("stream_id", "seq", F.get(names, "i").alias("feature"), F.round("v", 4).alias("v"))
 
 
+_Z = f"zl as (select stream_id, seq, label, " + ", ".join(f"(max(z) filter (feature = '{c}'))::float::double {c}" for c in CHANNELS) + f" from (select stream_id, seq, label, feature, (value - mean) / scale z from ({MELT}) m join ({_STD}) p using (feature)) group by 1, 2, 3)"
+_ZWIN = _WIN.format(w=W).replace("from li window", "from zl window")
+
+
+@query(f"with {_Z}, w as ({_ZWIN}), p as (select t, c.feature, min(c.value) low, max(c.value) high from w, lateral (values {_LONG}) c(feature, pos, value) group by 1, 2), v as (select stream_id, (w.t * 5 + c.pos)::int i, (c.value - low) * case when low = high then 1.0 else 1 / (high - low) end v from w, lateral (values {_LONG}) c(feature, pos, value), p where p.t = w.t and p.feature = c.feature) select stream_id, i, count(*) n, round(min(v), 4) low, round(max(v), 4) high, round(avg(v), 4) mean from v group by 1, 2", "li")
+def preprocess_windows(spark, d):
+    """The whole chain on all windows of ten samples: standard scaling, float between the scalers, windows, min-max; summed up by stream and place in the window."""
+    li = views.li(spark, d)
+    standard = scale.fit_standard(li.filter("label = 0"), CHANNELS)
+    minmax = scale.fit_minmax_windows(scale.apply_standard(li, standard, "float"), CHANNELS, W)
+    made = windows.preprocess(li, CHANNELS, standard, minmax, W).select("stream_id", F.posexplode("flat").alias("i", "v"))
+    return made.groupBy("stream_id", "i").agg(F.count("*").alias("n"), *(F.round(f("v"), 4).alias(n) for n, f in (("low", F.min), ("high", F.max), ("mean", F.avg))))
+
+
 @query("select event_id, round((value - m) / (s + 1e-8), 6) z from ev, (select avg(value) m, stddev_pop(value) s from ev where label = 0)", "ev")
 def zscore(spark, d):
     return scale.zscore(views.ev(spark, d), "value", F.col("label") == 0).select("event_id", r6("z").alias("z"))
@@ -296,3 +310,42 @@ def flatten(spark, d):
 @query("select stream_id, seq, round(avg(LIT101) over w, 4) history_mean, first_value(LIT101) over w history_first, LIT101 target from li window w as (partition by stream_id order by seq rows between 9 preceding and 1 preceding) qualify seq >= 9", "li")
 def hist_target(spark, d):
     return windows.history_target(views.li(spark, d), "LIT101", W).withColumn("history_mean", F.round("history_mean", 4))
+
+
+_HELD = f"a as (select * from (select stream_id, seq, {_LISTS} from li window w as (partition by stream_id order by seq rows {W} - 1 preceding)) where seq >= {W} - 1 and (seq - {W} + 1) % 10 = 0)"
+_HISTORY = " union all ".join(f"select stream_id, seq, '{c}' feature, unnest(range({W} - 1)) t, unnest({c}[1:{W} - 1]) as value, {c}[{W}] target from a" for c in CHANNELS)
+
+
+@query(f"with {_HELD} select stream_id, ((seq - {W} + 1) // 10)::bigint window_id, t::int t, feature, value, target from ({_HISTORY})", "li")
+def history_targets(spark, d):
+    """History and target of all features, from windows that adjoin (stride 10), cut inside tasks."""
+    made = windows.history_targets(frames.sliding_windows(views.li(spark, d), CHANNELS, W, 10))
+    cells = made.select("stream_id", "window_id", F.posexplode("history").alias("t", "row"), "target")
+    entries = F.array(*(F.struct(F.lit(c).alias("feature"), F.col("row")[k].alias("value"), F.col("target")[k].alias("target")) for k, c in enumerate(CHANNELS)))
+    return cells.select("stream_id", "window_id", "t", F.inline(entries))
+
+
+_KEPT = "n as (select *, lag(seq, 4) over w first_seq, row_number() over w - 5 place, sum(value) over (partition by stream_id order by seq rows 4 preceding) total, first_value(ts) over (partition by stream_id order by seq rows 4 preceding) window_start from ev where label = 0 window w as (partition by stream_id order by seq))"
+
+
+@query(f"with {_KEPT} select stream_id, first_seq::bigint window_id, window_start, ts window_end, round(total, 4) total from n where seq - first_seq = 4", "ev")
+def gap_windows(spark, d):
+    """Windows of five samples of what is left without samples of label 1: none goes across a removed sample."""
+    return _summed_windows(frames.sliding_windows(views.ev(spark, d).filter("label = 0"), ["value"], 5))
+
+
+@query(f"with {_KEPT} select stream_id, place::bigint window_id, window_start, ts window_end, round(total, 4) total from n where place >= 0", "ev")
+def straddling_windows(spark, d):
+    """The same with windows across removed samples."""
+    return _summed_windows(frames.sliding_windows(views.ev(spark, d).filter("label = 0"), ["value"], 5, contiguous=False))
+
+
+@query("select (seq - 29)::bigint window_id, first_value(ts) over w window_start, ts window_end, round(sum(value) over w, 4) total from one window w as (order by seq rows 29 preceding) qualify seq >= 29", "one")
+def long_windows(spark, d):
+    """All windows of thirty samples of all events as one stream, as arrays cut in buckets."""
+    return _summed_windows(frames.sliding_windows(views.one(spark, d), ["value"], 30, bucket=5000)).drop("stream_id")
+
+
+def _summed_windows(made):
+    total = F.aggregate(F.flatten("values"), F.lit(0.0), lambda s, x: s + x)
+    return made.select("stream_id", "window_id", "window_start", "window_end", F.round(total, 4).alias("total"))

@@ -172,7 +172,7 @@ def fuse_or(spark, d):
 
 @query(f"select round({THR}, 6) threshold", "ev")
 def pct_threshold(spark, d):
-    return thresholds.percentile_threshold(views.ev(spark, d), "value", P, F.col("label") == 0).select(r6("threshold").alias("threshold"))
+    return spark.createDataFrame([(threshold(spark, d),)], "threshold double").select(r6("threshold").alias("threshold"))
 
 
 _GRID = "grid as (select distinct t from (select unnest(quantile_cont(value, [" + ", ".join(repr(0.5 + (0.9995 - 0.5) * k / 199) for k in range(200)) + "])) t from ev))"

@@ -152,7 +152,7 @@ def test_alert_table(spark):
     assert got == {"a": ("CLOSED", 1), "b": ("OPEN", 2)}
     with_time = old.withColumns({"category": F.lit("PROCESS_ANOMALY"), "opened_at": F.timestamp_seconds("open_seq")})
     assert alerts.query_alerts(with_time, limit=-3).count() == 0
-    assert [r.alert_id for r in alerts.list_alerts(with_time, "ml_anomaly", "open").collect()] == ["b", "a"]
+    assert [r.alert_id for r in alerts.list_alerts(with_time, "process_anomaly", "open").collect()] == ["b", "a"]
     lines = spark.createDataFrame([('{"alert_id": "x", "open_seq": 1}',), ("{broken",), ('{"open_seq": 2}',)], "value string")
     good, bad = alerts.read_json_alerts(lines, spark.createDataFrame([], "alert_id string, open_seq long").schema)
     assert good.count() == 1 and bad.count() == 2
