@@ -6,7 +6,9 @@ small labelled table below, tells article text from the rest. Most labelled page
 web don't name their parts, so the tree decides by words, links and neighbours first and uses marks where these leave a
 doubt. Texts of script, style and other elements without prose never are blocks.
 
-Null and empty pages have no text; pages cut off inside a tag, a comment or a script end there; pages are
+Null and empty pages have no text; pages cut off inside a tag, a comment, a script or another element of raw text end there. A quote in a tag opens a string only behind an
+equals sign and only if it is closed, so stray apostrophes swallow nothing; buttons, selects, drawings and the like are left out up to their end tags, and those without an
+end tag leave what follows as it is. Pages are
 handled whole and one by one, so repeated rows and ties get equal texts and empty tables no rows. Only the id
 and html columns are read, and those to be kept.
 """
@@ -36,13 +38,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 OPAQUE = frozenset("script style textarea title iframe noscript".split())
 FURNITURE = frozenset("nav footer aside form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-#: Words in class or id that tell of things around an article.
-HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies dialog disqus disclaimer footer form gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promotion recommended recommendations related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget widgets".split()
-)
+#: Words in class or id that tell of things around an article: prose that isn't the article's, and lists of links and controls.
+FOREIGN = frozenset("ad ads advert adverts advertisement advertising adsense comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr login masthead newsletter promo promotion sidebar signup sponsor sponsored subscribe subscription taboola".split())
+CONTROLS = frozenset("breadcrumb breadcrumbs menu modal nav navbar navigation pager pagination popup recommended recommendations related replies reply respond share sharing skip social teaser toolbar topbar widget widgets".split())
+#: Words that also name parts of articles: they tell only where all the words of a name are of these kinds.
+COMMON = frozenset("alert banner dialog form notice search".split())
+LAYOUT = frozenset("area bar block box button buttons container content group inner link links list main outer page panel section site top bottom wrap wrapper".split())
+#: Elements whose text is silent up to their end tag; without one they say nothing of what follows.
+CLOSED = SILENT - OPAQUE - {"head"}
+#: The share of linked words under which a block counts as prose.
+PROSE_LINKS = 0.2
 _TAG = re.compile(r"<!--|<!\[CDATA\[|<[!?]|</?([a-zA-Z][^\s/>]*)")
-_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+# A quote opens a string only behind an equals sign, and only if it is closed.
+_REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+>""")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _NAMES = re.compile(r"[a-z0-9]+")
 FEATURES = ("words", "link_share", "words_before", "link_share_before", "words_after", "link_share_after", "heading", "paragraph", "item", "in_main", "page_has_main", "in_furniture", "hinted", "in_header")
 
@@ -53,20 +62,43 @@ class Block:
     words: int
     linked: int
     own: str  # the element whose text it is
-    marks: tuple[bool, bool, bool, bool]  # in main, in furniture, hinted, in header
+    marks: tuple[bool, bool, bool, bool, bool]  # in main, in furniture, foreign, control, in header
+
+
+def _hints(value: str) -> tuple[bool, bool]:
+    """Whether a class or id tells of foreign prose, and of links and controls."""
+    foreign = control = False
+    for name in value.split():
+        words = set(_NAMES.findall(name))
+        foreign = foreign or not FOREIGN.isdisjoint(words)
+        control = control or not CONTROLS.isdisjoint(words) or not COMMON.isdisjoint(words) and words <= COMMON | CONTROLS | LAYOUT
+    return foreign, control
+
+
+def _unclosed(page: str, name: str) -> set[int]:
+    """Where the start tags of `name` stand that no end tag answers."""
+    open_: list[int] = []
+    for tag in re.finditer(rf"<(/?){name}(?=[\s/>])", page, re.I):
+        if not tag[1]:
+            open_.append(tag.start())
+        elif open_:
+            open_.pop()
+    return set(open_)
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
+    unclosed: dict[str, set[int]] = {}
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # name, and marks that hold inside: main, furniture, hinted, header, silent
-    state = (False, False, False, False, False)
+    outside = (False,) * 6
+    stack: list[tuple[str, bool, bool, bool, bool, bool, bool]] = []  # name, and marks that hold inside: main, furniture, foreign, control, header, silent
+    state = outside
     links, at, end = 0, 0, len(page)
 
     def add(text: str) -> None:
-        if text and not state[4]:
+        if text and not state[5]:
             parts.append(text)
             if links:
                 linked.append(text)
@@ -76,7 +108,7 @@ def blocks(page: str) -> list[Block]:
             words = html.unescape("".join(parts)).split()
             if words:
                 own = next((name for name, *_ in reversed(stack) if name in BLOCK), "body")
-                out.append(Block(" ".join(words), len(words), len(html.unescape("".join(linked)).split()), own, state[:4]))
+                out.append(Block(" ".join(words), len(words), len(html.unescape("".join(linked)).split()), own, state[:5]))
             parts.clear()
             linked.clear()
 
@@ -111,7 +143,7 @@ def blocks(page: str) -> list[Block]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
-                    state = stack[-1][1:] if stack else (False, False, False, False, False)
+                    state = stack[-1][1:] if stack else outside
                     break
             continue
         if name == "br":
@@ -119,6 +151,9 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCK:
             flush()
             links = 0
+            if stack and stack[-1][0] == "head":  # a head without an end tag ends where the body begins
+                stack.pop()
+                state = stack[-1][1:] if stack else outside
         if name == "a":
             links = 1
         attributes = page[tag.end() : close - 1]
@@ -133,9 +168,14 @@ def blocks(page: str) -> list[Block]:
                 break
             at = after
             continue
-        if name in BLOCK or name in SILENT or attributes:
-            main, furniture, hinted, header, silent = state
-            silent = silent or name in SILENT
+        quiet = name in SILENT
+        if name in CLOSED:
+            if name not in unclosed:
+                unclosed[name] = _unclosed(page, name)
+            quiet = tag.start() not in unclosed[name]
+        if name in BLOCK or quiet or attributes:
+            main, furniture, foreign, control, header, silent = state
+            silent = silent or quiet
             furniture = furniture or name in FURNITURE
             header = header or name == "header"
             if name in ("article", "main"):
@@ -145,7 +185,8 @@ def blocks(page: str) -> list[Block]:
                     key, value = key.lower(), value.strip("\"'").lower()
                     if key in ("class", "id"):
                         names = set(_NAMES.findall(value))
-                        hinted = hinted or not HINTS.isdisjoint(names)
+                        found = _hints(value)
+                        foreign, control = foreign or found[0], control or found[1]
                         header = header or "header" in names
                         main = main or "articlebody" in names
                     elif key == "role":
@@ -157,8 +198,8 @@ def blocks(page: str) -> list[Block]:
                         silent = silent or value == "true"
                     elif key == "itemprop":
                         main = main or value == "articlebody"
-            new = (main, furniture, hinted, header, silent)
-            if name in BLOCK or name in SILENT or new != state:
+            new = (main, furniture, foreign, control, header, silent)
+            if name in BLOCK or quiet or new != state:
                 stack.append((name, *new))
                 state = new
     flush()
@@ -172,10 +213,11 @@ def features(found: list[Block]) -> np.ndarray:
     number = np.array([b.words for b in found], float)
     share, words = np.array([b.linked for b in found]) / number, np.minimum(number, LONG)
     kinds = np.array([(b.own[0] == "h" and b.own[1:].isdigit(), b.own in ("p", "blockquote", "pre"), b.own in ("li", "dt", "dd", "td", "th")) for b in found], float)
-    marks = np.array([b.marks for b in found], float)
+    main, furniture, foreign, control, header = np.array([b.marks for b in found], float).T
+    # Prose of some length inside an article is the article's, also where its element is named like a list of links.
+    hinted = np.maximum(foreign, control * (1 - main * (number >= LONG) * (share < PROSE_LINKS)))
     shift = lambda x, k: np.concatenate([[0.0], x[:-1]]) if k < 0 else np.concatenate([x[1:], [0.0]])
-    main = marks[:, 0]
-    return np.column_stack([words, share, shift(words, -1), shift(share, -1), shift(words, 1), shift(share, 1), kinds, main, np.full(len(found), main.max()), marks[:, 1:]])
+    return np.column_stack([words, share, shift(words, -1), shift(share, -1), shift(words, 1), shift(share, 1), kinds, main, np.full(len(found), main.max()), furniture, hinted, header])
 
 
 #: The labelled table: pages in which {+n} is a block of n words of article text and {-n} one of anything else.
