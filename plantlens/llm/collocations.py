@@ -367,7 +367,6 @@ def _ranked(unions: DataFrame, placed: DataFrame, total: int, ranges: int, swall
     for k in (1, 2, 3):
         known = words.select(F.col("id").alias(f"w{k}"), F.col("word").cast("string").alias(f"t{k}"), F.col("f").alias(f"f{k}"), *(["part", "part_n"] if k == 1 else []))
         rows = rows.join(known, f"w{k}", "left" if k == 3 else "inner")
-    exact = lambda c: F.col(c).cast("decimal(19,0)")
     rows = rows.select("part", "part_n", "a", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), F.col("f1").alias("l1"), F.coalesce("behind", "f2").alias("r1"), F.col("front").alias("l2"), F.when(F.col("w3").isNotNull(), F.col("f3")).alias("r2"))
     for k in (1, 2):
         rows = rows.withColumn(f"s{k}", F.expr(f"(cast(a as decimal(19,0)) * cast(a as decimal(19,0)) * 1000000BD) div (cast(l{k} as decimal(19,0)) * cast(r{k} as decimal(19,0)))"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 import zlib
@@ -20,7 +21,7 @@ from test_text_operators import brute_pii
 from tokenizers import Tokenizer
 
 from plantlens.llm import bpe, toxicity
-from plantlens.llm.catalog import QUERIES
+from plantlens.llm.catalog import ORACLES, QUERIES
 
 sha = lambda b: hashlib.sha256(b).hexdigest()
 lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
@@ -235,3 +236,27 @@ def test_op10(spark, folder, documents):
         assert sorted(scores[i]) == pytest.approx(sorted(scorer(texts[i])), abs=0.1), i
     for i in sorted(texts, key=crc)[:25] + [10_000_000 + k for k in range(11)]:
         assert scorer(texts[i]) == pytest.approx([slow_score(model, t) if len(t) < 50_000 else scorer([t])[0] for t in texts[i]], abs=1e-4), i
+
+
+def by_duckdb(folder, name, *columns):
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.execute(f"create view {table} as select * from '{folder}/{table}.parquet{'/*.parquet' if os.path.isdir(f'{folder}/{table}.parquet') else ''}'")
+    return Counter(con.execute(f"select {', '.join(columns)} from ({ORACLES[name]})").fetchall())
+
+
+def test_op9(spark, folder):
+    """On odd rows, against the SQL."""
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert rows(spark, folder, "op9_quality_rules", *columns) == by_duckdb(folder, "op9_quality_rules", *columns)
+
+
+def test_op9_rejects_by_its_certificates(spark):
+    """On a table with enough labels the method itself rejects, and few good documents."""
+    at = "/root/testdata/sf0.1"
+    columns = ["doc_id", "base_failed", "kept"]
+    got = rows(spark, at, "op9_quality_rules", *columns)
+    assert got == by_duckdb(at, "op9_quality_rules", *columns)
+    rejected = {i for i, failed, kept in got if not failed and not kept}
+    quality = dict(duckdb.sql(f"select doc_id, max(quality) from '{at}/labels.parquet' group by 1").fetchall())
+    assert len(rejected) > 500 and sum(quality.get(i) == 0 for i in rejected) > 250 and sum(quality.get(i) == 1 for i in rejected) <= 5
