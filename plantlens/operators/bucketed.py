@@ -46,6 +46,27 @@ def over_windows(df: DataFrame, size: int, columns: dict, bucket: int = 100_000,
     return made.filter(~F.col("is_halo")).drop("bucket", "is_halo")
 
 
+def starts_of(df: DataFrame, new: Column, bucket: int = 100_000, stream: list[str] = STREAM) -> DataFrame:
+    """Column run_start: the seq of the last row up to here at which `new` is true (null before the first), from buckets and one row for each."""
+    dealt = df.withColumns({"_new": F.coalesce(new, F.lit(False)), "bucket": F.expr(f"seq div {bucket}")})
+    w = Window.partitionBy(*stream, "bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.withColumn("_run_start", F.max(F.when(F.col("_new"), F.col("seq"))).over(w))
+    before = Window.partitionBy(*stream).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = dealt.groupBy(*stream, "bucket").agg(F.max("_run_start").alias("_last")).select(*stream, "bucket", F.max("_last").over(before).alias("_carry"))
+    return dealt.join(carry, [*stream, "bucket"]).withColumn("run_start", F.coalesce("_run_start", "_carry")).drop("bucket", "_new", "_run_start", "_carry")
+
+
+def running_sums(df: DataFrame, columns: dict[str, Column], bucket: int = 100_000, stream: list[str] = STREAM) -> DataFrame:
+    """Columns of running sums over each stream: sums inside buckets, and those of the buckets before through one row for each."""
+    dealt = df.withColumns({f"_x_{n}": c for n, c in columns.items()} | {"bucket": F.expr(f"seq div {bucket}")})
+    before = Window.partitionBy(*stream).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*stream, "bucket").agg(*(F.sum(f"_x_{n}").alias(f"_s_{n}") for n in columns))
+    carry = sums.select(*stream, "bucket", *(F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in columns))
+    w = Window.partitionBy(*stream, "bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    made = dealt.withColumns({n: F.sum(f"_x_{n}").over(w) for n in columns}).join(carry, [*stream, "bucket"])
+    return made.withColumns({n: F.col(n) + F.col(f"_c_{n}") for n in columns}).drop("bucket", *(f"_{k}_{n}" for n in columns for k in "xc"))
+
+
 def run_starts(df: DataFrame, state: Column, bucket: int = 100_000, stream: list[str] = STREAM) -> DataFrame:
     """Column run_start: the seq at which the run of equal `state` that a row is in began (nulls equal each other).
 

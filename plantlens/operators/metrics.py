@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantlens.functions.cells import over_threshold, ratio
 from plantlens.operators.order import STREAM, by_stream
-from plantlens.operators.segments import segments, with_run
+from plantlens.operators.segments import label_runs, with_run
 
 
 def confusion(df: DataFrame, truth: str = "label", pred: str = "pred", by: list[str] = ()) -> DataFrame:
@@ -114,7 +116,12 @@ def protocol_ladder(scored: DataFrame, stream: list[str] = STREAM, published: fl
         t, p = F.col(truth) == 1, F.col(pred) == 1
         counts = {"tp": t & p, "fp": ~t & p, "fn": t & ~p, "tn": ~t & ~p}
         cells.append(F.struct(F.lit(name).alias("protocol"), *(F.count_if(v).alias(k) for k, v in counts.items())))
-    out = with_rates(runs.agg(F.array(*cells).alias("rows")).select(F.inline("rows"))).select("protocol", "tp", "fp", "fn", "tn", "precision", "recall", "f1")
+    return ladder_rates(runs.agg(F.array(*cells).alias("rows")).select(F.inline("rows")), published, tolerance)
+
+
+def ladder_rates(counts: DataFrame, published: float | None = None, tolerance: float = 0.05) -> DataFrame:
+    """Rates of counted rungs, and the control of the first one against a published F1."""
+    out = with_rates(counts).select("protocol", "tp", "fp", "fn", "tn", "precision", "recall", "f1")
     if published is not None:
         out = out.withColumn("control_ok", (F.col("protocol") != "any_adjusted") | (F.abs(F.col("f1") - published) <= tolerance))
     return out
@@ -152,10 +159,8 @@ def transitions(df: DataFrame, pred: str = "pred", stream: list[str] = STREAM) -
     return made.select(*stream, "seq", "ts", F.when(F.col(pred) == 1, "onset").otherwise("recovery").alias("transition"))
 
 
-def segment_recall(df: DataFrame, truth: str = "label", pred: str = "pred", stream: list[str] = STREAM) -> DataFrame:
-    changed = F.coalesce(F.lag(truth).over(by_stream(stream)), F.lit(-1)) != F.col(truth)
-    runs = with_run(df, changed, stream).filter(F.col(truth) == 1).groupBy(*stream, "run_id").agg(F.max(pred).alias("hit"))
-    return runs.agg(F.count("*").alias("segments"), F.sum("hit").alias("detected")).withColumn("segment_recall", ratio(F.col("detected"), F.col("segments")))
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("DataFrame", "Window", "F", "annotations", "segments")]
+def segment_recall(df: DataFrame, truth: str = "label", pred: str = "pred", stream: list[str] = STREAM, runs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Segments of true rows, how many of them have a predicted row, and their share. runs: as in thresholds.f1_grid."""
+    numbered = label_runs(df, truth, stream) if runs is None else runs(df)
+    hits = numbered.filter(F.col(truth) == 1).groupBy(*stream, "run_id").agg(F.max(pred).alias("hit"))
+    return hits.agg(F.count("*").alias("segments"), F.sum("hit").alias("detected")).withColumn("segment_recall", ratio(F.col("detected"), F.col("segments")))

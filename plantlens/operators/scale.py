@@ -49,8 +49,12 @@ def fit_minmax_windows(df: DataFrame, features: list[str], size: int, stream: li
 
     Step t of a window runs over the rows from t on to size - 1 - t before the stream's end.
     """
-    n = F.count("*").over(Window.partitionBy(*stream))
-    placed = df.withColumn("_n", n).filter(F.col("_n") >= size)
+    # A stream's rows meet its number by a join, so that a long stream isn't gathered for it.
+    numbers = df.groupBy(*(F.col(c).alias(f"_k_{c}") for c in stream)).agg(F.count("*").alias("_n")).filter(F.col("_n") >= size)
+    same = F.lit(True)
+    for c in stream:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    placed = df.join(numbers, same)
     step = F.explode(F.sequence(F.greatest(F.lit(0), F.col("seq") - (F.col("_n") - size)), F.least(F.lit(size - 1), F.col("seq")))).alias("t")
     # Low and high steps only differ near the ends; each row meets its steps once.
     rows = placed.select(*features, step).groupBy("t").agg(*(g(f).alias(f"{n_}_{f}") for f in features for n_, g in (("low", F.min), ("high", F.max))))

@@ -16,6 +16,11 @@ def with_run(df: DataFrame, new_run: Column, stream: list[str] = STREAM, out: st
     return df.withColumn(out, F.sum(new_run.cast("int")).over(by_stream(stream).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def label_runs(df: DataFrame, label: str = "label", stream: list[str] = STREAM) -> DataFrame:
+    """Column run_id: the runs of equal labels of each stream."""
+    return with_run(df, F.coalesce(F.lag(label).over(by_stream(stream)), F.lit(-1)) != F.col(label), stream)
+
+
 def segments(df: DataFrame, condition: Column | None = None, stream: list[str] = STREAM) -> DataFrame:
     """Half-open runs [start_seq, stop_seq) of rows that meet the condition (label 1), with times and length."""
     hit = (F.col("label") == 1) if condition is None else condition

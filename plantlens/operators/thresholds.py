@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.operators.segments import with_run
-from plantlens.operators.order import STREAM, by_stream
+from plantlens.operators.order import STREAM
 from plantlens.operators.quantiles import exact_quantiles
+from plantlens.operators.segments import label_runs
 from plantlens.functions.cells import over_threshold, ratio
 
 
@@ -22,18 +24,18 @@ def threshold_value(df: DataFrame, score: str, p: float, where: Column | None =
     return exact_quantiles(df if where is None else df.filter(where), [score], [p / 100])[score][0]
 
 
-def f1_grid(df: DataFrame, score: str = "score", n_grid: int = 200, stream: list[str] = STREAM) -> DataFrame:
+def f1_grid(df: DataFrame, score: str = "score", n_grid: int = 200, stream: list[str] = STREAM, runs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Point-adjusted counts and F1 at n_grid quantiles (0.5 to 0.9995) of the scores.
 
     The quantiles are exact, by exact_quantiles. A positive segment counts whole once its highest score is over a threshold, so segment maxima and normal
-    scores are enough: they are bucketed by the grid and summed from above, without a pass for each threshold.
+    scores are enough: they are bucketed by the grid and summed from above, without a pass for each threshold. runs: adds run_id, the runs of equal
+    labels, to a frame (by default by a window function over each stream; long_streams has another).
     """
     found = exact_quantiles(df, [score], [0.5 + (0.9995 - 0.5) * k / (n_grid - 1) for k in range(n_grid)])[score]
     grid = F.array(*map(F.lit, sorted({x for x in found if x is not None}))).cast("array<double>")
-    changed = F.coalesce(F.lag("label").over(by_stream(stream)), F.lit(-1)) != F.col("label")
-    runs = with_run(df, changed, stream)
-    positive = runs.filter("label = 1").groupBy(*stream, "run_id").agg(F.max(score).alias("v"), F.count("*").alias("pos")).select("v", "pos", F.lit(0).cast("long").alias("neg"))
-    negative = runs.filter("label = 0").select(F.col(score).alias("v"), F.lit(0).cast("long").alias("pos"), F.lit(1).cast("long").alias("neg"))
+    numbered = label_runs(df, "label", stream) if runs is None else runs(df)
+    positive = numbered.filter("label = 1").groupBy(*stream, "run_id").agg(F.max(score).alias("v"), F.count("*").alias("pos")).select("v", "pos", F.lit(0).cast("long").alias("neg"))
+    negative = numbered.filter("label = 0").select(F.col(score).alias("v"), F.lit(0).cast("long").alias("pos"), F.lit(1).cast("long").alias("neg"))
     both = positive.unionByName(negative)
     level = F.size(F.filter(grid, lambda g: g < F.col("v")))  # thresholds 0 .. level - 1 are passed
     by_level = both.groupBy(level.alias("level")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -45,9 +47,9 @@ def f1_grid(df: DataFrame, score: str = "score", n_grid: int = 200, stream: list
     return made.select("threshold", "tp", "fp", "fn", ratio(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
-def best_f1(df: DataFrame, score: str = "score", n_grid: int = 200, stream: list[str] = STREAM) -> DataFrame:
+def best_f1(df: DataFrame, score: str = "score", n_grid: int = 200, stream: list[str] = STREAM, runs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The lowest threshold of the grid with the best point-adjusted F1."""
-    return f1_grid(df, score, n_grid, stream).orderBy(F.desc("f1"), "threshold").limit(1)
+    return f1_grid(df, score, n_grid, stream, runs).orderBy(F.desc("f1"), "threshold").limit(1)
 
 
 def evaluate(df: DataFrame, score: str = "score", mode: str = "best_f1", p: float = 99.0, normal: Column | None = None, stream: list[str] = STREAM) -> DataFrame:
@@ -59,14 +61,24 @@ def evaluate(df: DataFrame, score: str = "score", mode: str = "best_f1", p: floa
 
     if mode not in ("best_f1", "fixed"):
         raise ValueError("mode is best_f1 or fixed")
-    fixed = threshold_value(df, score, p, F.col("label") == 0 if normal is None else normal)
-    chosen = fixed if mode == "fixed" else best_f1(df, score, stream=stream).first()["threshold"]
-    at = lambda t: prf(df.withColumn("pred", over_threshold(score, t).cast("int")), point_adjusted=True, stream=stream)
-    row = at(chosen).select(F.lit(mode).alias("mode"), F.lit(chosen).alias("threshold"), "tp", "fp", "fn", "tn", "precision", "recall", "f1")
-    return row.withColumn("f1_fixed", F.col("f1") if mode == "fixed" else F.lit(at(fixed).first()["f1"]))
+    kept = df.select(*stream, "seq", "label", score, (F.col("label") == 0 if normal is None else normal).alias("_normal")).persist()
+    try:  # what is returned is one row, so the frame is walked while it is held and no more
+        fixed = threshold_value(kept, score, p, F.col("_normal"))
+        chosen = fixed if mode == "fixed" else best_f1(kept, score, stream=stream).first()["threshold"]
+        at = lambda t: prf(kept.withColumn("pred", over_threshold(score, t).cast("int")), point_adjusted=True, stream=stream).first()
+        best = at(chosen)
+        row = (mode, chosen, *(best[c] for c in ("tp", "fp", "fn", "tn", "precision", "recall", "f1")), best["f1"] if mode == "fixed" else at(fixed)["f1"])
+    finally:
+        kept.unpersist()
+    return df.sparkSession.createDataFrame([row], "mode string, threshold double, tp long, fp long, fn long, tn long, precision double, recall double, f1 double, f1_fixed double")
 
 
 def fp_sweep(runs: DataFrame, grid: list[int], run: str = "run_length") -> DataFrame:
-    """Per threshold: features triggered by a run of at least that length, and the share of rows that trigger."""
-    counts = [F.struct(F.lit(t).alias("threshold"), F.count_if(F.col(run) >= t).alias("fp"), F.countDistinct(F.when(F.col(run) >= t, F.col("channel"))).alias("triggered")) for t in grid]
-    return runs.agg(F.array(*counts).alias("rows"), F.count("*").alias("n")).select("n", F.inline("rows")).select("threshold", "triggered", "fp", (F.col("fp") / F.col("n")).alias("fp_rate"))
+    """Per threshold: features triggered by a run of at least that length, and the share of rows that trigger.
+
+    One aggregate by channel has the longest run and the counts of all thresholds; channels are added up from it.
+    """
+    counts = [F.count_if(F.col(run) >= t).alias(f"fp{k}") for k, t in enumerate(grid)]
+    by_channel = runs.groupBy("channel").agg(F.max(run).alias("longest"), F.count("*").alias("n"), *counts)
+    rows = [F.struct(F.lit(t).alias("threshold"), F.count_if(F.col("longest") >= t).alias("triggered"), F.sum(f"fp{k}").alias("fp")) for k, t in enumerate(grid)]
+    return by_channel.agg(F.array(*rows).alias("rows"), F.sum("n").alias("n")).select("n", F.inline("rows")).select("threshold", "triggered", "fp", (F.col("fp") / F.col("n")).alias("fp_rate"))

@@ -272,7 +272,10 @@ def _rung(name: str, truth: str, column: str) -> str:
     return f"(with {p} select '{name}' protocol, tp, fp, fn, tn, round({PRF} from (select {CONF.format(t='label', p=column)} from ({ADJ})))"
 
 
-@query(f"with {_LADDER} " + " union all ".join([_rung("any_adjusted", "label_any", "adjusted"), _rung("last_adjusted", "label_last", "adjusted"), _rung("last_pointwise", "label_last", "pred")]), "ev")
+LADDER = f"with {_LADDER} " + " union all ".join([_rung("any_adjusted", "label_any", "adjusted"), _rung("last_adjusted", "label_last", "adjusted"), _rung("last_pointwise", "label_last", "pred")])
+
+
+@query(LADDER, "ev")
 def protocol_ladder(spark, d):
     rows = predicted(spark, d)
     labels = windows.window_labels(rows, 5)

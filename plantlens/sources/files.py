@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from plantlens.functions.cells import normalise_label, parse_ts
 
-#: Names that mark time and label columns where no schema is given, first hit first, case ignored.
+#: Names that mark time and label columns where no schema is given, first hit first, case ignored.
 TIME_NAMES = ("timestamp", "time", "date", "row", "datetime")
 LABEL_NAMES = ("normal/attack", "label", "y", "attack", "class")
 
+#: Up to so many files their ranks are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_FILES = 100_000
+
 
 def _pick(names: list[str], wanted: tuple[str, ...]) -> str | None:
     lower = {n.lower(): n for n in reversed(names)}
@@ -66,7 +69,7 @@ def read_telemetry_csv(spark: SparkSession, pattern: str, exclude: str | None =
         names = list(header)
         raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", "_bad").schema(", ".join(f"`c{k}` string" for k in range(len(names))) + ", _bad string").csv(paths)
         raw = raw.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), "_bad", plain("_metadata.file_path").alias("_file"))
-        raw = raw.join(F.broadcast(ranks), "_file").drop("_file")  # a row for each file
+        raw = raw.join(F.broadcast(ranks) if len(files) <= BROADCAST_FILES else ranks, "_file").drop("_file")  # a row for each file
         t, y = time or _pick(names, TIME_NAMES), label or _pick(names, LABEL_NAMES)
         features = [n for n in names if n not in (t, y)]
         # Filters, so that no projection can prune the check; they also need a field besides the raw row.
