@@ -8,10 +8,11 @@ of the rounded ones, largest first, and small pieces are then put where they fit
 The plan needs nothing but the number of pieces of each size, which is at most `capacity` rows however large the
 corpus is; pieces of one size are interchangeable, so the plan speaks of ranks among the pieces of a size and
 has at most a few thousand runs of ranks. Ranks are dealt in Spark: pieces are numbered inside salted parts of
-a size, and the parts' counts give the offsets, so a size that a third of all pieces has is never in one task.
+a size, and the parts' counts give the offsets, so a size that a third of all pieces has is never in one task. Ranks meet runs by
+stretches of ranks, so a piece of a size with thousands of runs is held against few of them.
 
 Null and empty texts are a document of one token, the end mark. Rows are packed one by one, so repeated rows and ties take
-different places. Empty tables give no rows. Only the id and text columns are read.
+different places; rows that repeat an id, even one that a third of all rows have, are dealt like any others. Empty tables give no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -222,9 +223,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
 def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, groups: int = GROUPS, spaced: bool = False) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = df.sparkSession
-    items = settle(pieces(df, vocabulary, id_col, text_col, capacity, end_id, spaced))
-    salts = shuffle_width(spark)
-    items = items.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int"))
+    # Salted row by row, so that rows which repeat an id or a piece don't meet; what is written is salted once and for all.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(shuffle_width(spark))).cast("int")
+    items = settle(pieces(df, vocabulary, id_col, text_col, capacity, end_id, spaced).withColumn("salt", salt))
     # At most capacity * salts rows; the driver gets `capacity` of them at most.
     parts = settle(items.groupBy("length", "salt").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -237,12 +238,21 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     ranked = items.withColumn("own", F.row_number().over(own) - 1).join(offsets.hint("merge"), ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("ahead") + F.col("own"))
     # The plan's runs: their number follows from the sizes, groups and patterns, not from the documents. They are counted all the same.
-    by_size: dict[int, list] = {}
-    for size, rank, n, first, offset in runs:
-        by_size.setdefault(size, []).append((rank, n, first, offset))
-    places = spark.createDataFrame(
-        [(size, rank, rank + n, first, offset) for size, own_runs in by_size.items() for rank, n, first, offset in own_runs],
-        "length long, low long, high long, first long, offset long",
-    )
-    placed = ranked.join(small(places, len(runs), 48), (ranked["length"] == places["length"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    # Ranks and runs of a size meet by stretches of ranks, of which a size has about as many as runs.
+    width, pairs = stretches(runs, counts)
+    places = spark.createDataFrame([(size, rank, rank + n, first, offset, width[size]) for size, rank, n, first, offset in runs], "length long, low long, high long, first long, offset long, width long")
+    places = places.withColumn("stretch", F.explode(F.sequence(F.expr("low div width"), F.expr("(high - 1) div width")))).drop("width")
+    widths = spark.createDataFrame(list(width.items()), "length long, width long")  # `capacity` rows at most
+    ranked = ranked.join(F.broadcast(widths), "length").withColumn("stretch", F.expr("rank div width"))
+    there = (ranked["length"] == places["length"]) & (ranked["stretch"] == places["stretch"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+    placed = ranked.join(small(places, pairs, 56), there)
     return placed.select(F.col("id").alias(id_col), "piece", "start", ranked["length"], "ids_crc32", (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
+
+
+def stretches(runs: list[tuple], counts: dict[int, int]) -> tuple[dict[int, int], int]:
+    """For each size the ranks to a stretch, so that it has no more stretches than runs; and how many pairs of a run and a stretch meet (under two for each run)."""
+    many: dict[int, int] = {}
+    for size, *_ in runs:
+        many[size] = many.get(size, 0) + 1
+    width = {size: -(-counts[size] // n) for size, n in many.items()}
+    return width, sum((rank + n - 1) // width[size] - rank // width[size] + 1 for size, rank, n, _, _ in runs)

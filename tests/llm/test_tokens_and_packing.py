@@ -118,3 +118,34 @@ def test_pack(spark, odd_docs, no_docs):
         ends = [a + s for a, s in sorted(b)]
         assert [a for a, _ in sorted(b)] == [0, *ends[:-1]] and ends[-1] <= 2048
     assert packing.pack(no_docs, WORD).count() == 0
+
+
+def test_hot_sizes_meet_few_runs():
+    """With as many empty documents as there can be, a piece is still held against about one run: comparisons follow the pieces."""
+    rng = np.random.default_rng(2)
+    sizes = np.clip(rng.lognormal(5.5, 1.2, 100_000).astype(int), 1, 2048)
+    counts = Counter(sizes.tolist())
+    counts[1] += 60_000
+    runs = sorted(packing.plan(dict(counts)))
+    width, pairs = packing.stretches(runs, counts)
+    assert sum(size == 1 for size, *_ in runs) > 1000 and pairs < 2 * len(runs)
+    held = Counter()
+    for size, rank, n, _, _ in runs:
+        for k in range(rank // width[size], (rank + n - 1) // width[size] + 1):
+            held[size, k] += 1
+    compared = sum(n * min(width[size], counts[size] - k * width[size]) for (size, k), n in held.items())
+    assert compared <= 3 * sum(counts.values())
+
+
+def test_pack_rows_that_repeat_an_id(spark):
+    """A hot id: all its rows are placed, also beside thousands of equal and of empty ones."""
+    df = spark.range(6000).selectExpr("1 doc_id", "case when id % 3 = 0 then null when id % 3 = 1 then 'the same text' else repeat('a few more words ', cast(id % 50 as int)) end text", "'x' salt", "2 width")
+    rows = packing.pack(df, WORD).collect()
+    assert len(rows) == 6000
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        ends = [a + n for a, n in sorted(b)]
+        assert [a for a, _ in sorted(b)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert len(bins) <= sum(r.length for r in rows) / 2048 * 1.02 + 2
