@@ -159,3 +159,12 @@ def test_forest_of_small_tables(spark):
     forest = models.IsolationForest(["a", "b"], "key", n_trees=60).fit(rows)
     scores = {r.key: r.score for r in forest.score(rows).collect()}
     assert scores[99] == max(scores.values()) > 0.7 and 0.3 < np.median(list(scores.values())) < 0.55
+
+
+def test_missing_values_and_labels(spark):
+    x, frame = waves(spark, 60)
+    model = window_models.WindowReconstructor(["a", "b"], 5, 2).fit(frame(x))
+    holed = frame(x).withColumns({"a": F.when(F.col("seq") != 30, F.col("a")), "label": F.when(F.col("seq") != 40, F.lit(0))})
+    got = {r.seq: r for r in window_models.score_windows(holed, ["a", "b"], 5, model.reconstruct()).collect()}
+    assert len(got) == 56 and [s for s, r in got.items() if r.window_error != r.window_error] == list(range(30, 35))
+    assert all(r.label_any == 0 for r in got.values()) and got[40].label_last is None
