@@ -33,6 +33,9 @@ SLICE_BYTES = 1 << 20
 #: Bytes of a worker's memo (pieces, their values and the table's slots), and the longest piece that is kept.
 MEMO_BYTES, MEMO_CHARS = 160 << 20, 48
 
+#: Words of one run of letters, of which a vocabulary with word ends makes one word each; so many are encoded at a time.
+_PLAIN, JOINED = re.compile("[a-zß-öø-ÿ]+"), 2000
+
 _SPACES = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _CROSSED, _BLANK_INSIDE = re.compile(r"\S |\S\n|\n\S"), re.compile(r"\s.|.\s", re.S)
@@ -124,6 +127,17 @@ def cuts_hold(tokenizer, spaced: bool) -> bool:
     return tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str(capitals) == capitals.lower() and ids("a \n \n b") == ids("a") + ids("b")
 
 
+def word_ends(tokenizer) -> np.ndarray | None:
+    """Which ids end a word, for vocabularies that mark them by </w>; None for others."""
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    if suffix != "</w>":
+        return None
+    vocabulary = tokenizer.get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+    return out
+
+
 class PieceCoder:
     """Encodes texts through their pieces. `make` turns a piece's encoding into what is kept and joined."""
 
@@ -134,6 +148,7 @@ class PieceCoder:
         self.line_break = make(tokenizer.encode("\n", add_special_tokens=False))
         self.first: dict = {}
         self.later: dict = {}
+        self.ends = word_ends(tokenizer) if self.cut and not spaced and make in (packed, len) else None
 
     def _learn(self, memo: dict, missing: list[str], prefix: str) -> None:
         """Add the values of missing pieces to the memo.
@@ -156,17 +171,36 @@ class PieceCoder:
                 stems.add(stem)
             if mark or stem != piece:
                 parts.append((piece, stem, mark))
-        todo, make = list(stems), self.make
+        todo = list(stems)
+        if self.ends is not None:  # plain words go many at a time
+            plain = list(filter(_PLAIN.fullmatch, todo))
+            for start in range(0, len(plain), JOINED):
+                some = plain[start : start + JOINED]
+                if (values := self._joined(some)) is not None:
+                    memo.update(zip(some, values, strict=True))
+                    self.weight += self._weigh(some, values)
+            todo = [s for s in todo if s not in memo]
         for start in range(0, len(todo), 20_000):
             some = todo[start : start + 20_000]
             encoded = self.tokenizer.encode_batch_fast([prefix + s for s in some] if prefix else some, add_special_tokens=False)
-            values = list(map(make, encoded))
+            values = list(map(self.make, encoded))
             memo.update(zip(some, values, strict=True))
             self.weight += self._weigh(some, values)
         for piece, stem, mark in parts:
             memo[piece] = memo[stem] + marks[mark] if mark else memo[stem]
         self.weight += self._weigh([p for p, _, _ in parts], [memo[p] for p, _, _ in parts])
 
+    def _joined(self, words: list[str]) -> list | None:
+        """The values of plain words, encoded as one text and told apart by the tokens that end words; None if these aren't as many as the words."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return None
+        if self.make is len:
+            return np.diff(stops, prepend=0).tolist()
+        raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
     @staticmethod
     def _weigh(pieces: list[str], values: list) -> int:
         """Bytes that entries of the memo take: both objects and about 100 of the table."""

@@ -149,3 +149,16 @@ def test_pack_rows_that_repeat_an_id(spark):
         ends = [a + n for a, n in sorted(b)]
         assert [a for a, _ in sorted(b)] == [0, *ends[:-1]] and ends[-1] <= 2048
     assert len(bins) <= sum(r.length for r in rows) / 2048 * 1.02 + 2
+
+
+def test_plain_words_are_encoded_many_at_a_time():
+    """Joined words come apart as the library encodes them one by one, whatever stands between them."""
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghijklmnopqrstuvwxyzßàéîõüÿ")
+    words = ["".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(6000)] + ["don't", "naïve.", "ÀÉ", "ﬁ", "İ", "<|startoftext|>", "x<|endoftext|>y", "öx", "zz" * 60]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(400)] + words[-9:] + [""]
+    exact = [e.ids for e in Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)]
+    coder = bpe.PieceCoder(bpe.load_tokenizer(WORD), bpe.packed, False)
+    assert coder.ends is not None
+    assert coder(texts, b"".join) == [np.array(e, "<u4").tobytes() for e in exact]
+    assert bpe.PieceCoder(bpe.load_tokenizer(WORD), len, False)(texts, sum) == list(map(len, exact))
