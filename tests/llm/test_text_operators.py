@@ -180,48 +180,48 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert scorer([" ".join(common) + " grumbo zaxxil worblet grumbo"])[0] > scorer([" ".join(common)])[0]
 
 
-WORDS = lambda n: " ".join(["word"] * n)
+prose = lambda n: " ".join(["word"] * n)
 
 
 def article(inside):
-    return f"<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav><article><h1>Head line of it</h1><p>{WORDS(30)} first</p>{inside}<p>{WORDS(25)} last</p></article><footer>{WORDS(9)} foot</footer></body></html>"
+    return f"<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav><article><h1>Head line of it</h1><p>{prose(30)} first</p>{inside}<p>{prose(25)} last</p></article><footer>{prose(9)} foot</footer></body></html>"
 
 
 @pytest.mark.parametrize(
     ("inside", "kept"),
     [
-        (f"<p><a href=/it's>link text</a> hello {WORDS(20)}</p><p>second isn't lost {WORDS(20)}</p>", [f"link text hello {WORDS(20)}", f"second isn't lost {WORDS(20)}"]),
-        (f'<p title="a>b" data-x=\'c>d\'>{WORDS(20)}</p>', [WORDS(20)]),
-        (f'<p title="never closed>{WORDS(20)}</p><p>{WORDS(21)}</p>', [WORDS(20), WORDS(21)]),
-        (f'<p ">{WORDS(20)}</p><p \' x=y\'>{WORDS(21)}</p>', [WORDS(20), WORDS(21)]),
-        (f"<p class = 'x' checked>{WORDS(20)}</p>", [WORDS(20)]),
-        (f"<button>Like<p>{WORDS(20)}</p>", ["Like", WORDS(20)]),
-        (f"<button>Like<p>{WORDS(20)}</p><button><div>Share it</div></button>", ["Like", WORDS(20)]),
-        (f"<button><div>Subscribe now</div></button><p>{WORDS(20)}</p>", [WORDS(20)]),
-        (f"<svg viewBox='0 0 1 1'><path d='M0'><p>{WORDS(20)}</p>", [WORDS(20)]),
-        (f"<svg><text>drawn</text><svg><text>more</text></svg></svg><p>{WORDS(20)}</p>", [WORDS(20)]),
-        (f"<object data=x><p>{WORDS(20)}</p>", [WORDS(20)]),
-        (f"<video src=x><p>{WORDS(20)}</p><p>{WORDS(22)}</p>", [WORDS(20), WORDS(22)]),
-        (f"<select><option>one</option></select><p>{WORDS(20)}</p>", [WORDS(20)]),
-        (f"<div class='search-results'><p>{WORDS(20)}</p><p>{WORDS(30)}</p></div>", [WORDS(20), WORDS(30)]),
-        (f"<div class='related-work'><p>{WORDS(30)}</p></div>", [WORDS(30)]),
-        (f"<div class='search-form'><p>{WORDS(5)}</p></div>", []),
-        (f"<div id=comments><p>{WORDS(30)}</p></div>", []),
-        (f"<div class='related'><a href=x>{WORDS(7)}</a><a href=x>{WORDS(8)}</a></div>", []),
+        (f"<p><a href=/it's>link text</a> hello {prose(20)}</p><p>second isn't lost {prose(20)}</p>", [f"link text hello {prose(20)}", f"second isn't lost {prose(20)}"]),
+        (f'<p title="a>b" data-x=\'c>d\'>{prose(20)}</p>', [prose(20)]),
+        (f'<p title="never closed>{prose(20)}</p><p>{prose(21)}</p>', [prose(20), prose(21)]),
+        (f'<p ">{prose(20)}</p><p \' x=y\'>{prose(21)}</p>', [prose(20), prose(21)]),
+        (f"<p class = 'x' checked>{prose(20)}</p>", [prose(20)]),
+        (f"<button>Like<p>{prose(20)}</p>", ["Like", prose(20)]),
+        (f"<button>Like<p>{prose(20)}</p><button><div>Share it</div></button>", ["Like", prose(20)]),
+        (f"<button><div>Subscribe now</div></button><p>{prose(20)}</p>", [prose(20)]),
+        (f"<svg viewBox='0 0 1 1'><path d='M0'><p>{prose(20)}</p>", [prose(20)]),
+        (f"<svg><text>drawn</text><svg><text>more</text></svg></svg><p>{prose(20)}</p>", [prose(20)]),
+        (f"<object data=x><p>{prose(20)}</p>", [prose(20)]),
+        (f"<video src=x><p>{prose(20)}</p><p>{prose(22)}</p>", [prose(20), prose(22)]),
+        (f"<select><option>one</option></select><p>{prose(20)}</p>", [prose(20)]),
+        (f"<div class='search-results'><p>{prose(20)}</p><p>{prose(30)}</p></div>", [prose(20), prose(30)]),
+        (f"<div class='related-work'><p>{prose(30)}</p></div>", [prose(30)]),
+        (f"<div class='search-form'><p>{prose(5)}</p></div>", []),
+        (f"<div id=comments><p>{prose(30)}</p></div>", []),
+        (f"<div class='related'><a href=x>{prose(7)}</a><a href=x>{prose(8)}</a></div>", []),
     ],
 )
 def test_html_of_careless_authors(inside, kept):
     """Stray quotes and elements without end tags lose nothing; class words decide about links and foreign prose only."""
     page, tree = article(inside), html_text.train()
-    assert html_text.main_text(page, tree).split("\n\n") == ["Head line of it", f"{WORDS(30)} first", *kept, f"{WORDS(25)} last"]
+    assert html_text.main_text(page, tree).split("\n\n") == ["Head line of it", f"{prose(30)} first", *kept, f"{prose(25)} last"]
 
 
 def test_html_heads_without_end_and_cut_pages():
     tree = html_text.train()
-    page = f"<head><title>x</title><meta a=b><body><article><h1>a b c</h1><p>{WORDS(40)}</p><p>{WORDS(30)}</p>"
-    assert html_text.main_text(page, tree) == f"a b c\n\n{WORDS(40)}\n\n{WORDS(30)}"
+    page = f"<head><title>x</title><meta a=b><body><article><h1>a b c</h1><p>{prose(40)}</p><p>{prose(30)}</p>"
+    assert html_text.main_text(page, tree) == f"a b c\n\n{prose(40)}\n\n{prose(30)}"
     for cut in ("<p class='", "<!-- ", "<script>", "<textarea>", "<p", "<![CDATA["):
-        assert html_text.main_text(f"<article><p>{WORDS(40)}</p>{cut}", tree) == WORDS(40)
+        assert html_text.main_text(f"<article><p>{prose(40)}</p>{cut}", tree) == prose(40)
     # As long as it is: time grows with the page.
-    assert html_text.main_text("<button>" * 50_000 + f"<article><p>{WORDS(40)}</p></article>", tree) == WORDS(40)
-    assert html_text.main_text("<p a='" * 50_000 + '<a b="' * 50_000 + f"><article><p>{WORDS(40)}</p></article>", tree).endswith(WORDS(40))
+    assert html_text.main_text("<button>" * 50_000 + f"<article><p>{prose(40)}</p></article>", tree) == prose(40)
+    assert html_text.main_text("<p a='" * 50_000 + '<a b="' * 50_000 + f"><article><p>{prose(40)}</p></article>", tree).endswith(prose(40))
