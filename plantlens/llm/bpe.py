@@ -5,7 +5,9 @@ start before and end after ("safe" boundaries), equal pieces of a batch are enco
 library's batch call, and a bounded memo keeps the short pieces met lately. Whole texts are always encoded.
 
 Cutting is sound only if no token crosses a cut; `cuts_hold` proves that from the vocabulary itself when it is
-loaded, and texts of a vocabulary for which it doesn't hold are encoded uncut.
+loaded, and texts of a vocabulary for which it doesn't hold are encoded uncut. Where a vocabulary parts letters from
+anything else before it merges (`parts_words`), texts of Latin-1 characters are cut there too, so that a word is one
+piece in whatever case and beside whatever marks it stands.
 
 Nulls are empty texts; empty texts have no tokens; rows are independent, so repeated rows, ties and empty
 tables need no care; only the id and text columns are read, so further columns may have any names.
@@ -15,11 +17,13 @@ from __future__ import annotations
 
 import base64
 import gc
+import json
 import os
 import re
 import struct
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,13 @@ MEMO_BYTES, MEMO_CHARS = 160 << 20, 48
 #: Words of one run of letters, of which a vocabulary with word ends makes one word each; so many are encoded at a time.
 _PLAIN, JOINED = re.compile("[a-zß-öø-ÿ]+"), 2000
 
+#: The pre-tokeniser and normaliser of vocabularies that part letters from anything else and lower all of them.
+_WORDS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_LOWERED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: Latin-1, byte by byte: its small letters, and the kinds of lowered bytes (0: between pieces, 1: letters, 2: anything else).
+_LOWER = "".join(map(chr, range(256))).lower().encode("latin-1")
+_KIND = np.array([0 if c in " \n" else 1 if c.isalpha() else 2 for c in map(chr, range(256))], np.uint8)
+
 _SPACES = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _CROSSED, _BLANK_INSIDE = re.compile(r"\S |\S\n|\n\S"), re.compile(r"\s.|.\s", re.S)
@@ -138,6 +149,53 @@ def word_ends(tokenizer) -> np.ndarray | None:
     return out
 
 
+def parts_words(tokenizer) -> bool:
+    """Whether the vocabulary's own splitting is `_WORDS` over `_LOWERED`, on which the cuts of `latin_pieces` rest."""
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None:
+        return False
+    split = json.loads(tokenizer.pre_tokenizer.__getstate__()).get("pretokenizers", [{}])
+    return split[0] == _WORDS and [s["type"] for s in split[1:]] == ["ByteLevel"] and json.loads(tokenizer.normalizer.__getstate__()).get("normalizers") == _LOWERED
+
+
+def plain_words(tokenizer):
+    """The same model for lowered words between single spaces, which need neither the normaliser nor the pattern."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    made = Tokenizer(tokenizer.model)
+    made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return made
+
+
+def is_latin(text: str) -> bool:
+    """Whether latin_pieces may cut a text: Latin-1 characters only, and no special token."""
+    if "<|" in text:
+        return False
+    try:
+        return text.isascii() or text.encode("latin-1") is not None
+    except UnicodeEncodeError:
+        return False
+
+
+def latin_pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct lowered pieces, the number among them of each piece of all texts, and where each text's pieces end.
+
+    A piece is a run of letters or a run of anything else but spaces and line breaks. Letters behind an apostrophe
+    stay with it ('s and the like); at any other end of a run of letters `_WORDS` ends a match, and the composed form of
+    Latin-1 characters, each by each, is themselves.
+    """
+    raw = np.frombuffer(("\n" + "\n".join(texts)).encode("latin-1").translate(_LOWER), np.uint8)
+    kind = _KIND[raw]
+    heads = np.zeros(len(raw), bool)
+    heads[1:] = (kind[1:] != kind[:-1]) & (kind[1:] != 0) & ((kind[1:] != 1) | (raw[:-1] != ord("'")))
+    kept = kind != 0
+    starts = np.flatnonzero(heads[kept])
+    data = raw[kept]
+    offsets = np.append(starts, len(data)).astype("<i4")
+    found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    last = np.cumsum([len(t) + 1 for t in texts])
+    return [p.decode("latin-1") for p in found.dictionary.to_numpy(zero_copy_only=False).tolist()], found.indices.to_numpy(), np.searchsorted(np.flatnonzero(heads), last)
+
+
 class PieceCoder:
     """Encodes texts through their pieces. `make` turns a piece's encoding into what is kept and joined."""
 
@@ -149,6 +207,8 @@ class PieceCoder:
         self.first: dict = {}
         self.later: dict = {}
         self.ends = word_ends(tokenizer) if self.cut and not spaced and make in (packed, len) else None
+        self.by_words = self.ends is not None and make is packed and parts_words(tokenizer)
+        self.plain = plain_words(tokenizer) if self.ends is not None and parts_words(tokenizer) else tokenizer
 
     def _learn(self, memo: dict, missing: list[str], prefix: str) -> None:
         """Add the values of missing pieces to the memo.
@@ -171,7 +231,13 @@ class PieceCoder:
                 stems.add(stem)
             if mark or stem != piece:
                 parts.append((piece, stem, mark))
-        todo = list(stems)
+        self._add(memo, list(stems), prefix)
+        for piece, stem, mark in parts:
+            memo[piece] = memo[stem] + marks[mark] if mark else memo[stem]
+        self.weight += self._weigh([p for p, _, _ in parts], [memo[p] for p, _, _ in parts])
+
+    def _add(self, memo: dict, todo: list[str], prefix: str) -> None:
+        """Encode distinct pieces and add them to the memo."""
         if self.ends is not None:  # plain words go many at a time
             plain = list(filter(_PLAIN.fullmatch, todo))
             for start in range(0, len(plain), JOINED):
@@ -186,13 +252,10 @@ class PieceCoder:
             values = list(map(self.make, encoded))
             memo.update(zip(some, values, strict=True))
             self.weight += self._weigh(some, values)
-        for piece, stem, mark in parts:
-            memo[piece] = memo[stem] + marks[mark] if mark else memo[stem]
-        self.weight += self._weigh([p for p, _, _ in parts], [memo[p] for p, _, _ in parts])
 
     def _joined(self, words: list[str]) -> list | None:
         """The values of plain words, encoded as one text and told apart by the tokens that end words; None if these aren't as many as the words."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words) or stops[-1] != len(ids):
             return None
@@ -201,6 +264,28 @@ class PieceCoder:
         raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
         return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts that latin_pieces may cut: each distinct piece is looked up once, and its ids are dealt to its places."""
+        if not texts:
+            return []
+        pieces, which, last = latin_pieces(texts)
+        memo = self.later
+        values = list(map(memo.get, pieces))
+        holes = [k for k, v in enumerate(values) if v is None]
+        missing = [pieces[k] for k in holes]
+        self._add(memo, missing, "")
+        for k, piece in zip(holes, missing, strict=True):
+            values[k] = memo[piece]
+        self._bound(memo, missing)
+        known = np.frombuffer(b"".join(values), "<u4")
+        sizes = np.array(list(map(len, values)), np.int64) // 4
+        firsts = np.cumsum(sizes) - sizes
+        counts = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        raw = known[np.repeat(firsts[which] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+        stops = (4 * ends[last]).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
     @staticmethod
     def _weigh(pieces: list[str], values: list) -> int:
         """Bytes that entries of the memo take: both objects and about 100 of the table."""
@@ -215,13 +300,17 @@ class PieceCoder:
         self._learn(memo, list(missing), prefix)
         for k in holes:
             values[k] = list(map(memo.__getitem__, lists[k]))
-        for piece in [p for p in missing if len(p) > MEMO_CHARS]:  # and their stems
+        self._bound(memo, missing)
+        return values
+
+    def _bound(self, memo: dict, learnt: Iterable[str]) -> None:
+        """Forget long pieces and their stems, and everything once the memos are too heavy."""
+        for piece in [p for p in learnt if len(p) > MEMO_CHARS]:
             for known in (piece, piece[:-1]):
                 if known in memo:
                     self.weight -= self._weigh([known], [memo.pop(known)])
         if self.weight > MEMO_BYTES:
             self.first, self.later, self.weight = {}, {}, 0
-        return values
 
     def __call__(self, texts: list[str], join: Callable) -> list:
         """join(values of a text's pieces) for each text."""
@@ -235,7 +324,10 @@ class PieceCoder:
         if not self.cut:
             return [join([self.make(e)]) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if not self.spaced:
-            return [join(v) for v in self._look_up(self.later, [cut_at_spaces(t) for t in texts], "")]
+            latin = [self.by_words and is_latin(t) for t in texts]
+            words = iter(self._by_words(list(compress(texts, latin))))
+            rest = iter(self._look_up(self.later, [cut_at_spaces(t) for t, easy in zip(texts, latin, strict=True) if not easy], ""))
+            return [join([next(words)] if easy else next(rest)) for easy in latin]
         cut = [cut_before_spaces(t) for t in texts]
         lines = [line for text in cut for line in text]
         heads = self._look_up(self.first, [[line.pop(0)] for line in lines], "")

@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantlens.llm.bpe import SLICE_BYTES, coder
+from plantlens.llm.bpe import coder
 from plantlens.llm.common import settle, shuffle_width, sliced, small
 
+#: Bytes of text coded at a time inside a task: a word that repeats in them is looked up once.
+SLICE_BYTES = 4 << 20
 #: Tokens in a sequence, and the id that ends a document.
 CAPACITY, END_ID = 2048, 0
 #: Groups of large sizes, and the size up to which pieces count as small (a share of the capacity).

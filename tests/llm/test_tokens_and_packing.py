@@ -38,6 +38,36 @@ def test_pieces_equal_whole_texts(strings, path, spaced):
     assert bpe.PieceCoder(tokenizer, len, spaced)(strings, sum) == [len(w) for w in whole]
 
 
+def test_cuts_at_letters_equal_whole_texts():
+    """All pairs of Latin-1 characters, alone and inside words, and short texts full of contractions, accents and odd white space."""
+    rng, latin = random.Random(7), list(map(chr, range(256)))
+    texts = [a + b for a in latin for b in latin] + [" ".join(f"s{a}{b}t" for b in latin) for a in latin]
+    letters = "'''  \n\t\x1c\x85\xa0aAsStTrReEvVmMlLdDéÉµªº²½×÷ß.,&<|>1-_"
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(20_000)]
+    texts += ["", "", "é<|endoftext|>É", "<|ENDOFTEXT|>", "don\u2019t", "e\u0301A", "İS", "ΣΑΣ.", "x" * 5000 + "Y" * 5000]
+    coder = bpe.PieceCoder(bpe.load_tokenizer(WORD), bpe.packed, False)
+    whole = [e.ids for e in Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)]
+    assert coder.by_words and [np.frombuffer(g, "<u4").tolist() for g in coder(texts, b"".join)] == whole
+    assert coder([], b"".join) == [] and coder([""], b"".join) == [b""] and max(map(len, coder.later)) <= bpe.MEMO_CHARS
+
+
+def test_a_word_is_one_piece_in_any_guise():
+    coder = bpe.PieceCoder(bpe.load_tokenizer(WORD), bpe.packed, False)
+    coder(["Été, ÉTÉ!! (été) été&&&", "1.Été's"], b"".join)
+    assert set(coder.later) == {"été", ",", "!!", "(", ")", "&&&", "1.", "'s"}
+
+
+def test_other_splittings_are_not_cut_at_letters(strings):
+    from tokenizers import Regex, pre_tokenizers
+
+    tokenizer = bpe.load_tokenizer(WORD)
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(r"\S+"), "removed", invert=True), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    coder = bpe.PieceCoder(tokenizer, bpe.packed, False)
+    texts = ["don't it's (now) é&&& 1a", *(s for s in strings if not any(m in s for m in ".,"))]
+    whole = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert not coder.by_words and [np.frombuffer(g, "<u4").tolist() for g in coder(texts, b"".join)] == whole
+
+
 def test_memo_is_bounded(strings, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_BYTES", 20_000)
     coder = bpe.PieceCoder(bpe.load_tokenizer(JSON), bpe.packed, True)
