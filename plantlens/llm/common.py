@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,52 +9,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantlens.settled import forget, settle, settled, shared_folder  # noqa: F401  the operators import them from here
+
 #: A side of at most this many bytes may be broadcast; beyond it joins shuffle.
 BROADCAST_BYTES = 32 << 20
 
 
-_local_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
-
-    Where the session names none, a master inside one process (tests) gets a local folder, once for each
-    application; a cluster is refused, as its executors couldn't see such a folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        if not (context.master == "local" or context.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = _local_folders.get(context.applicationId) or _local_folders.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="plantlens-"))
-    return folder
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write a frame as Parquet into the shared folder and read it back.
-
-    Cuts the lineage so that a lost executor costs a reread and never a recomputation, and keeps
-    column pruning, which RDD checkpoints lose.
-    """
-    return settled(df)[0]
-
-
-def settled(df: DataFrame) -> tuple[DataFrame, str]:
-    """As settle, with the folder, so that it can be forgotten once nothing reads it any more."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/plantlens/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def forget(spark: SparkSession, *paths: str) -> None:
-    """Delete settled folders through Spark's file systems."""
-    for path in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def small(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
     """Mark a frame of a counted size for broadcast if it is proven small; else leave it to a shuffle join."""
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df
