@@ -30,15 +30,15 @@ def odd(spark):
 def test_measures_from_counted_scores(odd, apart):
     """Equal to the operators on whole frames, which count a run by each of its rows."""
     held_out = odd.filter("seq % 3 = 0").select("x") if apart else None
-    got = runner.evaluate(odd, "x", 95.0, validation=held_out, threads=3).first()
+    got = runner.evaluate(odd, "x", 95.0, validation=held_out, threads=3, parts=1 + apart).first()
     thr = thresholds.threshold_value(odd.filter("split = 'val'") if held_out is None else held_out, "x", 95.0)
     fixed = metrics.prf(odd.withColumn("pred", over_threshold("x", thr).cast("int")), point_adjusted=True).first()
     best, area = thresholds.best_f1(odd, "x").first(), metrics.auc(odd, "x").first()
     assert got.threshold == thr or np.isnan(thr) and np.isnan(got.threshold)
     assert (got.f1_fixed, got.f1_best) == (fixed["f1"], best["f1"])
     assert (got.roc_auc, got.average_precision) == pytest.approx((area["roc_auc"], area["average_precision"]), abs=1e-12)
-    for p in (0.0, 50.0, 80.0):
-        counts = thresholds.score_counts(odd, "x", validation=held_out)
+    counts = thresholds.score_counts(odd, "x", validation=held_out).localCheckpoint()
+    for p in (0.0, 80.0):
         t = thresholds.threshold_of_counts(counts, p, "n")
         assert t == thresholds.threshold_value(odd, "x", p)
         want = metrics.prf(odd.withColumn("pred", over_threshold("x", t).cast("int")), point_adjusted=True).first()
@@ -103,3 +103,21 @@ def test_windows_are_scored_without_times(odd):
     plain = window_models.score_by_models(rows, ["x"], 3, {"m": model})
     timed = window_models.score_by_models(rows.withColumn("ts", F.timestamp_seconds("seq")), ["x"], 3, {"m": model})
     assert plain.columns == ["stream_id", "seq", "label", "m"] and sorted(map(tuple, plain.collect())) == sorted(map(tuple, timed.drop("ts").collect()))
+
+
+def test_streams_in_turn(spark, monkeypatch):
+    """A table over the rows of a part is dealt by streams, each part in turn, with equal results."""
+    rng = np.random.default_rng(9)
+    rows = [(s, q, float(rng.normal()), float(rng.normal()), int(q % 17 > 13)) for s in [*range(7), None] for q in range(60)]
+    df = spark.createDataFrame(rows, "stream_id long, seq long, a double, b double, label int")
+    plain = {"a": lambda train, rows: rows.withColumn("score", F.col("a")), "b": lambda train, rows: rows.withColumn("score", F.abs("b"))}
+    by_window = {"w": lambda train, size: lambda x: (x * 0.0, x * 0.5)}
+    run = lambda: {(r.model, r.labelling): r[2:] for r in runner.run_all(df, ["a", "b"], plain, overrides={"size": 5}, window_models=by_window).collect()}
+    whole = run()
+    monkeypatch.setattr(runner, "ROWS", 200)
+    split = [p.select("stream_id").distinct().count() for p in runner.in_parts(df, 3)]
+    assert sum(split) == 8 and min(split) > 0
+    parted = run()
+    assert set(parted) == set(whole) and len(whole) == 4
+    for k, v in whole.items():
+        assert parted[k] == pytest.approx(v, abs=1e-9)
